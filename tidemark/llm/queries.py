@@ -3,18 +3,81 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import chat, contamination, embedding_dup, lang_id, mixing, near_dup, token_store, toxicity, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicates(_t(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(_t(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup,)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.assign(_t(spark, sf_dir, "documents")).withColumn("position", F.try_element_at("positions", F.lit(1)))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.tokenize(_t(spark, sf_dir, "documents"))
+
+
+#: host, path, verdict
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    # A page counts as bad when the label of its id says low quality.
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.judge(_t(spark, sf_dir, "pages"), rules, labels)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digest(chat.written_chats(rows))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_toxicity,
+        op3_benchmark_decontamination,
+        op4_language_id,
+        op5_minhash_near_dedup,
+        op7_mixing,
+        op8_token_store,
+        op9_url_filter,
+        op10_chat_formatting,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
