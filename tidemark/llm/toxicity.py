@@ -27,6 +27,8 @@ from .common import fold
 ORDERS = (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
 KEPT, LEAST_DOCS = 20_000, 4
+#: n-grams whose shares differ by fewer deviations are chance finds; the ALWAYS furthest apart are kept in any case.
+LEAST_APART, ALWAYS = 3.0, 100
 SMOOTH, L2, STEPS = 1.0, 1e-4, 150
 SLOTS = 19
 
@@ -137,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     # How far the two shares lie apart in deviations: the n-grams that are kept.
     apart = F.abs(p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
     kept = counts.select("gram", ratio.alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "gram").limit(KEPT).collect()
+    kept = [r for k, r in enumerate(kept) if k < ALWAYS or r["apart"] >= LEAST_APART]
     model = Model(np.array([r["gram"] for r in kept], np.int64), np.array([r["ratio"] for r in kept], float))
 
     def featured(batches):
