@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, embedding_dup, lang_id, mixing, near_dup, token_store, toxicity, url_filter
+from . import chat, contamination, embedding_dup, lang_id, mixing, near_dup, pitman_yor, token_store, toxicity, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op6_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_t(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.assign(_t(spark, sf_dir, "documents")).withColumn("position", F.try_element_at("positions", F.lit(1)))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
@@ -73,6 +77,7 @@ QUERIES = {
         op3_benchmark_decontamination,
         op4_language_id,
         op5_minhash_near_dedup,
+        op6_pitman_yor_lm,
         op7_mixing,
         op8_token_store,
         op9_url_filter,
