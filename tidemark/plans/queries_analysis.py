@@ -268,7 +268,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in FT.STOP_WORDS) + "]"
 
 
 @query(
-    f"""+ w AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), t -> NOT list_contains({_STOP}, t))) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+    f"""+ w AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda t: NOT list_contains({_STOP}, t))) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
     v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 100), x AS (SELECT item_id, term, tf * idf AS w FROM tf JOIN v USING (term))
     SELECT item_id AS ident, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM x"""
 )
@@ -287,9 +287,9 @@ def F12_telco_features(spark, sf):
     return FT.telco_features(cf(spark, sf), "balance", "total_spend", "tenure_months").select("customer_id", r6("charge_per_tenure"), r6("total_to_expected"))
 
 
-@query("SELECT customer_id, round(balance / (total_spend + 1), 6) AS balance_to_salary, round(n_orders / (tenure_months + 1), 6) AS products_per_tenure, round(avg_value / (nation + 1), 6) AS score_to_age, churned * nation AS active_by_age FROM cf", CF)
+@query("SELECT customer_id, round(balance / (total_spend + 1), 6) AS balance_to_salary, round(n_orders / (tenure_months + 1), 6) AS products_per_tenure, round(avg_value / (nation + 1), 4) AS score_to_age, churned * nation AS active_by_age FROM cf", CF)
 def F13_bank_features(spark, sf):
-    return FT.bank_features(cf(spark, sf), "balance", "total_spend", "n_orders", "tenure_months", "avg_value", "nation", "churned").select("customer_id", r6("balance_to_salary"), r6("products_per_tenure"), r6("score_to_age"), "active_by_age")
+    return FT.bank_features(cf(spark, sf), "balance", "total_spend", "n_orders", "tenure_months", "avg_value", "nation", "churned").select("customer_id", r6("balance_to_salary"), r6("products_per_tenure"), F.round("score_to_age", 4).alias("score_to_age"), "active_by_age")
 
 
 @query("SELECT customer_id, round(ln(1 + abs(n_orders)), 6) AS n_orders_log, round(ln(1 + abs(recency_days)), 6) AS recency_days_log FROM cf", CF)
@@ -453,7 +453,7 @@ def R1_predict_batch(spark, sf):
     return R.predict_batch(m, d, "customer_id", 0.5)
 
 
-_RISK = "CASE WHEN p >= least(0.4 * 1.5, 0.85) THEN 'High' WHEN p >= 0.4 THEN 'Medium' ELSE 'Low' END"
+_RISK = "CASE WHEN p >= least(0.4::DOUBLE * 1.5::DOUBLE, 0.85::DOUBLE) THEN 'High' WHEN p >= 0.4::DOUBLE THEN 'Medium' ELSE 'Low' END"
 
 
 def _risky(spark, sf):
@@ -495,7 +495,7 @@ _PSI_SUM = "sum(((b + 1e-4) / (nb + 1e-4 * k) - (a + 1e-4) / (na + 1e-4 * k)) *
 def _psi_sql(c: str) -> str:
     return f"""SELECT '{c}' AS feature, {_PSI_SUM} AS psi FROM (SELECT i.i, count(*) FILTER (s = 0 AND x IS NOT NULL) AS a, count(*) FILTER (s = 1 AND x IS NOT NULL) AS b, sum(count(*) FILTER (s = 0)) OVER () AS na, sum(count(*) FILTER (s = 1)) OVER () AS nb, count(*) OVER () AS k
       FROM (SELECT unnest(range(len(e) - 1)) AS i FROM (SELECT list_distinct(quantile_cont({c}, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1])) AS e FROM a)) i
-      LEFT JOIN (SELECT s, x, len(list_filter(list_sort(e)[2:-2], v -> v <= x)) AS bin FROM (SELECT 0 AS s, {c} AS x FROM a UNION ALL SELECT 1, {c} FROM b), (SELECT list_distinct(quantile_cont({c}, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1])) AS e FROM a)) v ON v.bin = i.i GROUP BY i.i)"""
+      LEFT JOIN (SELECT s, x, len(list_filter(list_sort(e)[2:-2], lambda v: v <= x)) AS bin FROM (SELECT 0 AS s, {c} AS x FROM a UNION ALL SELECT 1, {c} FROM b), (SELECT list_distinct(quantile_cont({c}, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1])) AS e FROM a)) v ON v.bin = i.i GROUP BY i.i)"""
 
 
 @query(f"+ {_W} SELECT feature, round(psi, 6) AS psi FROM ({_psi_sql('value')} UNION ALL {_psi_sql('user_id')})")

@@ -198,7 +198,7 @@ def quantile_sql(x: str, q: int, source: str = "cf", cond: str = "TRUE") -> str:
 
 
 def bin_of(x: str, q: int) -> str:
-    return f"CASE WHEN n >= {q} AND {x} IS NOT NULL THEN CAST(greatest(len(list_filter(e, v -> v < {x})) - 1, 0) AS INTEGER) END"
+    return f"CASE WHEN n >= {q} AND {x} IS NOT NULL THEN CAST(greatest(len(list_filter(e, lambda v: v < {x})) - 1, 0) AS INTEGER) END"
 
 
 @query(f"SELECT bin, count(*) AS n FROM (SELECT {_FIXED.format('tenure_months')} AS bin FROM cf) GROUP BY 1", CF)
