@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 EDGE = "edge_id long, source string, target string, transformation string, schema_before map<string,string>, schema_after map<string,string>, rows_before long, rows_after long, loss_pct double"
 
 
+def edges(spark: SparkSession, rows) -> DataFrame:
+    """G1: edges of (edge_id, source, target, transformation, schema before, after, rows before, after); the loss of an empty source is 0."""
+    loss = lambda a, b: 100.0 * (a - b) / a if a else 0.0
+    return spark.createDataFrame([(*r, loss(r[6], r[7])) for r in rows], EDGE)
+
+
 def edge(spark: SparkSession, source: str, target: str, transformation: str, before: dict, after: dict, rows_before: int, rows_after: int, edge_id: int = 0) -> DataFrame:
-    """G1: one edge; the loss of an empty source is 0."""
-    loss = 100.0 * (rows_before - rows_after) / rows_before if rows_before else 0.0
-    return spark.createDataFrame([(edge_id, source, target, transformation, before, after, rows_before, rows_after, loss)], EDGE)
+    """G1: one edge."""
+    return edges(spark, [(edge_id, source, target, transformation, before, after, rows_before, rows_after)])
 
 
 def chain(edges: DataFrame, table: str, column: str | None = None, limit: int = 100) -> DataFrame:

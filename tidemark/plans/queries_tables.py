@@ -375,11 +375,7 @@ _EDGE_SQL = "edges AS (" + " UNION ALL ".join(f"SELECT {i} AS edge_id, '{a}' AS
 
 def _edges(spark, sf):
     n = {t: views.table(spark, sf, t).count() for t in {x for a, b, _ in _EDGES for x in (a, b)}}
-    out = None
-    for i, (a, b, t) in enumerate(_EDGES):
-        e = G.edge(spark, a, b, t, {a: "table"}, {b: "table"}, n[a], n[b], i)
-        out = e if out is None else out.union(e)
-    return out
+    return G.edges(spark, [(i, a, b, t, {a: "table"}, {b: "table"}, n[a], n[b]) for i, (a, b, t) in enumerate(_EDGES)])
 
 
 @query(
