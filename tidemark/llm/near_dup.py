@@ -43,7 +43,7 @@ LEAST_AGREE = 30
 CENTRAL_AGREE = 42
 #: At similarity 0.75 the 512 bytes agree 384 times on average, deviation 10; fewer than 340 is 4.5 deviations away.
 WIDE, WIDE_AGREE = 512, 340
-BLOCK = 256
+CENTRAL_BLOCK, BLOCK = 256, 1024
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,11 +196,11 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: S
     return rows.mapInArrow(_confirm, "a long, b long")
 
 
-def _mixed(met: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed(met: DataFrame, comp: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Bucket members with their components; the keys of buckets with several, and their number of blocks."""
     placed = met.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    return placed, mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    return placed, mixed.select("key", F.ceil(F.col("n") / block).alias("blocks"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,14 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = scratch.put(components(links, scratch), "comp")
     # Buckets that hold several components: first their most central members, which link most of what is near them.
     star = F.col("id").alias("a"), F.col("root").alias("b")
-    placed, mixed = _mixed(met, comp)
+    placed, mixed = _mixed(met, comp, CENTRAL_BLOCK)
     members = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks"))).join(sketches, "rep").select("key", "block", "rep", "comp", "mh")
     pairs = members.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_central, "a long, b long").distinct()
     more = scratch.put(_verified(pairs, sketches, sets, scratch, True), "more")
     # A component is a star now, so its members and the new links are the whole graph.
     comp = scratch.put(components(comp.select(*star).union(more), scratch), "comp")
     # What is left: every pair across components, block by block.
-    placed, mixed = _mixed(met, comp)
+    placed, mixed = _mixed(met, comp, BLOCK)
     members = (
         placed.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
