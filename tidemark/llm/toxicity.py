@@ -25,11 +25,11 @@ from ..session import ship
 from .common import fold
 
 ORDERS = (3, 4, 5)
-MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
-KEPT, LEAST_DOCS = 20_000, 4
+MAX_POSITIVE, MAX_NEGATIVE = 2_500, 5_000
+KEPT, LEAST_DOCS = 8_000, 4
 #: n-grams whose shares differ by fewer deviations are chance finds; the ALWAYS furthest apart are kept in any case.
 LEAST_APART, ALWAYS = 3.0, 100
-SMOOTH, L2, STEPS = 1.0, 1e-4, 150
+SMOOTH, L2, STEPS, ROWS = 1.0, 1e-4, 120, 512
 SLOTS = 19
 
 
@@ -83,15 +83,20 @@ class Model:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> None:
         """Full-batch logistic regression over features scaled by the ratios."""
-        n = np.array([len(r) for r in rows])
-        col = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-        row = np.repeat(np.arange(len(rows)), n)
+        parts = []  # blocks of rows, so that what a step makes besides the weights stays small
+        for k in range(0, len(rows), ROWS):
+            block = rows[k : k + ROWS]
+            parts.append((np.concatenate(block), np.repeat(np.arange(len(block), dtype=np.int32), [len(r) for r in block]), y[k : k + ROWS]))
         w, b = np.zeros(len(self.kept)), float(np.log(y.mean() / (1 - y.mean())))
-        m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+        m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, STEPS + 1):
-            z = b + np.bincount(row, (w * self.ratio)[col], len(rows))
-            err = (_sigmoid(z) - y) / len(rows)
-            g = np.append(np.bincount(col, err[row], len(w)) * self.ratio + L2 * w, err.sum())
+            g, scaled = np.zeros(len(w) + 1), w * self.ratio
+            for col, row, label in parts:
+                err = _sigmoid(b + np.bincount(row, scaled[col], len(label))) - label
+                g[:-1] += np.bincount(col, err[row], len(w))
+                g[-1] += err.sum()
+            g /= len(rows)
+            g[:-1] = g[:-1] * self.ratio + L2 * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
