@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -60,8 +61,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark drop the shuffle files of finished jobs, which it does when their plans are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first round lets go of what Python held, the second of what hung on that
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def fold(col: str, n: int):
