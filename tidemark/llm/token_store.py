@@ -4,14 +4,14 @@ Each document's ids, ended by END_ID, are cut where a rolling hash of the last W
 bits zero, so equal passages give equal chunks wherever they stand. A chunk is kept once under the
 SHA-256 of its bytes. A store is a folder of Parquet tables:
 
-* ``chunks``: key, n, width (bytes an id, little-endian), data;
+* ``chunks``: key, data, width (bytes an id, little-endian);
 * ``recipes``: part, doc_id, row, n_tokens, start, node (SHA-256 of the chunk keys), keys - ascending
   by doc_id over the parts, ``start`` being the ids of all documents before it;
 * ``manifest``: level, segment, node - a Merkle tree over the recipes in order, FAN_IN children a
   node, the root in the row of the highest level.
 
-``read_store`` joins recipes to chunks and checks every chunk against its key and every document
-against its node; ``verify_manifest`` recomputes the tree.
+``read_store`` checks every chunk against its key and every document against its node and returns
+counts and checksums; ``reconstruct`` returns the ids; ``verify_manifest`` recomputes the tree.
 
 Defined results: null text is encoded as empty (the end id alone); rows that repeat a doc_id are
 documents of their own, ordered by doc_id, then node, then row; a null doc_id comes first; other
@@ -34,20 +34,24 @@ from .common import Scratch, runs
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-WINDOW, MASK, LEAST, MOST = 16, (1 << 9) - 1, 64, 8192
+WINDOW, MASK, LEAST, MOST = 8, (1 << 10) - 1, 64, 8192
 FAN_IN = 4096
 
 _GEAR = np.random.default_rng(3).integers(0, 2**63, 1 << 16, dtype=np.uint64)
-#: White space for the pre-tokenizer is Unicode's; Python's \s has these four besides.
-_ODD = re.compile(r"[\x1c-\x1f]")
-#: A text may be cut between any character and a following white-space character, provided the first is none: there the pre-tokenizer always cuts.
-_PIECE = re.compile(r"\s*\S+|\s+")
+#: White space besides blank and line end, and the four characters that Python counts as such and the pre-tokenizer does not.
+_ODD = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f]")
+_WIDE = re.compile(r"[^\S \n]")
 
 
 class Encoder(dict):
-    """Piece of text -> bytes of its ids; the tokenizer sees each distinct piece once while it is remembered."""
+    """Piece of text -> bytes of its ids; the tokenizer sees each distinct piece once while it is remembered.
 
-    LIMIT, LONGEST = 600_000, 80
+    A text is first split at blanks; a piece stands for itself behind a blank. What is new is put
+    together from smaller pieces where the pre-tokenizer cuts anyway, and else encoded, many at a time
+    with a special token between them, which the tokenizer takes out before anything else.
+    """
+
+    LIMIT, LONGEST = 700_000, 80
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,23 +62,102 @@ class Encoder(dict):
         self.type = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.end = np.array([END_ID], self.type).tobytes()
+        self.bare: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: Bytes that each id stands for: as many as its name has characters in a byte-level vocabulary.
+        self.lengths = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for name, i in self.tok.get_vocab().items():
+            self.lengths[i] = len(name)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text by itself."""
+        encode = lambda x: [np.array(e.ids, self.type) for e in self.tok.encode_batch_fast(x, add_special_tokens=False)]
+        if not self.special:
+            return [x.tobytes() for x in encode(texts)]
+        mark = self.special[0]
+        ids = encode([mark.join(texts)])[0] if texts else np.empty(0, self.type)
+        size = self.type.itemsize
+        at = np.flatnonzero(ids == self.tok.token_to_id(mark))
+        whole = ids.tobytes()
+        return [whole[s:e] for s, e in zip([0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(whole)])][: len(texts)]
+
+    def _behind_blanks(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space, each behind a blank: encoded as one text, told apart by their lengths in bytes."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.type)
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])) + 1
+        whole, ends = ids.tobytes(), (ends * self.type.itemsize).tolist()
+        return [whole[s:e] for s, e in zip([0, *ends], ends)]
+
+    def _bare(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of pieces with nothing before them, and of a line end."""
+        new = [w for w in words if w not in self.bare]
+        for k in range(0, len(new), 8192):
+            self.bare.update(zip(new[k : k + 8192], self._raw(new[k : k + 8192])))
+        return self.bare
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Remember new pieces; those not worth remembering are returned."""
+        if self.old:
+            again = {p: v for p in pieces if (v := self.old.get(p)) is not None}
+            self.update(again)
+            pieces = pieces.difference(again)
+        # A line end between two pieces stands by itself; other uses of it are encoded as they are.
+        lines = {p: x for p in pieces if "\n" in p and len(x := p.split("\n")) == 2 and x[0] and x[1]}
+        plain = pieces.difference(lines)
+        plain.update(x[0] for x in lines.values())
+        plain = {p for p in plain if p not in self}
+        # A full stop or comma behind letters is always a token of its own.
+        ends = [p for p in plain if p[-1] in ".," and p[:-1].isalpha()]
+        words = plain.difference(ends)
+        words.update(c for p in ends if (c := p[:-1]) not in self)
+        new = [p for p in words if "\n" not in p]
+        for k in range(0, len(new), 8192):
+            self.update(zip(new[k : k + 8192], self._behind_blanks(new[k : k + 8192])))
+        odd = [p for p in words if "\n" in p]
+        self.update(zip(odd, self._raw([" " + p for p in odd])))
+        bare = self._bare({p[-1] for p in ends} | {x[1] for x in lines.values()} | {"\n"})
+        self.update([(p, self[p[:-1]] + bare[p[-1]]) for p in ends])
+        once = {p: self[a] + bare["\n"] + bare[b] for p, (a, b) in lines.items()}
+        once.update((p, self.pop(p)) for p in [*odd, *(p for p in new if len(p) > self.LONGEST)])
+        return once
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > self.LIMIT:
+            # What was used since the last time is kept; the rest is forgotten.
+            self.old = dict(self)
             self.clear()
-        pieces = [None if t and (_ODD.search(t) or any(s in t for s in self.special)) else _PIECE.findall(t or "") for t in texts]
-        new = [p for p in set().union(*(x for x in pieces if x)) if p not in self]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.update(zip(part, self._raw(part)))
-        get = self.__getitem__
-        out = [(self._raw([t])[0] if x is None else b"".join(map(get, x))) + self.end for t, x in zip(texts, pieces)]
-        for p in new:
-            if len(p) > self.LONGEST:
-                del self[p]
+        if len(self.bare) > self.LIMIT // 4:
+            self.bare.clear()
+        get, rows, missing, whole, first = self.get, [], set(), {}, set()
+        for i, t in enumerate(texts):
+            x = (t or "").split(" ")
+            # Cuts are safe where no piece is empty or ends in white space; other texts, and such with odd white space, go whole.
+            if t and ("" in x or "\n " in t or t[-1] == "\n" or _ODD.search(t) or not t.isascii() and _WIDE.search(t) or any(s in t for s in self.special)):
+                whole[i] = t
+                rows.append((None, (), ()))
+                continue
+            head, tail = x[0], x[1:]
+            if "\n" in head:
+                whole[i] = head
+                head = None
+            elif head:
+                first.add(head)
+            ids = list(map(get, tail))
+            gaps = [k for k, v in enumerate(ids) if v is None] if None in ids else ()
+            missing.update([tail[k] for k in gaps])
+            rows.append((head, ids, gaps, tail))
+        once = self._learn(missing) if missing else {}
+        bare = self._bare(first)
+        marked = {i for i, t in whole.items() if any(s in t for s in self.special)}
+        raw = dict(zip((i for i in whole if i not in marked), self._raw([t for i, t in whole.items() if i not in marked])))
+        for i in marked:
+            raw[i] = np.array(self.tok.encode(whole[i], add_special_tokens=False).ids, self.type).tobytes()
+        out = []
+        for i, (head, ids, gaps, *tail) in enumerate(rows):
+            for k in gaps:
+                p = tail[0][k]
+                ids[k] = once[p] if p in once else self[p]
+            out.append((raw[i] if i in raw else bare[head] if head else b"") + b"".join(ids) + self.end)
         return out
 
 
@@ -115,21 +198,20 @@ def _chunked(name: str):
     def run(batches):
         enc = encoder(name)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                c = b.slice(k, 256)
-                rows, doc, seq, key, n, data = [], [], [], [], [], []
-                for r, d, ids in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), enc.encode(c.column(2).to_pylist())):
-                    last = 0
-                    for s, e in enumerate(cuts(np.frombuffer(ids, enc.type))):
-                        x = ids[last * enc.type.itemsize : e * enc.type.itemsize]
-                        rows.append(r)
-                        doc.append(d)
-                        seq.append(s)
-                        key.append(hashlib.sha256(x).digest())
-                        n.append(e - last)
-                        data.append(x)
-                        last = e
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array([enc.type.itemsize] * len(n), pa.int32()), pa.array(data, pa.binary())], ["row", "doc_id", "seq", "key", "n", "width", "data"])
+            for k in range(0, b.num_rows, 512):
+                c = b.slice(k, 512)
+                ids = enc.encode(c.column(2).to_pylist())
+                keys, datas, node = [], [], []
+                for x in ids:
+                    ends = [e * enc.type.itemsize for e in cuts(np.frombuffer(x, enc.type))]
+                    data = [x[s:e] for s, e in zip([0, *ends], ends)]
+                    key = [hashlib.sha256(d).digest() for d in data]
+                    keys.append(key)
+                    datas.append(data)
+                    node.append(hashlib.sha256(b"".join(key)).digest())
+                n = [len(x) // enc.type.itemsize for x in ids]
+                kind = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(datas, kind)], ["row", "doc_id", "n_tokens", "node", "keys", "data"])
 
     return run
 
@@ -144,14 +226,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = scratch.put(src.mapInArrow(_chunked(tokenizer), "row long, doc_id long, seq int, key binary, n int, width int, data binary"), "cut")
-    cut.select("key", "n", "width", "data").dropDuplicates(["key"]).write.parquet(f"{path}/chunks")
-    recipe = (
-        cut.groupBy("row", "doc_id")
-        .agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("seq", "key"))).alias("k"))
-        .select("doc_id", "row", "n_tokens", F.col("k.key").alias("keys"))
-        .withColumn("node", _node("keys"))
-    )
+    cut = scratch.put(src.mapInArrow(_chunked(tokenizer), "row long, doc_id long, n_tokens long, node binary, keys array<binary>, data array<binary>"), "cut")
+    width = encoder(tokenizer).type.itemsize
+    chunks = cut.select(F.explode(F.arrays_zip("keys", "data")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.data").alias("data"))
+    chunks.dropDuplicates(["key"]).withColumn("width", F.lit(width)).write.parquet(f"{path}/chunks")
+    recipe = cut.select("doc_id", "row", "n_tokens", "keys", "node")
     ordered = recipe.repartitionByRange(F.col("doc_id").asc_nulls_first(), "node", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "node", "row").withColumn("part", F.spark_partition_id())
     ordered = scratch.put(ordered, "ordered")
     scratch.drop(cut)
@@ -192,28 +271,91 @@ def verify_manifest(spark: SparkSession, path: str) -> bool:
     return mine.exceptAll(kept).isEmpty() and kept.exceptAll(mine).isEmpty()
 
 
-def _rebuilt(batches):
+def _digested(batches):
+    """Each chunk's ids counted and hashed, and its bytes checked against its key."""
+    for b in batches:
+        key, data, width = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist()
+        n, crc, ok = [], [], []
+        for k, d, w in zip(key, data, width):
+            ids = np.frombuffer(d, f"<u{w}").astype("<u4")
+            n.append(len(ids))
+            crc.append(zlib.crc32(ids.tobytes()))
+            ok.append(hashlib.sha256(d).digest() == k)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ok, pa.bool_())], ["key", "n", "crc", "ok"])
+
+
+def _crc_powers(bits: int) -> np.ndarray:
+    """[k]: the 32 columns of the matrix that carries a CRC-32 past 4 * 2^k zero bytes."""
+    one = np.empty(32, np.uint32)  # past one zero bit
+    one[0], one[1:] = 0xEDB88320, np.uint32(1) << np.arange(31, dtype=np.uint32)
+    m, out = one, []
+    for k in range(5 + bits):
+        if k >= 5:
+            out.append(m)
+        m = _carry(m, m)
+    return np.array(out)
+
+
+def _carry(m: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(crc)
+    for j in range(32):
+        out ^= np.where((crc >> np.uint32(j)) & np.uint32(1), m[j], np.uint32(0))
+    return out
+
+
+_POWERS = _crc_powers(40)
+
+
+def carried(crc: np.ndarray, ids_after: np.ndarray) -> np.ndarray:
+    """What a chunk's CRC-32 adds to that of a text in which so many 4-byte ids follow: the text's is the XOR of these."""
+    crc = crc.astype(np.uint32)
+    for k in range(int(ids_after.max(initial=0)).bit_length()):
+        go = np.flatnonzero((ids_after >> k) & 1)
+        crc[go] = _carry(_POWERS[k], crc[go])
+    return crc
+
+
+def _joined(batches):
+    """Rows of a document follow each other in order: its ids counted, the CRC-32 of all of them, and whether all is as the recipe says."""
     for t, starts, ends in runs(batches, ["row"]):
-        key, data = t.column("key").to_pylist(), t.column("data").to_pylist()
-        width, node = t.column("width").to_pylist(), t.column("node").to_pylist()
-        out = [[], [], [], []]
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            x = b"".join(data[s:e])
-            ids = np.frombuffer(x, f"<u{width[s]}").astype("<u4")
-            ok = all(hashlib.sha256(d).digest() == k for d, k in zip(data[s:e], key[s:e])) and hashlib.sha256(b"".join(key[s:e])).digest() == node[s]
-            for c, v in zip(out, (t.column("row")[s].as_py(), len(ids), zlib.crc32(ids.tobytes()), ok)):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], ["row", "n_tokens", "ids_crc32", "verified"])
+        n, crc, ok = (t.column(c).to_numpy(zero_copy_only=False) for c in ("n", "crc", "ok"))
+        before = np.append(0, np.cumsum(n))
+        after = np.repeat(before[ends], ends - starts) - before[1:]
+        key, node = t.column("key").to_pylist(), t.column("node").take(pa.array(starts)).to_pylist()
+        same = [hashlib.sha256(b"".join(key[s:e])).digest() == d for s, e, d in zip(starts.tolist(), ends.tolist(), node)]
+        good = np.logical_and.reduceat(ok, starts) & np.array(same)
+        whole = np.bitwise_xor.reduceat(carried(crc, after), starts)
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[starts]), pa.array(before[ends] - before[starts]), pa.array(whole.astype(np.int64)), pa.array(good)], ["row", "n_tokens", "ids_crc32", "verified"])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the ids rebuilt from the files, verified."""
+    """doc_id, start, n_tokens, ids_crc32 of all ids, verified: from the files, without moving their bytes.
+
+    Chunks are counted, hashed and checked where they are read; a document's CRC-32 is put together
+    from its chunks' (CRC-32 is linear), so only digests are shuffled.
+    """
     recipes = spark.read.parquet(f"{path}/recipes")
     wanted = recipes.select("row", "node", F.posexplode("keys").alias("seq", "key"))
-    chunks = spark.read.parquet(f"{path}/chunks").select("key", "width", "data")
-    pieces = wanted.join(chunks, "key").select("row", "seq", "node", "key", "width", "data")
-    rebuilt = pieces.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(_rebuilt, "row long, n_tokens long, ids_crc32 long, verified boolean")
-    return recipes.select("row", "doc_id", "start").join(rebuilt, "row").select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+    chunks = spark.read.parquet(f"{path}/chunks").select("key", "width", "data").mapInArrow(_digested, "key binary, n long, crc long, ok boolean")
+    pieces = wanted.join(chunks, "key").select("row", "seq", "node", "key", "n", "crc", "ok")
+    found = pieces.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(_joined, "row long, n_tokens long, ids_crc32 long, verified boolean")
+    return recipes.select("row", "doc_id", "start").join(found, "row").select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+
+
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start and the whole list of ids of every document."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    wanted = recipes.select("row", F.posexplode("keys").alias("seq", "key"))
+    pieces = wanted.join(spark.read.parquet(f"{path}/chunks").select("key", "width", "data"), "key").select("row", "seq", "width", "data")
+    ids = pieces.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(_rebuilt, "row long, ids array<int>")
+    return recipes.select("row", "doc_id", "start").join(ids, "row").select("doc_id", "start", "ids")
+
+
+def _rebuilt(batches):
+    for t, starts, ends in runs(batches, ["row"]):
+        data, width = t.column("data").to_pylist(), t.column("width").to_pylist()
+        ids = [np.frombuffer(b"".join(data[s:e]), f"<u{width[s]}").astype(np.int32) for s, e in zip(starts.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[starts]), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
 
 def tokenize(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
