@@ -36,6 +36,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WINDOW, MASK, LEAST, MOST = 8, (1 << 10) - 1, 64, 8192
 FAN_IN = 4096
+CODEC = "zstd"
 
 _GEAR = np.random.default_rng(3).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 #: White space besides blank and line end, and the four characters that Python counts as such and the pre-tokenizer does not.
@@ -226,10 +227,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = scratch.put(src.mapInArrow(_chunked(tokenizer), "row long, doc_id long, n_tokens long, node binary, keys array<binary>, data array<binary>"), "cut")
+    cut = scratch.put(src.mapInArrow(_chunked(tokenizer), "row long, doc_id long, n_tokens long, node binary, keys array<binary>, data array<binary>"), "cut", CODEC)
     width = encoder(tokenizer).type.itemsize
     chunks = cut.select(F.explode(F.arrays_zip("keys", "data")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.data").alias("data"))
-    chunks.dropDuplicates(["key"]).withColumn("width", F.lit(width)).write.parquet(f"{path}/chunks")
+    chunks.dropDuplicates(["key"]).withColumn("width", F.lit(width)).write.option("compression", CODEC).parquet(f"{path}/chunks")
     recipe = cut.select("doc_id", "row", "n_tokens", "keys", "node")
     ordered = recipe.repartitionByRange(F.col("doc_id").asc_nulls_first(), "node", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "node", "row").withColumn("part", F.spark_partition_id())
     ordered = scratch.put(ordered, "ordered")
