@@ -75,7 +75,7 @@ def fold(col: str, n: int):
 class WordHash(dict):
     """Word -> 64-bit hash, remembered for a bounded number of words."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
