@@ -275,6 +275,29 @@ def test_pitman_yor(spark, docs, empty):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, pitman_yor.score(d).collect()), key=str)
 
 
+def test_pitman_yor_context_is_the_whole_word(spark):
+    # Long words that end alike, each with its own follower: only the whole word tells what comes next.
+    rng = random.Random(4)
+    follows = {f"{k}context": f"follower{k}" for k in ("alpha", "beta", "gamma", "delta", "kappa", "omega", "sigma", "theta")}
+    rows = [doc(i, " ".join(f"{k} {follows[k]}" for k in rng.choices(list(follows), k=20))) for i in range(200)]
+    ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    right = " ".join(f"{a} {b}" for a, b in follows.items())
+    wrong = " ".join(f"{a} {b}" for a, b in zip(follows, [*list(follows.values())[1:], list(follows.values())[0]]))
+    d = spark.createDataFrame([*rows, doc(ids[0], right), doc(ids[1], wrong)], DOCS)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(d).where(F.col("doc_id") >= 1000).collect()}
+    assert got[ids[0]] > got[ids[1]] + 8
+
+
+def test_pitman_yor_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    d = spark.createDataFrame([doc(i, prose(rng, 40) + f" rare{i % 50} once{i}") for i in range(150)], DOCS)
+    one = {r["doc_id"]: r for r in pitman_yor.score(d).collect()}
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 8_000)
+    for r in pitman_yor.score(d).collect():
+        was = one[r["doc_id"]]
+        assert r[1:5] == was[1:5] and abs(r["base_score"] - was["base_score"]) < 1e-9 and abs(r["score"] - was["score"]) < 0.01 * abs(was["score"])
+
+
 def test_table_counts_follow_the_restaurant():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 5, 40, 49, 500, 5000] * 400)

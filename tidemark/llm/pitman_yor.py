@@ -1,24 +1,23 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Tokens are lower-cased words and one end per text. A token's context is the token before it: a
-restaurant for the first and last byte of a short word (at most SHORT bytes, the words that tell most
-about what follows), whose parent is the restaurant of the last byte; longer words, and the start of a
-text, sit in the last byte's restaurant at once. All of those share the unigram restaurant as parent,
+Tokens are lower-cased words and one end per text. A token's context is the word before it (the end, for
+the first token): every word has its own restaurant, all of which share the unigram restaurant as parent,
 whose base gives UNSEEN to words never seen in training and the rest evenly to the V seen ones.
 
 Seating is sampled by Gibbs sweeps. A sweep takes one dish of one restaurant after another: all its
 customers leave and are seated anew given everybody else, by drawing the number of their tables (their
 sizes do not matter to any prediction) from its conditional distribution - generalised Stirling
 numbers times the weights of new tables - up to EXACT customers, and above that by seating them in turn
-in groups that grow by a tenth. A word's rows of all restaurants lie in one row of the state table, so
-a sweep needs no shuffle: it reads the state, and the totals of the restaurants (at most 65,536
-numbers pairs, whatever the corpus) are summed between sweeps. Probabilities are averaged over the
-sweeps after BURN_IN.
+in groups that grow by a tenth. The root's discount and the strength of the words' restaurants are those of
+DISCOUNTS and STRENGTHS that best predict each training token from the others; table counts are averaged over the sweeps after BURN_IN.
 
-Documents are dealt at random to blocks of about DOCS_PER_BLOCK. A block sends its distinct words with
-their counts by context (from training documents; words of others go along with no count); words are
-gathered, sampled, and every block gets back the words it asked for and scores its documents with them.
-So what is shuffled follows the corpus, and no vocabulary is ever collected or broadcast.
+Documents are dealt at random to blocks of about BLOCK_BYTES of text. A block sends its distinct pairs of
+words, with counts, to parts dealt by the pair's hash, and its distinct words to owners dealt by the
+word's hash. What occurs once in training always has one table, so parts and owners hold, and sample,
+only what occurs twice or more. Between sweeps a part sends each owner how the tables of its words
+changed, as contexts and as dishes, and gets back the totals: so a common word or pair never gathers in
+one task, and no vocabulary is ever collected or broadcast. In the end a block gets back its pairs and
+words; of what its training documents hold and nobody answered, the count is one.
 
 Defined results: null text is empty (the end alone); repeated rows are scored, and counted, each; null
 doc_ids are training rows when their fold is not the held-out one (a null fold is training); an empty
@@ -34,227 +33,292 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fold, word_hashes, words
 
-SHORT = 3
 UNSEEN = 0.5
-SWEEPS, BURN_IN = 3, 1
+SWEEPS, BURN_IN = 5, 2
 EXACT = 48
 STRENGTH = 1.0
-DOCS_PER_BLOCK, DOCS_PER_SLICE, TOKENS_PER_SLICE = 10_000, 500, 1_000_000
+STRENGTHS = np.geomspace(0.05, 50_000, 21)
+DISCOUNTS = np.linspace(0.05, 0.95, 19)
+BLOCK_BYTES, DOCS_PER_SLICE = 10_000_000, 500
 SEED = 17
 END = np.int64(-0x5BD1E995_5BD1E995)
 
-#: A state row holds the words of CHUNK or more (word, block) pairs as flat arrays: lists are told apart by their lengths.
-CHUNK = 60_000
-_FIELDS = {
-    "w": "<i8", "c": "<i8", "nb": "<i4", "blocks": "<i4", "t0": "<i8", "p0": "<f8",
-    "n2": "<i4", "ctx2": "<u2", "c2": "<i8", "t2": "<i8", "p2": "<f4", "n1": "<i4", "ctx1": "<u2", "c1": "<i8", "t1": "<i8", "p1": "<f4",
-}
-_STATE = ", ".join(f"{n} binary" for n in _FIELDS)
-#: What a block gets back of its words.
-_ANSWER = ("w", "c", "p0", "n2", "ctx2", "p2", "n1", "ctx1", "p1")
+#: Rows of all steps: for whom, of what kind, from whom, and packed arrays. Parts are 0 to n - 1, owners follow.
+PAIRS, WORDS, PART, OWNER, ASKED, CHANGE, TOTAL = range(7)
+_COLUMNS = "abcdefg"
+_ROW = "to int, kind int, frm int, sums array<double>, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
-def _packed(arrays: dict[str, np.ndarray], **more: pa.Array) -> pa.RecordBatch:
-    """One row of binary columns."""
-    cols = {n: pa.array([np.ascontiguousarray(x, _FIELDS[n]).tobytes()], pa.binary()) for n, x in arrays.items()}
-    return pa.RecordBatch.from_pydict(more | cols)
+def _row(to: int, kind: int, frm: int = -1, *arrays: np.ndarray, sums=()) -> tuple:
+    return to, kind, frm, list(map(float, sums)), *(x.tobytes() for x in arrays), *([None] * (len(_COLUMNS) - len(arrays)))
 
 
-def _unpacked(batches):
-    for b in batches:
-        for i in range(b.num_rows):
-            yield {n: np.frombuffer(b.column(j)[i].as_buffer(), _FIELDS[n]) for j, n in enumerate(b.schema.names)}
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32()] * 3 + [pa.list_(pa.float64())] + [pa.binary()] * len(_COLUMNS)
+    names = ["to", "kind", "frm", "sums", *_COLUMNS]
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-class _Context(dict):
-    """Word -> its code as a context: last byte, plus 256 times the first byte for short words."""
+def _rows(t: pa.Table, kind: int) -> list[tuple]:
+    """(frm, column -> array of a type) of the rows of a kind, in order of the sender."""
+    kinds, frm = t.column("kind").to_pylist(), t.column("frm").to_pylist()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        code = self[word] = word[-1] + (256 * word[0] if len(word) <= SHORT else 0)
-        return code
+    def reader(i):
+        return lambda c, as_type: np.frombuffer(t.column(c)[i].as_buffer(), as_type)
 
+    return sorted(((frm[i], reader(i)) for i, k in enumerate(kinds) if k == kind), key=lambda x: x[0])
 
-_CONTEXT = _Context()
+
+def _joined(rows: list[tuple], column: str, as_type: str) -> np.ndarray:
+    parts = [get(column, as_type) for _, get in rows]
+    return np.concatenate(parts) if parts else np.empty(0, as_type)
 
 
 def encode(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids, context codes and the first token's place of each text."""
+    """Token ids, ids of the words before and the first token's place of each text."""
     ids, ctx, first, at = [], [], [], 0
     for t in texts:
         w = words(t)
         h = np.empty(len(w) + 1, np.int64)
         h[:-1], h[-1] = word_hashes(w).view(np.int64), END
-        c = np.zeros(len(h), np.int64)
-        c[1:] = np.fromiter(map(_CONTEXT.__getitem__, w), np.int64, len(w))
         ids.append(h)
-        ctx.append(c)
+        ctx.append(np.append(END, h[:-1]))
         first.append(at)
         at += len(h)
     return np.concatenate(ids) if ids else np.empty(0, np.int64), np.concatenate(ctx) if ctx else np.empty(0, np.int64), np.array(first, np.int64)
 
 
-def _lists(values: np.ndarray, lengths: np.ndarray, kind) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
-def _counts(batches):
-    """(block, text, train) -> a row for each distinct word of a block: its contexts and counts."""
-    held: dict[int, list] = {}
-    for whole in batches:
-        for lo in range(0, whole.num_rows, DOCS_PER_SLICE):
-            b = whole.slice(lo, DOCS_PER_SLICE)
-            block = np.asarray(b.column(0).to_pylist(), np.int64)
-            texts, train = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for k in np.unique(block).tolist():
-                at = np.flatnonzero(block == k)
-                ids, ctx, first = encode(texts[i] for i in at)
-                n = np.diff(np.append(first, len(ids)))
-                held.setdefault(k, []).append((ids, np.where(np.repeat([train[i] for i in at], n), ctx, -1).astype(np.int32)))
-            for k in [k for k, v in held.items() if sum(len(x[0]) for x in v) > TOKENS_PER_SLICE]:
-                yield from _block_rows(k, held.pop(k))
-    for k, v in held.items():
-        yield from _block_rows(k, v)
-
-
-def _block_rows(block: int, parts: list):
-    ids, ctx = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    w, inverse = np.unique(ids, return_inverse=True)
-    pair, n = np.unique((inverse.astype(np.int64) << 17) | (ctx + 1).astype(np.int64), return_counts=True)
-    at, ctx = pair >> 17, (pair & 0x1FFFF) - 1
-    train = ctx >= 0
-    lengths = np.bincount(at[train], minlength=len(w))
-    ctx, n, ends = ctx[train], n[train], np.cumsum(lengths)
-    for k in range(0, len(w), 50_000):
-        e = min(k + 50_000, len(w))
-        lo, hi = (ends[k - 1] if k else 0), ends[e - 1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(w[k:e]), pa.array(np.full(e - k, block, np.int32)), _lists(ctx[lo:hi], lengths[k:e], pa.int32()), _lists(n[lo:hi], lengths[k:e], pa.int32())],
-            ["w", "block", "ctx", "n"],
-        )
-
-
-def _merged(batches):
-    """Rows sorted by word -> state rows. Of a word that a row's end would cut only its sums and blocks are held on."""
-    held, wait = None, CHUNK
-    for b in batches:
-        if not b.num_rows:
-            continue
-        w, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-        of = np.repeat(w, b.column(2).value_lengths().to_numpy(zero_copy_only=False))
-        new = (w, block, of, b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy())
-        held = new if held is None else tuple(map(np.concatenate, zip(held, new)))
-        if len(held[0]) < wait:
-            continue
-        w, block, of, ctx, n = held
-        a, c = np.searchsorted(w, w[-1]), np.searchsorted(of, w[-1])
-        held = (w[a:], block[a:], *_sum_pairs(of[c:], ctx[c:], n[c:]))
-        wait = len(held[0]) + CHUNK
-        if a:
-            yield _state_row(w[:a], block[:a], *_sum_pairs(of[:c], ctx[:c], n[:c]))
-    if held is not None:
-        yield _state_row(*held[:2], *_sum_pairs(*held[2:]))
-
-
-def _sum_pairs(of, ctx, n):
-    """Sorted by word already; sums over equal (word, context)."""
-    if not len(of):
-        return of, ctx.astype(np.int64), n.astype(np.int64)
-    order = np.lexsort((ctx, of))
-    of, ctx, n = of[order], ctx[order], n[order]
-    new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (ctx[1:] != ctx[:-1])))
-    return of[new], ctx[new].astype(np.int64), np.add.reduceat(n.astype(np.int64), new)
-
-
-def _state_row(w, block, of, ctx, n) -> pa.RecordBatch:
-    word = np.unique(w)
-    # A block that sent a word more than once gets it back once.
-    pair = np.unique((np.searchsorted(word, w).astype(np.int64) << 32) | block)
-    asked, block = pair >> 32, pair & 0xFFFFFFFF
-    at = np.searchsorted(word, of)
-    deep = ctx >= 256
-    l1 = (at << 8) | (ctx & 255)
-    key1, inv = np.unique(l1, return_inverse=True)
-    direct = np.bincount(inv[~deep], n[~deep], len(key1)).astype(np.int64)
-    total = np.bincount(at, n, len(word)).astype(np.int64)
-    two = int(deep.sum())
-    return _packed(
-        {
-            "w": word, "c": total, "nb": np.bincount(asked, minlength=len(word)), "blocks": block, "t0": np.minimum(total, 1), "p0": np.zeros(len(word)),
-            "n2": np.bincount(at[deep], minlength=len(word)), "ctx2": ctx[deep], "c2": n[deep], "t2": np.ones(two), "p2": np.zeros(two),
-            "n1": np.bincount(key1 >> 8, minlength=len(word)), "ctx1": key1 & 255, "c1": direct, "t1": np.ones(len(key1)), "p1": np.zeros(len(key1)),
-        }
-    )
-
-
-class Totals:
-    """Customers and tables of every restaurant, the discounts, and the base."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root: tuple[float, float], discounts: tuple[float, float, float], seen: int):
-        self.c, self.t, self.root, self.d, self.seen = customers, tables, root, discounts, seen
-        self.base = (1 - UNSEEN) / max(1, seen)
-
-    def backoff(self) -> np.ndarray:
-        """By context code, the share that goes to the parent; for the root, the last entry."""
-        d = np.where(np.arange(1 << 16) < 256, self.d[1], self.d[2])
-        out = (STRENGTH + d * self.t) / (STRENGTH + self.c)
-        return np.append(out, (STRENGTH + self.d[0] * self.root[1]) / (STRENGTH + self.root[0]))
-
-
-class Seats:
-    """A state row's arrays."""
-
-    def __init__(self, row: dict[str, np.ndarray]):
-        self.row = row
-        self.c, self.n = row["c"], len(row["w"])
-        self.of2, self.of1 = np.repeat(np.arange(self.n), row["n2"]), np.repeat(np.arange(self.n), row["n1"])
-        self.ctx2, self.c2, self.t2, self.p2 = row["ctx2"].astype(np.int64), row["c2"], row["t2"], row["p2"].astype(float)
-        self.ctx1, self.direct, self.t1, self.p1 = row["ctx1"].astype(np.int64), row["c1"], row["t1"], row["p1"].astype(float)
-        self.t0, self.p0 = row["t0"], row["p0"]
-        self.up = np.searchsorted((self.of1 << 8) | self.ctx1, (self.of2 << 8) | (self.ctx2 & 255))
-
-    def c1(self) -> np.ndarray:
-        return self.direct + np.bincount(self.up, self.t2, len(self.direct)).astype(np.int64)
-
-    def c0(self) -> np.ndarray:
-        return np.bincount(self.of1, self.t1, self.n).astype(np.int64)
-
-    def probabilities(self, k: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        share = k.backoff()
-        base = np.where(self.c > 0, k.base, UNSEEN)
-        p0 = np.maximum(self.c0() - k.d[0] * self.t0, 0) / (STRENGTH + k.root[0]) + share[-1] * base
-        p1 = np.maximum(self.c1() - k.d[1] * self.t1, 0) / (STRENGTH + k.c[self.ctx1]) + share[self.ctx1] * p0[self.of1]
-        p2 = np.maximum(self.c2 - k.d[2] * self.t2, 0) / (STRENGTH + k.c[self.ctx2]) + share[self.ctx2] * p1[self.up]
-        return p0, p1, p2
-
-    def sweep(self, k: Totals, rng: np.random.Generator) -> None:
-        p0, p1, _ = self.probabilities(k)
-        self.t2 = tables(self.c2, p1[self.up], k.t[self.ctx2] - self.t2, k.d[2], rng)
-        self.t1 = tables(self.c1(), p0[self.of1], k.t[self.ctx1] - self.t1, k.d[1], rng)
-        self.t0 = tables(self.c0(), np.full(self.n, k.base), k.root[1] - self.t0, k.d[0], rng)
-
-    def now(self) -> dict[str, np.ndarray]:
-        return self.row | {"t0": self.t0, "p0": self.p0, "t2": self.t2, "p2": self.p2, "t1": self.t1, "p1": self.p1}
-
-    def answers(self):
-        """A row for each block: the words it asked for."""
-        now = self.now()
-        of = np.repeat(np.arange(self.n), now["nb"])
-        order = np.argsort(now["blocks"], kind="stable")
-        block, of = now["blocks"][order], of[order]
-        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        starts = {k: np.append(0, np.cumsum(now[f"n{k}"])) for k in (1, 2)}
-        for s, e in zip(cut.tolist(), np.append(cut[1:], len(block)).tolist()):
-            at = of[s:e]
-            out = {n: now[n][at] for n in ("w", "c", "p0", "n2", "n1")}
-            for k in (1, 2):
-                n = out[f"n{k}"]
-                pos = np.repeat(starts[k][at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                out[f"ctx{k}"], out[f"p{k}"] = now[f"ctx{k}"][pos], now[f"p{k}"][pos]
-            yield _packed({n: out[n] for n in _ANSWER}, block=pa.array([block[s]], pa.int32()))
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of context and word."""
+    x = (u.view(np.uint64) ^ (u.view(np.uint64) >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + w.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _share(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of n takes a hash."""
+    return (((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
+def _cuts(groups: np.ndarray, n: int) -> list[int]:
+    return np.searchsorted(groups, np.arange(n + 1)).tolist()
+
+
+def _block_tokens(texts: pa.ChunkedArray):
+    """Ids, contexts and token numbers of a block, text by text."""
+    parts = [encode(texts.slice(k, DOCS_PER_SLICE).to_pylist()) for k in range(0, len(texts), DOCS_PER_SLICE)]
+    n = [np.diff(np.append(first, len(ids))) for ids, _, first in parts]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(n)
+
+
+def _counts(n: int):
+    """A block's documents -> its pairs to the parts, its words to the owners."""
+
+    def run(t: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        block = t.column("block")[0].as_py()
+        ids, ctx, lengths = _block_tokens(t.column("text"))
+        held = np.repeat(np.asarray(t.column("held_out").to_pylist(), bool), lengths)
+        sent = []
+        for is_held in (False, True):
+            w, u = ids[held == is_held], ctx[held == is_held]
+            key = pair_key(u, w)
+            order = np.argsort(key)
+            new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+            times = np.diff(np.append(new, len(key))).astype(np.int32)
+            at = order[new]
+            # Pairs found once come last and need no count.
+            part = _share(key[at], n)
+            order = np.lexsort((times == 1, part))
+            sent.append((part[order], u[at][order], w[at][order], times[order]))
+        cuts = [_cuts(s[0], n) for s in sent]
+        rows = []
+        for p in range(n):
+            (_, u, w, times), (a, e) = sent[0], cuts[0][p : p + 2]
+            (_, hu, hw, _), (ha, he) = sent[1], cuts[1][p : p + 2]
+            if e > a or he > ha:
+                rows.append(_row(p, PAIRS, block, u[a:e], w[a:e], times[a:e][times[a:e] > 1], hu[ha:he], hw[ha:he]))
+        w, inverse = np.unique(ids, return_inverse=True)
+        count, asks = np.bincount(inverse[~held], minlength=len(w)), np.bincount(inverse[held], minlength=len(w)) > 0
+        owner = _share(w, n)
+        order = np.argsort(owner, kind="stable")
+        cut = _cuts(owner[order], n)
+        for q in range(n):
+            at = order[cut[q] : cut[q + 1]]
+            if len(at):
+                rows.append(_row(n + q, WORDS, block, w[at], count[at].astype(np.int32), asks[at].astype(np.uint8)))
+        return _table(rows)
+
+    return run
+
+
+def _changes(n: int, p: int, ids: np.ndarray, as_context: np.ndarray, as_dish: np.ndarray, more=None) -> list[tuple]:
+    """A part's words (by owner) and how many tables they gained; of ``more`` no total is asked."""
+    cut = _cuts(_share(ids, n), n)
+    more = more or (np.empty(0, np.int64),) * 3
+    other = _cuts(_share(more[0], n), n)
+    return [
+        _row(n + q, CHANGE, p, *(x[cut[q] : cut[q + 1]].astype(np.int64) for x in (ids, as_context, as_dish)), *(x[other[q] : other[q + 1]].astype(np.int64) for x in more))
+        for q in range(n)
+        if cut[q + 1] > cut[q] or other[q + 1] > other[q]
+    ]
+
+
+def _by_owner(ids: np.ndarray, n: int) -> np.ndarray:
+    ids = np.unique(ids)
+    return ids[np.argsort(_share(ids, n), kind="stable")]
+
+
+def _places(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where ``of`` stand in ``ids``; all are there."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.searchsorted(ids[order], of)]
+
+
+def _gather(n: int):
+    """What the blocks sent to a part or owner -> its state, whom to answer, and the first tables."""
+
+    def part(p: int, sent: list[tuple]) -> list[tuple]:
+        us, ws, ns, frm, asks = [], [], [], [], []
+        for block, get in sent:
+            u, hu, times = get("a", "<i8"), get("d", "<i8"), get("c", "<i4")
+            us += [u, hu]
+            ws += [get("b", "<i8"), get("e", "<i8")]
+            ns += [times, np.ones(len(u) - len(times), np.int32), np.zeros(len(hu), np.int32)]
+            frm.append(np.full(len(u) + len(hu), block, np.int32))
+        u, w, times, frm = map(np.concatenate, (us, ws, ns, frm))
+        key = pair_key(u, w)
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, key[order][1:] != key[order][:-1])
+        start = np.flatnonzero(new)
+        c = np.add.reduceat(times[order].astype(np.int64), start)
+        at = order[start]
+        u, w, pair = u[at], w[at], np.cumsum(new) - 1
+        many, once = c > 1, c == 1
+        place = np.cumsum(many) - 1
+        ids = _by_owner(np.concatenate([u[many], w[many]]), n)
+        iu, iw = _places(ids, u[many]), _places(ids, w[many])
+        rest = _by_owner(np.concatenate([u[once], w[once]]), n)
+        ones = [np.bincount(_places(rest, x[once]), minlength=len(rest)) for x in (u, w)]
+        d = c[many]
+        rows = [_row(p, PART, -1, ids, iu.astype(np.int32), iw.astype(np.int32), d, np.ones(len(d), np.int64), np.zeros(len(d)), key[at][many], sums=(once.sum(), (c == 2).sum(), once.sum() + many.sum()))]
+        rows += _changes(n, p, ids, np.bincount(iu, minlength=len(ids)), np.bincount(iw, minlength=len(ids)), (rest, *ones))
+        sender, is_held = frm[order], times[order] == 0
+        for block, _ in sent:
+            mine = sender == block
+            rows.append(_row(p, ASKED, block, np.unique(place[pair[mine & many[pair]]]).astype(np.int32), key[at][pair[mine & is_held & once[pair]]]))
+        return rows
+
+    def owner(q: int, sent: list[tuple]) -> list[tuple]:
+        ids, count, asks = _joined(sent, "a", "<i8"), _joined(sent, "b", "<i4"), _joined(sent, "c", "u1")
+        w, inverse = np.unique(ids, return_inverse=True)
+        c = np.bincount(inverse, count, len(w)).astype(np.int64)
+        many = c > 1
+        place = np.cumsum(many) - 1
+        zero, k = np.zeros(many.sum(), np.int64), 0
+        size, times = np.unique(c[many], return_counts=True)
+        left_out = [float((times * size * np.log(size - 1 - d)).sum()) for d in DISCOUNTS]
+        rows = [_row(q, OWNER, -1, w[many], c[many], zero, zero, zero + 1, zero * 0.0, zero * 0.0, sums=((c == 1).sum(), c.sum(), (c > 0).sum(), *left_out))]
+        for block, get in sent:
+            at = inverse[k : (k := k + len(get("a", "<i8")))]
+            once = (c[at] == 1) & (get("c", "u1") > 0)
+            rows.append(_row(q, ASKED, block, place[at[many[at]]].astype(np.int32), w[at[once]]))
+        return rows
+
+    def run(t: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        to = t.column("to")[0].as_py()
+        return _table(part(to, _rows(t, PAIRS)) if to < n else owner(to, _rows(t, WORDS)))
+
+    return run
+
+
+def _owned(n: int, discounts: tuple[float, float], base: float, customers: float, root: float, keep: bool, seed: int):
+    """Owners: take in the changes, redraw the root's tables, answer the parts with totals and unigram probabilities."""
+
+    discount, below = discounts
+
+    def run(t: pa.Table) -> pa.Table:
+        to = t.column("to")[0].as_py()
+        changes = _rows(t, CHANGE)
+        [(_, get)] = _rows(t, OWNER)
+        ids, c, t0 = get("a", "<i8"), get("b", "<i8"), get("e", "<i8")
+        tables_of, dishes = get("c", "<i8").copy(), get("d", "<i8").copy()
+        asked, once = [], np.zeros(len(ids), np.int64)
+        for frm, got in changes:
+            for x, y, z in ("abc", "def"):  # the latter are of pairs found once
+                words_, a, b = got(x, "<i8"), got(y, "<i8"), got(z, "<i8")
+                at = np.minimum(np.searchsorted(ids, words_), max(len(ids) - 1, 0))
+                has = ids[at] == words_ if len(ids) else np.zeros(len(words_), bool)
+                tables_of[at[has]] += a[has]  # each word is there once
+                dishes[at[has]] += b[has]
+                if x == "d":
+                    once[at[has]] += a[has]
+                if x == "a" and len(words_):
+                    asked.append((frm, at))
+        t0 = tables(dishes, np.full(len(ids), base), root - t0, discount, np.random.default_rng((SEED, seed, to)))
+        at = once > 0
+        left_out = [(once[at] * np.log((k + below * (tables_of[at] - 1)) / (k + c[at] - 1))).sum() for k in STRENGTHS] if at.any() else np.zeros(len(STRENGTHS))
+        own = np.maximum(dishes - discount * t0, 0) / (STRENGTH + customers)
+        p0 = own + (STRENGTH + discount * root) / (STRENGTH + customers) * base
+        rows = [_row(to, OWNER, -1, ids, c, tables_of, dishes, t0, get("f", "<f8") + keep * own, get("g", "<f8") + keep * tables_of, sums=(t0.sum(), *left_out))]
+        rows += [_row(frm, TOTAL, to, tables_of[at], p0[at], c[at]) for frm, at in asked]
+        return _table(rows)
+
+    return run
+
+
+def _left_out(discount: float):
+    """Parts: by each of STRENGTHS, the log-likelihood of every customer given the others, of pairs found twice or more."""
+
+    def run(t: pa.Table) -> pa.Table:
+        [(_, get)] = _rows(t, PART)
+        totals = _rows(t, TOTAL)
+        iu, iw, c, t2 = get("b", "<i4"), get("c", "<i4"), get("d", "<i8"), get("e", "<i8")
+        total, p0, customers = _joined(totals, "a", "<i8")[iu], _joined(totals, "b", "<f8")[iw], _joined(totals, "c", "<i8")[iu]
+        left = np.minimum(t2, c - 1)
+        own, shared = c - 1 - discount * left, discount * (total - (t2 - left))
+        sums = [(c * np.log((own + (k + shared) * p0) / (k + customers - 1))).sum() for k in STRENGTHS]
+        return _table([_row(t.column("to")[0].as_py(), PART, -1, sums=sums)])
+
+    return run
+
+
+def _seated(n: int, discount: float, strength: float, keep: bool, seed: int):
+    """Parts: redraw the tables of every pair, tell the owners what changed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        p = t.column("to")[0].as_py()
+        [(_, get)] = _rows(t, PART)
+        totals = _rows(t, TOTAL)
+        total, p0 = _joined(totals, "a", "<i8"), _joined(totals, "b", "<f8")
+        ids, iu, iw, c, old = get("a", "<i8"), get("b", "<i4"), get("c", "<i4"), get("d", "<i8"), get("e", "<i8")
+        t2 = tables(c, p0[iw], total[iu] - old, discount, np.random.default_rng((SEED, seed, p)), strength)
+        change = [np.bincount(i, t2 - old, len(ids)) for i in (iu, iw)]
+        return _table([_row(p, PART, -1, ids, iu, iw, c, t2, get("f", "<f8") + keep * t2, get("g", "<i8"), sums=((t2 - old).sum(),)), *_changes(n, p, ids, *change)])
+
+    return run
+
+
+def _answers(n: int, discount: float, kept: int):
+    """Parts and owners -> what each block asked for."""
+
+    def run(t: pa.Table) -> pa.Table:
+        to = t.column("to")[0].as_py()
+        [(_, get)] = _rows(t, PART if to < n else OWNER)
+        rows = []
+        if to < n:
+            key, own = get("g", "<i8"), get("d", "<i8") - discount * get("f", "<f8") / kept
+            for block, ask in _rows(t, ASKED):
+                at, once = ask("a", "<i4"), ask("b", "<i8")
+                rows.append(_row(block, PAIRS, to, np.concatenate([key[at], once]), np.concatenate([own[at], np.full(len(once), 1 - discount)])))
+        else:
+            for block, ask in _rows(t, ASKED):
+                at, once = ask("a", "<i4"), ask("b", "<i8")
+                rows.append(_row(block, WORDS, to, get("a", "<i8")[at], get("b", "<i8")[at], get("f", "<f8")[at] / kept, get("g", "<f8")[at] / kept, once))
+        return _table(rows)
+
+    return run
 
 
 _STIRLING: dict[float, np.ndarray] = {}
@@ -273,7 +337,7 @@ def log_stirling(d: float) -> np.ndarray:
     return _STIRLING[d]
 
 
-def tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator, strength: float = STRENGTH) -> np.ndarray:
     """Numbers of tables of dishes with c customers each, given the parent's probability and the other tables there."""
     t = np.minimum(c, 1)
     others = np.maximum(others, 0)
@@ -283,7 +347,7 @@ def tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, rng:
     for size in range(2, EXACT + 1):
         for k in range(edges[size - 2], edges[size - 1], 100_000):
             at = order[k : min(k + 100_000, edges[size - 1])]
-            new = np.log(STRENGTH + d * (others[at, None] + np.arange(size))) + np.log(parent[at, None])
+            new = np.log(strength + d * (others[at, None] + np.arange(size))) + np.log(parent[at, None])
             logs = np.cumsum(new, 1) + stirling[size, 1 : size + 1]
             weight = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
             t[at] = 1 + (weight < rng.random((len(at), 1)) * weight[:, -1:]).sum(1)
@@ -295,7 +359,7 @@ def tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, rng:
             if not len(go):
                 break
             group = np.minimum(max(1, n // 10), left[go] - n).astype(np.int64)
-            a = (STRENGTH + d * (own[go] + seated[go])) * p[go]
+            a = (strength + d * (own[go] + seated[go])) * p[go]
             chance = a / (a + np.maximum(n + group / 2 - d * seated[go], 1e-9))
             seated[go] += rng.binomial(group, np.clip(chance, 0, 1))
             n += max(1, n // 10)
@@ -303,82 +367,49 @@ def tables(c: np.ndarray, parent: np.ndarray, others: np.ndarray, d: float, rng:
     return t
 
 
-def _totals(state: DataFrame, discounts: tuple[float, float, float], seen: int) -> Totals:
-    """Sums over the state; contexts number 65,536 at most."""
-
-    def run(batches):
-        c, t, root = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(2)
-        for row in _unpacked(batches):
-            s = Seats(row)
-            c1 = s.c1()
-            c += np.bincount(s.ctx2, s.c2, 1 << 16) + np.bincount(s.ctx1, c1, 1 << 16)
-            t += np.bincount(s.ctx2, s.t2, 1 << 16) + np.bincount(s.ctx1, s.t1, 1 << 16)
-            root += s.c0().sum(), s.t0.sum()
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(c[at], root[0])), pa.array(np.append(t[at], root[1]))], ["ctx", "c", "t"])
-
-    rows = state.mapInArrow(run, "ctx int, c double, t double").groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toPandas()
-    c, t = np.zeros(1 << 16), np.zeros(1 << 16)
-    own = rows[rows.ctx >= 0]
-    c[own.ctx], t[own.ctx] = own.c, own.t
-    top = rows[rows.ctx < 0]
-    return Totals(c, t, (float(top.c.sum()), float(top.t.sum())), discounts, seen)
+def _scored(discount: float, strength: float, once: float, backoff: float, n_train: int, seen: int):
+    """``once``: the root's own share of a word with one customer; ``backoff``: what goes to its base."""
+    base = (1 - UNSEEN) / max(1, seen)
 
+    def sorted_by(key: np.ndarray, *values: np.ndarray) -> tuple:
+        order = np.argsort(key)
+        return key[order], *(v[order] for v in values)
 
-def _discounts(state: DataFrame) -> tuple[tuple[float, float, float], int, int]:
-    """Discounts n1 / (n1 + 2 n2) from the numbers of dishes with one and two customers, by level; N and V."""
+    def look(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, of), max(len(keys) - 1, 0))
+        return at, (keys[at] == of if len(keys) else np.zeros(len(of), bool))
 
-    def run(batches):
-        x = np.zeros(8, np.int64)
-        for row in _unpacked(batches):
-            x += [*((row[f].ravel() == k).sum() for f in ("c", "c1", "c2") for k in (1, 2)), row["c"].sum(), (row["c"] > 0).sum()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(8, dtype=np.int32)), pa.array(x)], ["k", "x"])
-
-    rows = {r["k"]: int(r["x"]) for r in state.mapInArrow(run, "k int, x long").groupBy("k").agg(F.sum("x").alias("x")).collect()}
-    x = [rows.get(k, 0) for k in range(8)]
-    d = tuple(float(np.clip((x[2 * i] + 0.5) / (x[2 * i] + 2 * x[2 * i + 1] + 1), 0.1, 0.9)) for i in range(3))
-    return d, x[6], x[7]
-
-
-def _bytes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    """The values of a binary column's rows one after another, as they lie in memory."""
-    parts = []
-    for chunk in column.chunks:
-        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(chunk) else np.empty(0, np.uint8))
-    whole = parts[0] if len(parts) == 1 else np.concatenate(parts)
-    return whole.view(kind)
-
-
-def _scored(shares: np.ndarray, n_train: int, seen: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, right: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()  # what the worker's earlier tasks held
-        docs = left
-        got = {n: _bytes(right.column(n), _FIELDS[n]) for n in _ANSWER}
-        order = np.argsort(got["w"], kind="stable")
-        w, c, p0 = got["w"][order], got["c"], got["p0"]
-        # Words count in the order they came in, contexts ascend inside a word: so the keys are sorted as they are.
-        keys = {level: (np.repeat(np.arange(len(order)), got[f"n{level}"]) << 16) | got[f"ctx{level}"] for level in ("1", "2")}
-        values = {level: got[f"p{level}"] for level in ("1", "2")}
-
-        def look(level: str, context: np.ndarray, parent: np.ndarray, where: np.ndarray) -> np.ndarray:
-            k = (where << 16) | context
-            i = np.minimum(np.searchsorted(keys[level], k), max(len(keys[level]) - 1, 0))
-            p = shares[context] * parent
-            if len(keys[level]):
-                hit = keys[level][i] == k
-                p[hit] = values[level][i[hit]]
-            return p
-
+        got = _rows(right, PAIRS)
+        pairs, own = sorted_by(_joined(got, "a", "<i8"), _joined(got, "b", "<f8"))
+        got = _rows(right, WORDS)
+        single = _joined(got, "e", "<i8")
+        fill = lambda column, kind, x: np.concatenate([_joined(got, column, kind), np.full(len(single), x)])
+        w, c, first0, tables_of = sorted_by(np.concatenate([_joined(got, "a", "<i8"), single]), fill("b", "<i8", 1), fill("c", "<f8", once), fill("d", "<f8", 1.0))
         out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for k in range(0, docs.num_rows, DOCS_PER_SLICE):
             ids, ctx, first = encode(docs.column("text").slice(k, DOCS_PER_SLICE).to_pylist())
-            at = order[np.searchsorted(w, ids)]
-            p = look("1", ctx & 255, p0[at], at)
-            deep = np.flatnonzero(ctx >= 256)
-            p[deep] = look("2", ctx[deep], p[deep], at[deep])
-            count = c[at]
-            out["n_tokens"].append(np.diff(np.append(first, len(ids))))
+            n = np.diff(np.append(first, len(ids)))
+            held = np.asarray(docs.column("held_out").slice(k, DOCS_PER_SLICE).to_pylist(), bool)
+            train = np.repeat(~held, n).astype(np.int64)
+            # What training documents hold and nobody answered for occurs once.
+            at, has = look(w, ids)
+            count, p = train.copy(), np.where(train > 0, once, 0.0)
+            known = at[has]
+            count[has], p[has] = c[known], first0[known]
+            p += backoff * np.where(count > 0, base, UNSEEN)
+            # The word before is the token before; before a text's first one stands the end, its last one.
+            back = np.arange(len(ids)) - 1
+            back[first] = first + n - 1
+            seats = train.astype(float)
+            seats[has] = tables_of[known]
+            customers, seats = count[back], seats[back]
+            at, has = look(pairs, pair_key(ctx, ids))
+            mine = train * (1 - discount)
+            mine[has] = own[at[has]]
+            p = (mine + (strength + discount * seats) * p) / (strength + customers)
+            out["n_tokens"].append(n)
             out["n_known"].append(np.add.reduceat((count > 0).astype(np.int64), first))
             out["base_score"].append(np.add.reduceat(np.log10((count + 1.0) / (n_train + seen + 1.0)), first))
             out["score"].append(np.add.reduceat(np.log10(p), first))
@@ -393,49 +424,52 @@ def _scored(shares: np.ndarray, n_train: int, seen: int):
     return run
 
 
+def _sums(rows: DataFrame, kind: int, n: int) -> list[float]:
+    """Sums of what the parts or owners report."""
+    got = rows.where(F.col("kind") == kind).agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0.0)) for k in range(n)]).first()
+    return list(got)
+
+
 def score(docs: DataFrame, folds: int = 7, held: int = 2, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows whose crc32(doc_id) mod folds is not ``held``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
-    blocks = max(1, -(-docs.count() // DOCS_PER_BLOCK))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", out.alias("held_out"))
-    rows = dealt.select("block", "text", (~F.col("held_out")).alias("train")).repartition(blocks, "block").mapInArrow(_counts, "w long, block int, ctx array<int>, n array<int>")
-    state = scratch.put(rows.repartition("w").sortWithinPartitions("w").mapInArrow(_merged, _STATE), "state")
-    del rows  # or its shuffle files stay as long as its plan does
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK_BYTES))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", out.alias("held_out"))
+    sent = dealt.select("block", "text", "held_out").groupBy("block").applyInArrow(_counts(n), _ROW)
+    first = scratch.put(sent.groupBy("to").applyInArrow(_gather(n), _ROW), "first")
+    del sent  # or its shuffle files stay as long as its plan does
     scratch.release()
-    discounts, n_train, seen = _discounts(state)
-    totals = _totals(state, discounts, seen)
-    share, kept = np.zeros((1 << 16) + 1), 0
+    of = lambda rows, *kinds: rows.where(F.col("kind").isin(*kinds))
+    one, two, customers = _sums(first, PART, 3)
+    one0, n_train, seen, *many0 = _sums(first, OWNER, 3 + len(DISCOUNTS))
+    n_train, seen = int(n_train), int(seen)
+    d2 = float(np.clip((one + 0.5) / (one + 2 * two + 1), 0.1, 0.9))
+    d0 = float(DISCOUNTS[np.argmax(np.add(many0, one0 * np.log(STRENGTH + DISCOUNTS * max(seen - 1, 0))))])
+    base, root = (1 - UNSEEN) / max(1, seen), float(seen)
+    parts, owners, sweeps, kept, own, backoff = first, first, max(1, sweeps), 0, 0.0, 0.0
     for s in range(sweeps + 1):
-        keep, last = s > BURN_IN or sweeps <= BURN_IN and s == sweeps, s == sweeps
+        keep = s > min(BURN_IN, sweeps - 1)
+        if s:
+            new = scratch.put(of(parts, PART).union(of(owners, TOTAL)).groupBy("to").applyInArrow(_seated(n, d2, strength, keep, s), _ROW), "parts")
+            if parts is not first:
+                scratch.drop(parts)
+            parts = new
+            customers += _sums(parts, PART, 1)[0]
+        new = scratch.put(of(owners, OWNER).union(of(parts, CHANGE)).groupBy("to").applyInArrow(_owned(n, (d0, d2), base, customers, root, keep, s), _ROW), "owners")
+        if owners is not first:
+            scratch.drop(owners)
+        owners = new
+        top, *alone = _sums(owners, OWNER, 1 + len(STRENGTHS))
+        root = top + one0
+        if not s:
+            likelihood = _sums(of(parts, PART).union(of(owners, TOTAL)).groupBy("to").applyInArrow(_left_out(d2), _ROW), PART, len(STRENGTHS))
+            strength = float(STRENGTHS[np.argmax(np.add(likelihood, alone))])
         if keep:
-            share, kept = share + totals.backoff(), kept + 1
-        shared = spark.sparkContext.broadcast((totals, keep, last, kept))
-
-        def sweep(batches, shared=shared, s=s):
-            from pyspark import TaskContext
-
-            k, keep, last, n = shared.value
-            rng = np.random.default_rng((SEED, s, TaskContext.get().partitionId()))
-            for row in _unpacked(batches):
-                seats = Seats(row)
-                if keep:
-                    p0, p1, p2 = seats.probabilities(k)
-                    seats.p0, seats.p1, seats.p2 = seats.p0 + p0, seats.p1 + p1, seats.p2 + p2
-                if last:
-                    seats.p0, seats.p1, seats.p2 = seats.p0 / n, seats.p1 / n, seats.p2 / n
-                    yield from seats.answers()
-                else:
-                    seats.sweep(k, rng)
-                    yield _packed(seats.now())
-
-        if not last:
-            new = scratch.put(state.mapInArrow(sweep, _STATE), "state")
-            scratch.drop(state)
-            state = new
-            totals = _totals(state, discounts, seen)
-    answers = state.mapInArrow(sweep, "block int, " + ", ".join(f"{n} binary" for n in _ANSWER))
-    texts = dealt.select("block", "doc_id", "text", "held_out")
+            kept, own, backoff = kept + 1, own + (1 - d0) / (STRENGTH + customers), backoff + (STRENGTH + d0 * root) / (STRENGTH + customers)
+    scratch.release()
+    answers = of(parts, PART).union(of(owners, OWNER)).union(of(first, ASKED)).groupBy("to").applyInArrow(_answers(n, d2, kept), _ROW)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(share / max(kept, 1), n_train, seen), schema)
+    run = _scored(d2, strength, own / kept, backoff / kept, n_train, seen)
+    return dealt.groupBy("block").cogroup(answers.withColumnRenamed("to", "block").groupBy("block")).applyInArrow(run, schema)
