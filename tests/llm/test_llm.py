@@ -255,6 +255,17 @@ def test_forward_algorithm_sums_all_segmentations():
     assert np.allclose(lang_id.word_log_probs([word], v, p)[0], np.log(brute(0)))
 
 
+def test_toxicity_keeps_varied_wording(spark):
+    # 2,500 toxic words, each in a tenth of the toxic texts: far more telling n-grams than 8,000.
+    rng = random.Random(12)
+    toxic = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(2500)]
+    rows = [doc(i, " ".join(rng.sample(toxic, 250)) if i % 2 else prose(rng, 250)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, label int")
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), labels)
+    assert len(model.kept) > 15_000
+    assert np.mean([bool(len(model.features(w))) for w in toxic]) > 0.99
+
+
 def test_pitman_yor(spark, docs, empty):
     rng = random.Random(8)
     rows = [doc(i, prose(rng, 50)) for i in range(120)] + [doc(500, None), doc(501, "  "), doc(502, "entirely unseen wordings"), doc(3, "again the same id")]

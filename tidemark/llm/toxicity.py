@@ -25,11 +25,11 @@ from ..session import ship
 from .common import fold
 
 ORDERS = (3, 4, 5)
-MAX_POSITIVE, MAX_NEGATIVE = 2_500, 5_000
-KEPT, LEAST_DOCS = 8_000, 4
+MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
+KEPT, LEAST_DOCS = 20_000, 4
 #: n-grams whose shares differ by fewer deviations are chance finds; the ALWAYS furthest apart are kept in any case.
 LEAST_APART, ALWAYS = 3.0, 100
-SMOOTH, L2, STEPS, ROWS = 1.0, 1e-4, 120, 512
+SMOOTH, L2, STEPS, ROWS = 1.0, 1e-4, 150, 512
 SLOTS = 19
 
 
