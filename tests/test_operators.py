@@ -320,3 +320,16 @@ def test_entry_without_llm(sf):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'E13_rate_pivot' in q and not any(k.startswith('op') for k in q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=to, env=os.environ | {"PYTHONPATH": to}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
+
+
+def test_scoring_after_observed_metrics_and_a_pipeline_run(spark, sf):
+    """A session that observes metrics can't be shipped; fitted models must not hold it."""
+    from pyspark.sql import Observation
+
+    from tidemark.plans import catalog
+
+    seen = Observation("rows")
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert catalog.QUERIES["I6_pipeline"](spark, sf).count() > 0
+    for name in ("R1_predict_batch", "M8_stack", "M14_offline_evaluation", "M16_permutation_importance", "M17_two_target"):
+        assert catalog.QUERIES[name](spark, sf).count() > 0, name

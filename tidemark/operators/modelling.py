@@ -19,7 +19,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .drift import cumulative
@@ -38,7 +38,8 @@ def unit_hash(ident: str, seed: int) -> Column:
 
 def label_encode(df: DataFrame, target: str, out: str = "label") -> DataFrame:
     """M1: 1 for the second of the two sorted classes; null stays null."""
-    classes = df.agg(F.slice(F.sort_array(F.collect_set(F.col(target).cast("string"))), 1, 3).alias("c")).first()["c"]
+    named = F.col(target).cast("string")
+    classes = sorted(r[0] for r in df.where(named.isNotNull()).select(named).distinct().limit(3).collect())
     if len(classes) != 2:
         raise ValueError(f"{target} has not two classes")
     return df.withColumn(out, (F.col(target).cast("string") == classes[1]).cast("int"))
@@ -139,6 +140,18 @@ def learner(name: str, label: str = "label", weight: str | None = None, seed: in
     return GBTClassifier(maxIter=20, maxDepth=4, seed=seed, **kw)
 
 
+def slim(model):
+    """The fitted model, or pipeline of models, without its training summaries.
+
+    A summary holds the training data's session, which would be shipped to the executors with every
+    transform, and can't be once the session observes metrics.
+    """
+    for m in getattr(model, "stages", [model]):
+        if getattr(m, "hasSummary", False):
+            m._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def trial_budget(rows: int, asked: int = 50) -> int:
     """M7."""
     if rows < SMALL:
@@ -173,7 +186,7 @@ def out_of_fold(df: DataFrame, names: Sequence[str], ident: str, label: str = "l
     for name in names:
         parts = None
         for f in range(k):
-            m = learner(name, label).fit(df.where(F.col(fold) != f))
+            m = slim(learner(name, label).fit(df.where(F.col(fold) != f)))
             p = m.transform(df.where(F.col(fold) == f)).select(F.col(ident), F.col(label), vector_to_array("probability")[1].alias(f"s_{name}"))
             parts = p if parts is None else parts.unionByName(p)
         out = parts if out is None else out.join(parts.drop(label), ident)
@@ -185,7 +198,7 @@ def stack(oof: DataFrame, names: Sequence[str], label: str = "label") -> tuple[o
     v = VectorAssembler(inputCols=[f"s_{n}" for n in names], outputCol="features").transform(oof)
     best, best_auc = None, -1.0
     for est in (LogisticRegression(labelCol=label, regParam=0.001), LogisticRegression(labelCol=label, regParam=0.01), LinearRegression(labelCol=label, regParam=0.1)):
-        m = est.fit(v)
+        m = slim(est.fit(v))
         scored = m.transform(v)
         s = scored.withColumn("score", vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction"))
         auc = roc_auc(s, "score", label).first()["auc"]
@@ -202,7 +215,7 @@ def calibrate(valid: DataFrame, check: DataFrame, score: str, label: str = "labe
         out = m.transform(check).withColumnRenamed("prediction", "calibrated")
     else:
         va = VectorAssembler(inputCols=[score], outputCol="__s")
-        m = LogisticRegression(labelCol=label, featuresCol="__s").fit(va.transform(valid))
+        m = slim(LogisticRegression(labelCol=label, featuresCol="__s").fit(va.transform(valid)))
         out = m.transform(va.transform(check)).withColumn("calibrated", vector_to_array("probability")[1])
     before, after = (roc_auc(out, s, label).first()["auc"] for s in (score, "calibrated"))
     return m, bool(after is not None and before is not None and before - after <= CALIBRATION_LOSS), out
@@ -253,7 +266,7 @@ def campaign_roi(p_at_k: DataFrame, value: Column | float, success: float = 0.3,
 def evaluate_logistic(df: DataFrame, pipeline: Pipeline, ident: str, label: str, test: float = 0.3) -> tuple[PipelineModel, DataFrame]:
     """Split, fit the feature pipeline and a logistic regression, score the test rows."""
     d = stratified_split(df, ident, label, test)
-    m = Pipeline(stages=[*pipeline.getStages(), LogisticRegression(labelCol=label, maxIter=50)]).fit(d.where(~F.col("is_test")))
+    m = slim(Pipeline(stages=[*pipeline.getStages(), LogisticRegression(labelCol=label, maxIter=50)]).fit(d.where(~F.col("is_test"))))
     return m, m.transform(d.where("is_test")).withColumn("score", vector_to_array("probability")[1])
 
 
@@ -273,6 +286,7 @@ def vector_names(df: DataFrame, column: str = "features") -> list[str]:
 def permutation_importance(model, df: DataFrame, columns: Sequence[str], ident: str, label: str, rows: int = 100, seed: int = 42) -> DataFrame:
     """The AUC lost when a column's values are dealt anew among a hash-ordered sample of rows."""
     d = df.orderBy(unit_hash(ident, seed), ident).limit(rows).persist()
+    model = slim(model)
     auc = lambda x: roc_auc(model.transform(x).withColumn("__s", vector_to_array("probability")[1]), "__s", label).first()["auc"] or 0.0
     base, out = auc(d), []
     number = lambda x, how, name: x.withColumn(name, F.row_number().over(Window.orderBy(how)))  # noqa: E731  at most ``rows`` rows
@@ -285,7 +299,7 @@ def permutation_importance(model, df: DataFrame, columns: Sequence[str], ident:
 
 def two_target(df: DataFrame, label: str, composite: str) -> tuple[object, object, DataFrame]:
     """A classifier and a regressor on one feature vector; 0.7 cross entropy + 0.3 squared error of both; probabilities from the first."""
-    a, b = LogisticRegression(labelCol=label, maxIter=50).fit(df), LinearRegression(labelCol=composite).fit(df)
+    a, b = slim(LogisticRegression(labelCol=label, maxIter=50).fit(df)), slim(LinearRegression(labelCol=composite).fit(df))
     s = b.transform(a.transform(df).withColumnRenamed("prediction", "__pa").withColumn("p", vector_to_array("probability")[1]))
     p = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
     bce = -(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p))

@@ -6,6 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .modelling import slim
+
 
 def classify_risk(p: str | Column, t: str | Column | float) -> Column:
     """R2: High from min(1.5 t, 0.85), Medium from t, else Low."""
@@ -16,7 +18,7 @@ def classify_risk(p: str | Column, t: str | Column | float) -> Column:
 
 def predict_batch(model, df: DataFrame, ident: str, threshold: float) -> DataFrame:
     """Id, probability and tier of every row; the model runs in the JVM. Works on streams too."""
-    out = model.transform(df)
+    out = slim(model).transform(df)
     p = vector_to_array("probability")[1]
     return out.select(F.col(ident), p.alias("probability"), classify_risk(p, threshold).alias("risk"))
 

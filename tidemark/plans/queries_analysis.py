@@ -364,7 +364,7 @@ def M8_stack(spark, sf):
 
 def _scored(spark, sf):
     d = _vector(spark, sf)
-    m = LogisticRegression(maxIter=20).fit(d)
+    m = M.slim(LogisticRegression(maxIter=20).fit(d))
     return d, m, m.transform(d).withColumn("score", vector_to_array("probability")[1])
 
 
