@@ -22,6 +22,7 @@ from tidemark.operators import lineage as G
 from tidemark.operators import modelling as M
 from tidemark.operators import profiling as T
 from tidemark.operators import quality as V
+from tidemark.operators import quantiles as Q
 from tidemark.operators import scoring as R
 from tidemark.sources import io as S
 from tidemark.streaming import streams
@@ -295,7 +296,15 @@ def test_coresets(spark):
     herd = CS.herding(e, "id", "v", 50)
     assert herd.count() == 50 and shift(herd) <= np.mean([shift(e.orderBy(F.xxhash64("id", F.lit(s))).limit(50)) for s in range(3)])
     assert CS.k_center(e, "id", "v", 20).count() == 20
-    assert 50 <= CS.herding(e, "id", "v", 50, bucket=100).count() <= 50
+    x = {r["id"]: np.array(r["v"], float) for r in e.collect()}
+    mean, took, total = np.mean(list(x.values()), 0), [], 0
+    for k in range(50):
+        took.append(min((i for i in x if i not in took), key=lambda i: (round(((mean - (total + x[i]) / (k + 1)) ** 2).sum(), 12), i)))
+        total = total + x[took[-1]]
+    assert {r["id"] for r in herd.collect()} == set(took)
+    far = [r["id"] for r in CS.k_center(e, "id", "v", 20).collect()]
+    cover = lambda ids: max(min(((x[i] - x[j]) ** 2).sum() for j in ids) for i in x)
+    assert cover(far) <= np.mean([cover(list(x)[s::15][:20]) for s in range(3)])
     one = spark.createDataFrame([(i, (np.ones(32) * i).tolist()) for i in range(100)], "id int, v array<double>")
     assert 1 <= CS.effective_rank(one, "v") < 1.5
     g = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (100, 32)))], "id int, v array<double>")
@@ -333,3 +342,40 @@ def test_scoring_after_observed_metrics_and_a_pipeline_run(spark, sf):
     assert catalog.QUERIES["I6_pipeline"](spark, sf).count() > 0
     for name in ("R1_predict_batch", "M8_stack", "M14_offline_evaluation", "M16_permutation_importance", "M17_two_target"):
         assert catalog.QUERIES[name](spark, sf).count() > 0, name
+
+
+def test_exact_quantiles_by_range_buckets(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=300), np.repeat(1.5, 200), [-0.0, 0.0, 1e300, -1e300]])
+    rows = [(i, "ab"[i % 2] if i % 5 else None, float(v), int(i % 7)) for i, v in enumerate(x)] + [(900, "c", None, None), (901, "c", float("nan"), 3)]
+    d = spark.createDataFrame(rows, "i int, g string, x double, k int")
+    points = (0, 0.01, 0.25, 0.5, 0.99, 1)
+    got = {(r["g"], r["column_name"]): (r["q"], r["n"], r["distinct"]) for r in Q.quantiles(d, ["x", "k"], points, "g").collect()}
+    assert set(got) == {(g, c) for g in ("a", "b", None) for c in "xk"} | {("c", "k")}
+    for (g, c), (q, n, distinct) in got.items():
+        v = [r[2 if c == "x" else 3] for r in rows if r[1] == g and r[2 if c == "x" else 3] is not None and r[2 if c == "x" else 3] == r[2 if c == "x" else 3]]
+        assert n == len(v) and distinct == len(set(v)) and np.allclose(q, np.quantile(v, points), rtol=1e-12)
+    assert Q.medians(d.where("g = 'c'"), ["x"]) == {} and Q.quantiles(d.limit(0), ["x"], points).count() == 0
+    run = Q.cumulative(d.where("x is not null and not isnan(x)").groupBy(F.lit(0).alias("z"), "x").agg(F.count("*").alias("n")), "z", "x", ["n"]).orderBy("x").collect()
+    assert [r["cum_n"] for r in run] == np.cumsum([r["n"] for r in run]).tolist() and run[-1]["cum_n"] == len(x)
+
+
+def test_profiles_of_awkward_columns(spark):
+    rows = [("2024-01-05", "a@b.io", None, [1], True, 0.0), ("2024-02-30", "c@d.org", None, [2], False, -0.0), (None, "x", None, None, None, float("nan"))]
+    p = {r["column_name"]: r for r in T.column_profiles(spark.createDataFrame(rows, "d string, m string, n string, l array<int>, b boolean, f double"), entropy=True).collect()}
+    assert {c: r["dtype"] for c, r in p.items()} == {"d": "object", "m": "object", "n": "object", "l": "object", "b": "bool", "f": "float64"}
+    assert p["n"]["unique_count"] == 0 and p["n"]["null_pct"] == 1 and p["m"]["email_rate"] == 2 / 3 and p["f"]["unique_count"] == 2 and math.isclose(p["b"]["entropy"], 1)
+    good = spark.createDataFrame([("2024-01-05",), ("2024-02-28",), (None,)], "d string")
+    assert T.column_profiles(good).first()["dtype"] == "datetime64" and T.column_profiles(good.limit(0)).first()["non_null"] == 0
+
+
+def test_nearest_rows_block_by_block(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(60, 3)), np.zeros((4, 3))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>")
+    got = {}
+    for r in M.nearest(d, "i", "x", 3, block=10).collect():
+        got.setdefault(r["__a"], []).append((r["rn"], r["__b"]))
+    for i, v in enumerate(x):
+        near = sorted((round(((v - w) ** 2).sum(), 12), j) for j, w in enumerate(x) if j != i)[:3]
+        assert [b for _, b in sorted(got[i])] == [j for _, j in near]

@@ -12,6 +12,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stable
+from . import quantiles
+from .quantiles import quantile_lists
+
 # Aliases of the customer columns, canonical category names and flag words.
 ALIASES = {
     "CustomerID": ("Customer ID", "customer_id", "customerid"),
@@ -146,11 +150,12 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 def cap_outliers(df: DataFrame, name: str, k: float = 1.5) -> DataFrame:
     """Clip to the quartiles -/+ k times their distance; exact quartiles."""
-    q = df.agg(F.percentile(name, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    # One row.
-    lo, hi = F.col("q")[0], F.col("q")[1]
+    found = quantile_lists(df, [name], (0.25, 0.75))
+    if not found:
+        return df
+    lo, hi = found[name]
     c = F.col(name)
-    return df.crossJoin(F.broadcast(q)).withColumn(name, F.when(c.isNotNull(), F.least(F.greatest(c, lo - k * (hi - lo)), hi + k * (hi - lo)))).drop("q")
+    return df.withColumn(name, F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo - k * (hi - lo))), F.lit(hi + k * (hi - lo)))))
 
 
 def log_transform(c: str) -> Column:
@@ -166,8 +171,7 @@ def guarded_ratio(a: str, b: str) -> Column:
 def fill_nulls(df: DataFrame, medians: Sequence[str] = (), constants: dict[str, object] | None = None) -> DataFrame:
     """The exact median, or a constant."""
     if medians:
-        row = df.agg(*[F.median(c).alias(c) for c in medians]).first()
-        df = df.fillna({c: row[c] for c in medians if row[c] is not None})
+        df = df.fillna(quantiles.medians(df, medians))
     return df.fillna(constants) if constants else df
 
 
@@ -203,7 +207,7 @@ def numbered(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
 
     parts = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     # The upper 31 bits of the id are the partition, the lower 33 the place in it.
-    at = parts.withColumn("__id", F.monotonically_increasing_id()).persist()
+    at = stable(parts.withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     sizes = at.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))
     w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -253,16 +257,15 @@ def fixed_bins(c: str | Column, edges: Sequence[float] = TENURE_EDGES) -> Column
 
 def quantile_edges(df: DataFrame, name: str, q: int = 4) -> list[float]:
     """Distinct exact quantiles (linear interpolation); empty when there are fewer distinct values than bins."""
-    points = F.array(*[F.lit(k / q) for k in range(q + 1)])
-    r = df.agg(F.percentile(name, points).alias("e"), F.count_distinct(name).alias("n")).first()
-    return sorted(set(r["e"])) if r["e"] is not None and r["n"] >= q else []
+    r = quantiles.quantiles(df, [name], [k / q for k in range(q + 1)]).first()
+    return sorted(set(r["q"])) if r is not None and r["distinct"] >= q else []
 
 
 def quantile_bins(df: DataFrame, name: str, out: str, q: int = 4, fill: str | float | None = None) -> DataFrame:
     """Equal-frequency bins; ``fill`` is 'median' or a number put for nulls first."""
     x = F.col(name)
     if fill == "median":
-        m = df.agg(F.median(name)).first()[0]
+        m = quantiles.medians(df, [name]).get(name)
         x = F.coalesce(x, F.lit(m)) if m is not None else x
     elif fill is not None:
         x = F.coalesce(x, F.lit(fill).cast("double"))

@@ -145,8 +145,3 @@ def confirm(df: DataFrame, group: DataFrame, target: str, strategy: str | None =
 def attach_if_expected(df: DataFrame, expected: Sequence[str], fitted: Fitted) -> DataFrame:
     """K6: the score from its fitted parameters, when a model expects it and the input lacks it."""
     return df.withColumn(SCORE, fitted.column()) if SCORE in expected and SCORE not in df.columns else df
-
-
-def category_code(name: str) -> Column:
-    """Rank of a value among the column's sorted values, from 0; a window over one column's distinct values belongs before a join."""
-    return (F.dense_rank().over(Window.orderBy(name)) - 1).cast("double")

@@ -1,9 +1,7 @@
 """Replay buffers, coresets and spectra.
 
-Greedy selections (herding, k-centre) run in two rounds: rows are dealt to buckets of about BUCKET rows a
-class, each bucket's task selects ``size`` candidates, and one task per class selects among those; with
-one bucket the result is that of the sequential algorithm. A second round's input is at most
-``size`` rows a bucket; when that exceeds a bucket, rounds repeat until one bucket is left.
+Greedy selections (herding, k-centre) are rounds over all rows, each one pass and one small aggregate for
+all classes at once, so the selection is the exact one at every size.
 """
 
 from __future__ import annotations
@@ -17,8 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-
-BUCKET = 4096
+from .quantiles import cumulative
 
 
 def stratified_sample(df: DataFrame, ident: str, target: str, size: int, seed: int = 42) -> DataFrame:
@@ -52,68 +49,83 @@ def replay_mix(train: DataFrame, buffer: DataFrame, ident: str, target: str, rat
     return train.unionByName(stratified_sample(buffer, ident, target, n, seed), allowMissingColumns=True)
 
 
-def herd(x: np.ndarray, size: int) -> list[int]:
-    """Greedily take the row that brings the selection's mean nearest to the mean of all."""
-    mean, total, free, out = x.mean(0), np.zeros(x.shape[1]), np.ones(len(x), bool), []
-    for k in range(min(size, len(x))):
-        gap = ((mean[None, :] - (total[None, :] + x) / (k + 1)) ** 2).sum(1)
-        gap[~free] = np.inf
-        i = int(gap.argmin())
-        out.append(i)
-        free[i] = False
-        total += x[i]
-    return out
-
-
-def farthest_first(x: np.ndarray, size: int, start: int = 0) -> list[int]:
-    """Greedily take the row farthest from the selection."""
-    if not len(x):
-        return []
-    out, near = [start], ((x - x[start]) ** 2).sum(1)
-    while len(out) < min(size, len(x)):
-        near[out] = -1
-        i = int(near.argmax())
-        out.append(i)
-        near = np.minimum(near, ((x - x[i]) ** 2).sum(1))
-    return out
-
-
-def _select(df: DataFrame, ident: str, features: str, size: int, pick, by: str | None, bucket: int) -> DataFrame:
+def _quotas(rows: DataFrame, size: int, by: str | None) -> dict[str, int]:
+    """How many each class gives: its share of ``size``, one at least. One row a class."""
+    n = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    return {c: k if total <= size else min(k, max(1, round(k * size / total)) if by else size) for c, k in n.items()}
+
+
+def _greedy(df: DataFrame, ident: str, features: str, size: int, by: str | None, key, first=None) -> DataFrame:
+    """Rounds over all rows: each takes from every class the free row of the least key (then the least id).
+
+    ``key`` maps a class's rows and what it has chosen to one number a row. A task sends one row for each batch
+    and class, so a round is one pass and one small aggregate; the driver holds the chosen rows only.
+    """
     ship(df.sparkSession)
-    spec = f"__c string, __id {dict(df.dtypes)[ident]}, __x array<double>"
-    left = df.select((F.col(by).cast("string") if by else F.lit("")).alias("__c"), F.col(ident).alias("__id"), F.col(features).cast("array<double>").alias("__x"))
-    per = left.groupBy("__c").agg(F.count("*").alias("n"))
-    total = Window.partitionBy()
-    quota = per.withColumn("quota", F.when(F.sum("n").over(total) <= size, F.col("n")).otherwise(F.greatest(F.lit(1), F.round(F.col("n") * F.lit(size) / F.sum("n").over(total)).cast("long"))) if by else F.least(F.col("n"), F.lit(size)))
-
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__id", ignore_index=True)
-        q = int(pdf["quota"][0])
-        return pdf.iloc[pick(np.stack([np.asarray(v, float) for v in pdf["__x"]]), q)][["__c", "__id", "__x"]]
-
-    before = None
-    while True:
-        sized = left.groupBy("__c").agg(F.count("*").alias("now")).join(quota.select("__c", "quota"), "__c")
-        # The quota of a class is what a bucket keeps; buckets hold several times that.
-        sized = sized.withColumn("buckets", F.ceil(F.col("now") / F.greatest(F.lit(bucket), F.col("quota") * 4)))
-        most = sized.agg(F.max("buckets")).first()[0] or 0
-        dealt = left.join(sized.select("__c", "quota", "buckets"), "__c").withColumn("b", F.pmod(F.xxhash64("__id"), F.col("buckets")))
-        left = dealt.groupBy("__c", "b").applyInPandas(task, spec)
-        if most <= 1 or most == before:
-            break
-        before = most
-        left = left.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else left.persist()
-    return df.join(left.select(F.col("__id").alias(ident)), ident, "left_semi")
-
-
-def herding(df: DataFrame, ident: str, features: str, size: int, by: str | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Rows whose mean follows the mean of all (of each class)."""
-    return _select(df, ident, features, size, herd, by, bucket)
-
-
-def k_center(df: DataFrame, ident: str, features: str, size: int, seed: int = 42, by: str | None = None, bucket: int = BUCKET) -> DataFrame:
-    """C4: rows that cover the others."""
-    return _select(df, ident, features, size, lambda x, q: farthest_first(x, q, int(np.random.default_rng(seed).integers(len(x)))), by, bucket)
+    rows = df.select((F.col(by).cast("string") if by else F.lit("")).alias("c"), F.col(ident).alias("id"), F.col(features).cast("array<double>").alias("x")).where("x is not null and id is not null").persist()
+    quota, spark = _quotas(rows, size, by), df.sparkSession
+    kind = dict(df.dtypes)[ident]
+    chosen: dict[str, list[tuple]] = {c: [] for c in quota}
+    context = first(rows) if first else {}
+    for k in range(max(quota.values(), default=0)):
+        wanted = {c: (context.get(c), v) for c, v in chosen.items() if quota[c] > k}
+        shared = spark.sparkContext.broadcast(wanted)
+
+        def best(batches, shared=shared):
+            for b in batches:
+                for c, part in b.groupby("c", dropna=False):
+                    c = None if pd.isna(c) else c
+                    if c not in shared.value:
+                        continue
+                    about, taken = shared.value[c]
+                    part = part[~part["id"].isin([i for i, _ in taken])]
+                    if len(part):
+                        value = key(np.stack(part["x"]), np.array([x for _, x in taken]), about)
+                        low = part[value == value.min()].sort_values("id").iloc[0]
+                        yield pd.DataFrame({"c": [c], "id": [low["id"]], "x": [low["x"]], "value": [float(value.min())]})
+
+        found = rows.mapInPandas(best, f"c string, id {kind}, x array<double>, value double").groupBy("c").agg(F.min_by(F.struct("id", "x"), F.struct("value", "id")).alias("w"))
+        for r in found.collect():  # one row a class
+            chosen[r["c"]].append((r["w"]["id"], np.array(r["w"]["x"])))
+    rows.unpersist()
+    ids = spark.createDataFrame([(i,) for v in chosen.values() for i, _ in v], f"__id {kind}")
+    return df.join(ids, df[ident] == ids["__id"], "left_semi")
+
+
+def herding(df: DataFrame, ident: str, features: str, size: int, by: str | None = None) -> DataFrame:
+    """Rows whose mean follows the mean of all (of each class): each round takes the row x that brings the mean
+    of the selection nearest to the class's mean m, over all rows. With k chosen rows that sum to t this is the
+    least |x|^2 - 2 x.((k + 1) m - t). Null ids and vectors are left out; every class gives one row at least."""
+
+    def means(rows: DataFrame) -> dict:
+        at = rows.select("c", F.posexplode("x").alias("pos", "v")).groupBy("c", "pos").agg(F.avg("v").alias("m"))
+        got = at.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("m")).collect()  # one row a class
+        return {r["c"]: np.array([m["m"] for m in r["m"]]) for r in got}
+
+    def key(x, taken, mean):
+        toward = (len(taken) + 1) * mean - (taken.sum(0) if len(taken) else 0)
+        return (x * x).sum(1) - 2 * (x @ toward)
+
+    return _greedy(df, ident, features, size, by, key, means)
+
+
+def k_center(df: DataFrame, ident: str, features: str, size: int, seed: int = 42, by: str | None = None) -> DataFrame:
+    """C4: rows that cover the others: from a row drawn by a hash of id and seed, each round takes the row farthest
+    from the chosen ones, over all rows. Null ids and vectors are left out."""
+
+    def drawn(rows: DataFrame) -> dict:
+        got = rows.groupBy("c").agg(F.min_by("id", F.struct(hash_order("id", seed), "id")).alias("i")).collect()  # one row a class
+        start = {r["c"]: r["i"] for r in got}
+        at = rows.where(F.col("id").isin(list(start.values()))).select("c", "id", "x").collect()
+        return {r["c"]: np.array(r["x"]) for r in at if r["id"] == start[r["c"]]}
+
+    def key(x, taken, start):
+        if not len(taken):
+            return ((x - start) ** 2).sum(1)
+        return -np.maximum((x * x).sum(1)[:, None] - 2 * (x @ taken.T) + (taken * taken).sum(1)[None, :], 0).min(1)
+
+    return _greedy(df, ident, features, size, by, key, drawn)
 
 
 def mean_shift(sample: DataFrame, population: DataFrame, features: str) -> DataFrame:
@@ -168,8 +180,6 @@ def concentration(df: DataFrame, value: str, eps: float = 1e-12, top: float = 0.
     """Sum, maximum, smallest value above eps, their ratio, entropy rank and the share of the largest tenth."""
     d = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     a = d.agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("max"), F.min(F.when(F.col("v") > eps, F.col("v"))).alias("min"), F.sum(F.when(F.col("v") > 0, F.col("v") * F.log("v"))).alias("vlnv"))
-    from .drift import cumulative
-
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * top)).cast("long")
     c = d.groupBy(F.lit(0).alias("g"), (-F.col("v")).alias("neg")).agg(F.count("*").alias("c"))
     r = cumulative(c, "g", "neg", ["c"]).crossJoin(F.broadcast(a))  # one row

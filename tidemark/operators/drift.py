@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .quantiles import cumulative, quantiles
 
 # Fixed values.
 BINS, EPSILON = 10, 1e-4
@@ -23,8 +24,8 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
 def numerical_psi(reference: DataFrame, target: DataFrame, columns: Sequence[str], bins: int = BINS, epsilon: float = EPSILON) -> DataFrame:
     """Feature, psi over the reference's deciles, outer bins open; 0 when either side is empty or the reference is constant."""
     r, t = _long(reference, columns, "double"), _long(target, columns, "double")
-    points = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = r.groupBy("feature").agg(F.sort_array(F.array_distinct(F.percentile("value", points))).alias("e"))  # one row a feature
+    edges = quantiles(r, ["value"], [k / bins for k in range(bins + 1)], by="feature")
+    edges = edges.select("feature", F.sort_array(F.array_distinct("q")).alias("e"))  # one row a feature
     inner = F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0)))
     edges = F.broadcast(edges.select("feature", inner.alias("cuts"), F.greatest(F.size("e") - 1, F.lit(0)).alias("bins")))
     place = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
@@ -80,17 +81,6 @@ def categorical_chi2(reference: DataFrame, target: DataFrame, columns: Sequence[
     return x.select("feature", "statistic", F.col("dof").cast("long").alias("dof"))
 
 
-def cumulative(counts: DataFrame, by: str, value: str, columns: Sequence[str]) -> DataFrame:
-    """Running sums of count columns by ascending value inside each group, in two levels of range partitions, so that a group with very many distinct values is no single task."""
-    parts = counts.repartitionByRange(by, value).withColumn("__p", F.spark_partition_id()).persist()
-    totals = parts.groupBy(by, "__p").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
-    w = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(by, "__p", *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0)).alias(f"__b_{c}") for c in columns])
-    inside = Window.partitionBy(by, "__p").orderBy(value)
-    out = parts.join(before, [by, "__p"])
-    return out.withColumns({f"cum_{c}": F.col(f"__b_{c}") + F.sum(c).over(inside) for c in columns}).drop("__p", *[f"__b_{c}" for c in columns])
-
-
 def ks_statistic(reference: DataFrame, target: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Feature, statistic, n, m: the largest distance of the two distribution functions, over distinct values."""
     a = _long(reference, columns, "double").withColumn("src", F.lit(0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from .cleaning import fixed_bins
+from .quantiles import cumulative, quantiles
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -22,9 +23,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("max")).alias(f"x{i}"))
+        aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(f"x{i}"))
     row = df.agg(*aggs)
-    return row.select(F.explode(F.array(*[F.col(f"x{i}") for i in range(len(columns))])).alias("x")).select("x.column_name", "x.count", "x.mean", "x.std", "x.min", F.col("x.q")[0].alias("q25"), F.col("x.q")[1].alias("q50"), F.col("x.q")[2].alias("q75"), "x.max")
+    rows = row.select(F.explode(F.array(*[F.col(f"x{i}") for i in range(len(columns))])).alias("x")).select("x.*")
+    q = quantiles(df, columns, (0.25, 0.5, 0.75)).select(F.col("column_name").alias("of"), "q")
+    part = lambda k, name: F.get("q", F.lit(k)).alias(name)
+    return rows.join(q, rows.column_name == q.of, "left").select("column_name", "count", "mean", "std", "min", part(0, "q25"), part(1, "q50"), part(2, "q75"), "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -72,7 +76,9 @@ def chi2_test(df: DataFrame, a: str, b: str) -> dict:
 
 def grouped_stats(df: DataFrame, by: str, x: str) -> DataFrame:
     """E6."""
-    return df.groupBy(by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"))
+    rows = df.groupBy(by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+    q = quantiles(df, [x], (0.5,), by).select(F.col(by).alias("__of"), F.get("q", F.lit(0)).alias("median"))
+    return rows.join(q, rows[by].eqNullSafe(q["__of"]), "left").select(by, "count", "mean", "median", "std")
 
 
 def welch_t(df: DataFrame, by: str, x: str, a, b, least: int = 10) -> DataFrame:
@@ -93,8 +99,6 @@ def welch_test(df: DataFrame, by: str, x: str, a, b) -> dict:
 
 def mann_whitney(df: DataFrame, by: str, x: str, a, b) -> DataFrame:
     """U of the first group and z with the tie correction; ranks come from running counts over distinct values, in two levels."""
-    from .drift import cumulative
-
     c = df.where(F.col(by).isin(a, b) & F.col(x).isNotNull()).groupBy(F.lit(0).alias("g"), F.col(x).alias("v")).agg(F.count_if(F.col(by) == a).alias("ca"), F.count("*").alias("c"))
     r = cumulative(c, "g", "v", ["c"])
     rank = F.col("cum_c") - (F.col("c") - 1) / 2
@@ -123,7 +127,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30, by: str | None = None) -> D
 
 def box_plot(df: DataFrame, by: str, x: str) -> DataFrame:
     """Quartiles, whiskers (the extreme values within 1.5 quartile distances) and the number of outliers of each group."""
-    q = df.where(F.col(x).isNotNull()).groupBy(by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(df, [x], (0.25, 0.5, 0.75), by)
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     d = df.join(q, by)
     step = (F.col("q3") - F.col("q1")) * 1.5

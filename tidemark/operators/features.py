@@ -10,6 +10,9 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cleaning import numbered
+from .quantiles import medians, quantile_lists
+
 # Common English words left out of TF-IDF, service columns, and the edges of hour, weekday and month cycles.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "she", "so", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "was", "we", "were", "which", "will", "with", "you", "your")
 SERVICES = ("PhoneService", "MultipleLines", "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies")
@@ -25,16 +28,18 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFrame:
     if strategy == "constant":
         types = dict(df.dtypes)
         return df.fillna({c: "" if types[c] == "string" else 0 for c in columns})
-    how = {"median": F.median, "most_frequent": lambda c: F.mode(c, True)}[strategy]
-    row = df.agg(*[how(F.col(f"`{c}`")).alias(c) for c in columns]).first()
+    if strategy == "median":
+        return df.fillna(medians(df, columns))
+    if strategy != "most_frequent":
+        raise ValueError(f"unknown strategy {strategy}")
+    row = df.agg(*[F.mode(F.col(f"`{c}`"), True).alias(c) for c in columns]).first()
     return df.fillna({c: row[c] for c in columns if row[c] is not None})
 
 
 def winsorize(df: DataFrame, name: str, out: str | None = None, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """clip at exact quantiles."""
-    q = F.broadcast(df.agg(F.percentile(name, F.array(F.lit(lower), F.lit(upper))).alias("__q")))  # one row
-    c = F.col(name)
-    return df.crossJoin(q).withColumn(out or name, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("__q")[0]), F.col("__q")[1]))).drop("__q")
+    c, q = F.col(name), quantile_lists(df, [name], (lower, upper)).get(name)
+    return df.withColumn(out or name, F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(q[0])), F.lit(q[1]))) if q else c)
 
 
 def standard_scale(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
@@ -97,7 +102,7 @@ def onehot(df: DataFrame, name: str, most: int = 10, least_share: float = 0.01)
 
 def ordinal(train: DataFrame, df: DataFrame, name: str, out: str) -> DataFrame:
     """rank of the category among the sorted ones of ``train``; -1 for others."""
-    ranks = train.where(F.col(name).isNotNull()).select(F.col(name).alias("__v")).distinct().withColumn("__r", F.dense_rank().over(Window.orderBy("__v")) - 1)
+    ranks = numbered(train.where(F.col(name).isNotNull()).select(F.col(name).alias("__v")).distinct(), ["__v"], "__r")
     return df.join(ranks, F.col(name) == F.col("__v"), "left").withColumn(out, F.coalesce("__r", F.lit(-1)).cast("int")).drop("__v", "__r")
 
 
@@ -143,8 +148,8 @@ def feature_pipeline(df: DataFrame, profiles: Sequence[dict], target: str | None
         raise ValueError("no feature columns")
     stages, inputs = [], []
     if num:
-        r = df.agg(*[x for i, c in enumerate(num) for x in (F.median(F.col(f"`{c}`").cast("double")).alias(f"m{i}"), F.percentile(F.col(f"`{c}`").cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias(f"q{i}"))]).first()
-        fills = [(c, r[f"m{i}"] or 0.0, *(r[f"q{i}"] or (0.0, 0.0))) for i, c in enumerate(num)]
+        q = quantile_lists(df, num, (0.5, 0.01, 0.99))
+        fills = [(c, *q.get(c, (0.0, 0.0, 0.0))) for c in num]
         clip = [f"least(greatest(coalesce(cast(`{c}` as double), {m!r}D), {lo!r}D), {hi!r}D)" for c, m, lo, hi in fills]
         s = df.agg(*[x for i, e in enumerate(clip) for x in (F.avg(F.expr(e)).alias(f"m{i}"), F.stddev_pop(F.expr(e)).alias(f"s{i}"))]).first()
         cols = [f"({e} - {s[f'm{i}'] or 0.0!r}D) / {(s[f's{i}'] or 1.0)!r}D as `{c}__n`" for i, (c, e) in enumerate(zip(num, clip))]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cumulative, medians
+
 
 def metrics(jobs: DataFrame, now: str) -> DataFrame:
     """L1: jobs by status; of the finished ones those of the last day."""
@@ -73,10 +75,9 @@ def latency(samples: DataFrame, x: str, seconds: float | None = None) -> DataFra
 
     The places are found in running counts over distinct values, not in a sorted array of all.
     """
-    from .drift import cumulative
-
     c = samples.where(F.col(x).isNotNull()).groupBy(F.lit(0).alias("g"), F.col(x).alias("v")).agg(F.count("*").alias("c"))
-    all_ = samples.agg(F.count(x).alias("n"), F.median(x).alias("p50"), F.avg(x).alias("mean"), F.sum(x).alias("total"))
+    all_ = samples.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.sum(x).alias("total"))
+    all_ = all_.withColumn("p50", F.lit(medians(samples, [x]).get(x)).cast("double"))
     r = cumulative(c, "g", "v", ["c"]).crossJoin(F.broadcast(all_))  # one row
     at = lambda p: F.least(F.floor(F.col("n") * p).cast("long"), F.col("n") - 1) + 1
     first = lambda p: F.min(F.when(F.col("cum_c") >= at(p), F.col("v")))

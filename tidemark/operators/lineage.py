@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stable
+
 EDGE = "edge_id long, source string, target string, transformation string, schema_before map<string,string>, schema_after map<string,string>, rows_before long, rows_after long, loss_pct double"
 
 
@@ -28,35 +30,33 @@ def chain(edges: DataFrame, table: str, column: str | None = None, limit: int =
     a, b = e.alias("a"), e.alias("b")
     prev = a.join(b, (F.col("b.target") == F.col("a.source")) & (F.col("b.edge_id") < F.col("a.edge_id"))).groupBy(F.col("a.edge_id").alias("at")).agg(F.max("b.edge_id").alias("prev"))
     own = e.join(prev, e.edge_id == prev["at"], "left").select("edge_id", "source", "target", "transformation", "prev")
-    own.createOrReplaceTempView("tidemark_lineage_edges")
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(limit))
-    return spark.sql(
-        """WITH RECURSIVE walk AS (
-             SELECT edge_id, source, target, transformation, prev, 0 AS step FROM tidemark_lineage_edges
-             WHERE edge_id = (SELECT max(edge_id) FROM tidemark_lineage_edges WHERE target = :table)
+    return edges.sparkSession.sql(
+        f"""WITH RECURSIVE walk MAX RECURSION LEVEL {int(limit)} AS (
+             SELECT edge_id, source, target, transformation, prev, 0 AS step FROM {{own}}
+             WHERE edge_id = (SELECT max(edge_id) FROM {{own}} WHERE target = :table)
              UNION ALL
-             SELECT e.edge_id, e.source, e.target, e.transformation, e.prev, w.step + 1 FROM walk w JOIN tidemark_lineage_edges e ON e.edge_id = w.prev)
+             SELECT e.edge_id, e.source, e.target, e.transformation, e.prev, w.step + 1 FROM walk w JOIN {{own}} e ON e.edge_id = w.prev)
            SELECT step, edge_id, source, target, transformation FROM walk""",
         args={"table": table},
+        own=own,
     )
 
 
 def impact(edges: DataFrame, table: str, limit: int = 100) -> DataFrame:
     """Tables downstream with their least depth, and whether they hang on the table directly. Cycles end at a table seen before.
 
-    A breadth-first frontier: each round is a join of the edges with the tables reached in the one before.
+    A breadth-first frontier: each round joins the edges with the tables reached in the one before and is written
+    out; only whether it found any comes back.
     """
-    e = edges.select("source", "target").distinct().persist()
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(table, 0)], "table_name string, depth int")
+    e = edges.select("source", "target").distinct()
+    front = edges.sparkSession.range(1).select(F.lit(table).alias("table_name"), F.lit(0).alias("depth"))
+    seen = front
     for depth in range(1, limit + 1):
-        front = seen.where(F.col("depth") == depth - 1)
-        new = e.join(front, e.source == front.table_name).select(F.col("target").alias("table_name")).distinct().join(seen, "table_name", "left_anti").withColumn("depth", F.lit(depth))
-        rows = new.collect()  # tables of a lineage graph, not rows of tables
-        if not rows:
+        new = e.join(front, e.source == front.table_name).select(F.col("target").alias("table_name")).distinct().join(seen, "table_name", "left_anti")
+        front = stable(new.withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
             break
-        seen = spark.createDataFrame([*seen.collect(), *rows], "table_name string, depth int")
+        seen = seen.union(front)
     return seen.where("depth > 0").select("table_name", "depth", F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("impact"))
 
 

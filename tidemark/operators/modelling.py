@@ -8,21 +8,22 @@ over rows.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .drift import cumulative
+from ..session import ship
+from .quantiles import cumulative, quantiles
 
 # Cuts of class imbalance, search budgets, calibration and routing limits.
 WEIGHT_CUT, SAMPLE_CUT = (0.25, 0.75), (0.30, 0.70)
@@ -48,7 +49,7 @@ def label_encode(df: DataFrame, target: str, out: str = "label") -> DataFrame:
 def stratified_split(df: DataFrame, ident: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """M2: column ``is_test``; of each class the rows whose hash is below the exact quantile ``test`` of the class."""
     h = df.withColumn("__h", unit_hash(ident, seed))
-    cut = h.groupBy(F.col(label).alias("__l")).agg(F.percentile("__h", F.lit(test)).alias("__cut"))  # one row a class
+    cut = quantiles(h, ["__h"], (test,), label).select(F.col(label).alias("__l"), F.col("q")[0].alias("__cut"))  # one row a class
     return h.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("__l"))).withColumn("is_test", F.col("__h") < F.col("__cut")).drop("__h", "__l", "__cut")
 
 
@@ -73,11 +74,39 @@ def oversample(df: DataFrame, ident: str, label: str, seed: int = 42) -> DataFra
     return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
 
 
-def smote(df: DataFrame, ident: str, numeric: Sequence[str], label: str, categorical: Sequence[str] = (), k: int = 5, seed: int = 42, exact_rows: int = 5_000) -> DataFrame:
-    """M5: new minority rows between a minority row and one of its nearest neighbours; categories are the neighbours' mode.
+def nearest(rows: DataFrame, ident: str, x: str, k: int, block: int = 4_096) -> DataFrame:
+    """__a, __b, d, rn: the k nearest other rows of each row by squared distance of the arrays ``x`` (then by id), exactly.
 
-    Neighbours come from an exact join when the minority is small, else from random-projection buckets.
+    Rows are dealt to blocks by hash; a task compares one block with another and keeps k rows for each of its own,
+    so work grows with the square of the rows and what is kept with rows times blocks.
     """
+    ship(rows.sparkSession)
+    kind, blocks = dict(rows.dtypes)[ident], max(1, -(-rows.count() // block))
+    dealt = rows.select(F.col(ident).alias("id"), F.col(x).alias("x"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"__a": [], "__b": [], "d": []}
+        if len(a) and len(b):
+            b = b.sort_values("id", ignore_index=True)
+            y, ids = np.stack(b["x"]), b["id"].to_numpy()
+            for i, v in zip(a["id"], a["x"]):
+                d = ((y - v) ** 2).sum(1)
+                d[ids == i] = np.inf
+                at = np.argsort(d, kind="stable")[:k]
+                at = at[d[at] < np.inf]
+                out["__a"] += [i] * len(at)
+                out["__b"] += ids[at].tolist()
+                out["d"] += d[at].tolist()
+        return pd.DataFrame(out)
+
+    left, right = dealt.select(F.col("own").alias("i"), every.alias("j"), "id", "x"), dealt.select(every.alias("i"), F.col("own").alias("j"), "id", "x")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compared, f"__a {kind}, __b {kind}, d double")
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("__a").orderBy("d", "__b"))).where(F.col("rn") <= k)
+
+
+def smote(df: DataFrame, ident: str, numeric: Sequence[str], label: str, categorical: Sequence[str] = (), k: int = 5, seed: int = 42, block: int = 4_096) -> DataFrame:
+    """M5: new minority rows between a minority row and one of its k nearest neighbours, found exactly; categories are the neighbours' mode."""
     r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("p")).first()
     n, p = int(r["n"]), int(r["p"])
     minority, few = (1, p) if p * 2 <= n else (0, n - p)
@@ -87,17 +116,8 @@ def smote(df: DataFrame, ident: str, numeric: Sequence[str], label: str, categor
     own = df.where(F.col(label) == minority)
     s = own.agg(*[x for i, c in enumerate(numeric) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
     scaled = own.withColumn("__x", F.array(*[(F.coalesce(F.col(c).cast("double"), F.lit(s[f"m{i}"])) - s[f"m{i}"]) / (s[f"s{i}"] or 1.0) for i, c in enumerate(numeric)]))
-    a = scaled.select(F.col(ident).alias("__a"), F.col("__x").alias("xa"))
-    b = scaled.select(F.col(ident).alias("__b"), F.col("__x").alias("xb"), *[F.col(c).alias(f"__c_{c}") for c in categorical], *[F.col(c).cast("double").alias(f"__n_{c}") for c in numeric])
-    if few <= exact_rows:  # a bounded number of rows on both sides
-        dist = F.aggregate(F.zip_with("xa", "xb", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, v: t + v)
-        pairs = a.join(F.broadcast(b), F.col("__a") != F.col("__b")).withColumn("d", dist)
-    else:
-        vec = lambda d, i, x: d.withColumn("v", array_to_vector(x)).withColumnRenamed(i, "id")
-        lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=4, seed=seed).fit(vec(a, "__a", "xa"))
-        j = lsh.approxSimilarityJoin(vec(a, "__a", "xa"), vec(b.select("__b", "xb"), "__b", "xb"), float(math.sqrt(len(numeric)) * 2), "d")
-        pairs = j.select(F.col("datasetA.id").alias("__a"), F.col("datasetB.id").alias("__b"), "d").where("__a <> __b").join(b, "__b")
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("__a").orderBy("d", "__b"))).where(F.col("rn") <= k)
+    b = scaled.select(F.col(ident).alias("__b"), *[F.col(c).alias(f"__c_{c}") for c in categorical], *[F.col(c).cast("double").alias(f"__n_{c}") for c in numeric])
+    near = nearest(scaled, ident, "__x", k, block).join(b, "__b")
     modes = near.groupBy("__a").agg(*[F.mode(f"__c_{c}", True).alias(f"__m_{c}") for c in categorical], F.count("*").alias("__k"))
     each = (n - 2 * few) / few
     whole, rest = int(each), each - int(each)

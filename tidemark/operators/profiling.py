@@ -1,17 +1,20 @@
 """Column profiles, target detection, leakage and group roles.
 
-Three jobs profile a table: one wide aggregate of all columns (chunks of CHUNK columns keep it inside
-code generation), one long aggregate of value counts for the entropies, one of associations with the
-target. Profiles are a small DataFrame, one row a column.
+Three jobs profile a table: one wide aggregate for the moments (chunks of CHUNK columns keep it inside
+code generation), one long aggregate of value counts, one of associations with the target. Profiles are a
+small DataFrame, one row a column.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cleaning import numbered
+
 CHUNK = 200
 # Date formats tried, role thresholds, target scores, recipes.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy")
@@ -43,34 +46,42 @@ def _kind(t: str) -> str:
     return "datetime64" if t.startswith(("date", "timestamp")) else "object"
 
 
-def column_profiles(df: DataFrame) -> DataFrame:
-    """One row a column: index, dtype, counts, null share, distinct values, moments, mean length, match rates.
+def column_profiles(df: DataFrame, entropy: bool = False) -> DataFrame:
+    """One row a column: index, dtype, counts, null share, distinct values, moments, mean length,
+    match rates; with ``entropy`` also T3.
 
-    A string column is a date column when one format reads all its values.
+    Moments are a plain aggregate of the rows. All else comes from the counts of distinct values, so a value
+    is counted, matched and parsed once however often it occurs. A string column is a date column when one
+    format reads all its values; only values of the format's shape are parsed.
     """
     types = df.dtypes
     rows = None
     for k in range(0, len(types), CHUNK):
         aggs, part = [F.count("*").alias("n")], list(enumerate(types))[k : k + CHUNK]
         for i, (c, t) in part:
-            col = F.col(f"`{c}`")
-            kind = _kind(t)
-            num = col.cast("double") if kind in ("int64", "float64") else F.lit(None).cast("double")
-            text = col if t == "string" else F.lit(None).cast("string")
-            dated = F.lit(False)
-            if t == "string":
-                dated = F.greatest(*[F.count(F.try_to_timestamp(col, F.lit(f))) for f in DATE_FORMATS]) == F.count(col)
-            aggs.append(
-                F.struct(
-                    F.lit(i).alias("column_index"), F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.count(col).alias("non_null"), F.count_distinct(col).alias("unique_count"),
-                    F.coalesce(F.nanvl(F.skewness(num), F.lit(0.0)), F.lit(0.0)).alias("skewness"), F.coalesce(F.nanvl(F.kurtosis(num), F.lit(0.0)), F.lit(0.0)).alias("kurtosis"),
-                    F.avg(F.length(text)).alias("mean_length"), F.avg(text.rlike(EMAIL).cast("double")).alias("email_rate"), F.avg(F.lower(text).rlike(URL).cast("double")).alias("url_rate"),
-                    F.min(F.lower(text).isin(*YES_LIKE)).alias("yes_like"), dated.alias("dated"),
-                ).alias(f"x{i}")
-            )
+            num = F.col(f"`{c}`").cast("double") if _kind(t) in ("int64", "float64") else F.lit(None).cast("double")
+            moment = lambda f: F.coalesce(F.nanvl(f(num), F.lit(0.0)), F.lit(0.0))  # noqa: B023, E731
+            aggs.append(F.struct(F.lit(i).alias("column_index"), F.lit(c).alias("column_name"), F.lit(_kind(t)).alias("kind"), moment(F.skewness).alias("skewness"), moment(F.kurtosis).alias("kurtosis")).alias(f"x{i}"))
         row = df.agg(*aggs).select("n", F.explode(F.array(*[F.col(f"x{i}") for i, _ in part])).alias("x")).select("n", "x.*")
         rows = row if rows is None else rows.union(row)
-    dtype = F.when((F.col("kind") == "object") & F.col("dated") & (F.col("non_null") > 0), "datetime64").when(F.col("non_null") == 0, "object").otherwise(F.col("kind"))
+    texts = [c for c, t in types if t == "string"]
+    text = F.when(F.col("of").isin(*texts), F.col("value")) if texts else F.lit(None).cast("string")
+    share = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum(F.when(text.isNotNull(), F.col("n")))
+    reads = lambda f: F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))).isNotNull()
+    v = value_counts(df).withColumnRenamed("column_name", "of")
+    found = v.groupBy("of").agg(
+        F.sum("n").alias("non_null"),
+        F.count("*").alias("unique_count"),
+        F.try_divide(F.sum(F.length(text) * F.col("n")), F.sum(F.when(text.isNotNull(), F.col("n")))).alias("mean_length"),
+        share(text.rlike(EMAIL)).alias("email_rate"),
+        share(F.lower(text).rlike(URL)).alias("url_rate"),
+        F.min(F.lower(text).isin(*YES_LIKE)).alias("yes_like"),
+        F.greatest(*[F.min(reads(f)) for f in DATE_FORMATS]).alias("dated"),
+        _entropy().alias("entropy"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rows = rows.join(found, rows.column_name == found.of, "left").withColumns({c: zero(c) for c in ("non_null", "unique_count")})
+    dtype = F.when(F.col("non_null") == 0, "object").when((F.col("kind") == "object") & F.coalesce("dated", F.lit(False)), "datetime64").otherwise(F.col("kind"))
     return rows.select(
         "column_index",
         "column_name",
@@ -86,22 +97,33 @@ def column_profiles(df: DataFrame) -> DataFrame:
         "email_rate",
         "url_rate",
         F.coalesce("yes_like", F.lit(False)).alias("yes_like"),
+        *([F.coalesce("entropy", F.lit(0.0)).alias("entropy")] if entropy else []),
     )
 
 
+def _shape(date_format: str) -> str:
+    """What texts of a date format look like."""
+    return "^" + re.sub("[yMdHms]+", lambda m: rf"\d{{{len(m[0])}}}", date_format) + "$"
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column_name, value (as text), n: one long aggregate for all columns."""
-    cols = list(columns or df.columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols])
+    types = dict(df.dtypes)
+    plain = lambda c: F.col(f"`{c}`") + F.lit(0).cast(types[c]) if types[c] in ("float", "double") else F.col(f"`{c}`")  # noqa: E731  -0.0 is 0.0
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), plain(c).cast("string").alias("value")) for c in columns or df.columns])
     return df.select(F.explode(pairs).alias("x")).where("x.value is not null").groupBy("x.column_name", "x.value").agg(F.count("*").alias("n"))
 
 
+def _entropy():
+    """Normalised entropy from the counts of a column's values, 0 with one value or none."""
+    n = F.col("n")
+    h = F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
+    return F.when(F.count("*") > 1, h / F.log(F.count("*"))).otherwise(0.0)
+
+
 def entropies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Normalised entropy of each column's values, 0 with one value or none."""
-    v = value_counts(df, columns)
-    h = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    out = v.groupBy("column_name").agg(F.count("*").alias("k"), h.alias("h"))
-    return out.select("column_name", F.when(F.col("k") > 1, F.col("h") / F.log("k")).otherwise(0.0).alias("entropy"))
+    """Normalised entropy of each column's values."""
+    return value_counts(df, columns).groupBy("column_name").agg(_entropy().alias("entropy"))
 
 
 def base_roles(p: DataFrame) -> DataFrame:
@@ -173,7 +195,7 @@ def _codes(df: DataFrame, target: str) -> DataFrame:
     """The target as a number: itself, or its rank among its sorted values (which are few)."""
     if _kind(dict(df.dtypes)[target]) in ("int64", "float64"):
         return df.withColumn("__y", F.col(f"`{target}`").cast("double"))
-    ranks = df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").alias("__v")).distinct().withColumn("__y", (F.dense_rank().over(Window.orderBy("__v")) - 1).cast("double"))
+    ranks = numbered(df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").alias("__v")).distinct(), ["__v"], "__r").select("__v", F.col("__r").cast("double").alias("__y"))
     return df.join(ranks, F.col(f"`{target}`") == F.col("__v"), "left").drop("__v")
 
 
@@ -225,8 +247,8 @@ def group_roles(assoc: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def run_profiling(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profiles with roles, recipes, scores, association and leakage; ranked candidates)."""
-    p = semantic_roles(base_roles(column_profiles(df)))
-    p = target_scores(p.join(entropies(df), "column_name", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))).persist()
+    p = target_scores(semantic_roles(base_roles(column_profiles(df, entropy=True))))
+    p = df.sparkSession.createDataFrame(p.collect(), p.schema)  # one row a column
     ranked = ranked_candidates(p)
     best = [r[0] for r in ranked.where("recommended").select("column_name").collect()]
     if best:
@@ -275,8 +297,3 @@ def detect_target(df: DataFrame) -> str | None:
     """Name of the recommended target, if any."""
     r = run_profiling(df)[1].where("recommended").select("column_name").first()
     return r[0] if r else None
-
-
-def entropy_of(counts: Column) -> Column:
-    """Natural-log entropy of a column of counts, for use in an aggregate."""
-    return F.log(F.sum(counts)) - F.sum(counts * F.log(counts)) / F.sum(counts)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,6 +27,26 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a session in one process, as in tests, that has none gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """The frame with its rows fixed in reliable storage, where what follows hangs on how they are dealt: a lost
+    executor must not draw range bounds anew."""
+    sc, root = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers through Spark's own file server, once a context."""
     sc = spark.sparkContext

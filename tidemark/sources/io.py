@@ -196,13 +196,11 @@ def rewrite_processed(df: DataFrame, score, path: str, name: str = "cpi_score")
 
 
 def upload(spark: SparkSession, path: str, to: str, dataset_id: str) -> DataFrame:
-    """Land a file as Parquet; the dataset row with its counts, observed while it is written."""
-    from pyspark.sql import Observation
-
+    """Land a file as Parquet; the dataset row with its counts (the rows are in the footers of what was written)."""
     parsed = read_any(spark, path)
-    seen = Observation("upload")
-    parsed.df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(to)
-    return spark.createDataFrame([(dataset_id, to, parsed.detected_format, int(seen.get["rows"]), len(parsed.df.columns))], "dataset_id string, path string, format string, rows long, columns int")
+    parsed.df.write.mode("overwrite").parquet(to)
+    rows = spark.read.parquet(to).count()
+    return spark.createDataFrame([(dataset_id, to, parsed.detected_format, rows, len(parsed.df.columns))], "dataset_id string, path string, format string, rows long, columns int")
 
 
 def ordered_by_time(df: DataFrame) -> DataFrame:
