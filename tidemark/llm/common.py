@@ -6,9 +6,6 @@ UTF-8 this is what ``bytes.lower().split()`` yields, because multi-byte characte
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -16,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 SHINGLE_WORDS = 5
 #: Odd multipliers that weigh the word hashes of a shingle; drawn once, so hashes agree between jobs.
@@ -27,17 +24,16 @@ class Scratch:
     """Intermediate tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
     ``put`` writes a frame and reads it back, which cuts its lineage: a lost executor costs the
-    tasks it was running, never the tables already written.
+    tasks it was running, never the tables already written. As nothing needs the frame's shuffles after
+    that, Spark is told to clean them up at the end of the write.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         ship(spark)
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
     def path(self, name: str = "t") -> str:
@@ -45,8 +41,12 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{name}"
 
     def put(self, df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
-        path = self.path(name)
-        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+        path, before = self.path(name), self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            (df.write.option("compression", codec) if codec else df.write).parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -59,13 +59,6 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark drop the shuffle files of finished jobs, which it does when their plans are collected."""
-        for _ in range(2):  # the first round lets go of what Python held, the second of what hung on that
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
 
 def fold(col: str, n: int):
     """crc32 of the id written as text, modulo n: the learning and held-out folds."""
@@ -134,13 +127,12 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     before = _sum_of(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # The minima are written, so that the joins are plain ones, whose large partitions Spark can split.
+        low = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = scratch.put(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
-            large.join(low, "u")
+            large.join(lower, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
@@ -148,7 +140,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         )
         new = scratch.put(small, "edges")
         after = _sum_of(new)
-        scratch.drop(e)
+        scratch.drop(e, low, large, lower)
         e = new
         if after == before:
             break
@@ -161,6 +153,18 @@ def _sum_of(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def portions(b, column: int, most: int):
+    """Slices of an Arrow batch that hold about so many bytes of text, or one row."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+    k = 0
+    while k < b.num_rows:
+        e = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + most)))
+        yield b.slice(k, e - k)
+        k = e
+
+
 def runs(batches, keys: list[str]):
     """From Arrow batches sorted by the key columns: (table, starts, ends) of whole groups, each group in one piece."""
     import pyarrow as pa
