@@ -542,8 +542,17 @@ _FEATURES = f"""a AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-11'), b
 
 
 @query(f"+ {_FEATURES} SELECT feature, type, level, drifted FROM g")
-"""),
-('''@query(f"+ {_FEATURES} SELECT count(*) FILTER (drifted) AS drifted_features, count(*) AS features, CASE WHEN count(*) FILTER (drifted) > 0.3 * count(*) THEN 'critical' WHEN bool_or(level = 'high') THEN 'high' WHEN bool_or(level = 'medium') THEN 'moderate' ELSE 'none' END AS overall FROM g")
+def D5_report(spark, sf):
+    return D.report(*_shifted(spark, sf), ["value"], ["event_type"]).select("feature", "type", "level", "drifted")
+
+
+@query()
+def D6_dataset_drift(spark, sf):
+    ref, _ = _halves(spark, sf)
+    return D.dataset_drift(ref, views.landing(spark, sf), "2024-01-25", ["value"], ["event_type"])
+
+
+@query(f"+ {_FEATURES} SELECT count(*) FILTER (drifted) AS drifted_features, count(*) AS features, CASE WHEN count(*) FILTER (drifted) > 0.3 * count(*) THEN 'critical' WHEN bool_or(level = 'high') THEN 'high' WHEN bool_or(level = 'medium') THEN 'moderate' ELSE 'none' END AS overall FROM g")
 def D9_overall(spark, sf):
     return D.overall(D.report(*_shifted(spark, sf), ["value"], ["event_type"])).select("drifted_features", "features", "overall")
 
