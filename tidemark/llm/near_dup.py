@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, runs, shingle_set
@@ -44,6 +44,7 @@ CENTRAL_AGREE = 42
 #: At similarity 0.75 the 1,024 bytes agree 769 times on average, deviation 14; fewer than 706 is 4.5 deviations away.
 WIDE, WIDE_AGREE = 1024, 706
 CENTRAL_BLOCK, BLOCK = 256, 1024
+PARTNERS = 64
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,7 +183,7 @@ def _across(batches):
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: Scratch, sketched: bool) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. The set of a is sent once for each 64 partners, that of b once a pair."""
+    """Pairs (a, b) whose full sets reach the threshold. The set of a is sent once for each PARTNERS of its pairs, that of b once a pair."""
     if not sketched:
         pairs = (
             pairs.join(sketches.select(F.col("rep").alias("a"), F.col("mh").alias("ma")), "a")
@@ -190,7 +191,9 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: S
             .select("a", "b", "ma", "mb")
             .mapInArrow(_agree, "a long, b long")
         )
-    pairs = scratch.put(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("block")), "pairs")
+    pairs = scratch.put(pairs.select("a", "b"), "pairs")
+    partners = scratch.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks")), "partners")
+    pairs = scratch.put(pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "dealt")
     own = pairs.select("a", "block").distinct().join(sets.select(F.col("rep").alias("a"), "set"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "set")
     other = pairs.join(sets.select(F.col("rep").alias("b"), "set"), "b").select("a", "block", "b", "set")
     rows = own.union(other).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
@@ -208,25 +211,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is that id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    signed = src.mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, mh binary")
-    # Rows that repeat an id count once: the least (n_shingles, s1, s2) stands, for whatever order they are read in.
-    signed = scratch.put(signed, "signed")
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "s1", "s2")).alias("x")).select("doc_id", "x.*")
-    one = scratch.put(one, "one")
+    src = one_row_an_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"), "doc_id", "text", scratch)
+    signed = scratch.put(src.mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, mh binary"), "signed")
+    one = signed.select("doc_id", "n_shingles", "s1", "s2")
     rep = one.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     rep = scratch.put(rep, "rep")
-    sketches = signed.join(rep.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2"), ["doc_id", "n_shingles", "s1", "s2"]).groupBy(F.col("doc_id").alias("rep")).agg(F.first("mh").alias("mh"))
-    sketches = scratch.put(sketches, "sketches")
-    keys = sketches.mapInArrow(_keys, "rep long, key long").withColumn("ord", F.xxhash64("rep"))
-    w = Window.partitionBy("key")
-    met = scratch.put(
-        keys.withColumn("n", F.count("*").over(w)).withColumn("lead", F.min(F.struct("ord", "rep")).over(w)).where("n > 1").select("key", "rep", F.col("lead.rep").alias("lead")),
-        "met",
-    )
+    sketches = scratch.put(signed.join(rep.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "mh"), "sketches")
+    keys = sketches.mapInArrow(_keys, "rep long, key long")
+    # A bucket's count and leader are partial aggregates; the join back can be split where one bucket is large.
+    buckets = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("rep")).alias("lead")).where("n > 1").select("key", "lead"), "buckets")
+    met = scratch.put(keys.join(buckets, "key").select("key", "rep", "lead"), "met")
+    leads = met.where(F.xxhash64("rep") == F.col("lead")).select(F.col("rep").alias("a"), "lead").distinct()
     involved = met.select("rep").distinct()
-    sets = scratch.put(src.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_sets, "rep long, set binary, wide binary").join(rep.select("rep", "n_shingles"), "rep").where(F.length("set") == 8 * F.col("n_shingles")).groupBy("rep").agg(F.min("set").alias("set"), F.min("wide").alias("wide")), "sets")
-    stars = met.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    sets = scratch.put(src.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_sets, "rep long, set binary, wide binary"), "sets")
+    stars = met.select("lead", F.col("rep").alias("b")).distinct().join(leads, "lead").where("a <> b").select("a", "b")
     links = scratch.put(_verified(stars, sketches, sets, scratch, False), "links")
     comp = scratch.put(components(links, scratch), "comp")
     # Buckets that hold several components: first their most central members, which link most of what is near them.
@@ -261,7 +259,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def one_row_an_id(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """Of the rows that repeat an id the one with the smallest text stays (of those, the one with the smallest other
+    columns); all other rows, and those without an id, as they are. Only rows of repeated ids are shuffled with their texts."""
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    again = scratch.put(again, "again")
+    if again.isEmpty():
+        return docs
+    same = F.col(id_col) == F.col("__id")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col(text_col), *[F.col(f"`{c}`") for c in rest])
+    picked = docs.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__row"))
+    return docs.join(again, same, "left_anti").unionByName(picked.select("__row.*"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows whose document stays; rows without an id stay too."""
+    """One input row for each document that stays; rows without an id stay too."""
     found = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
+    docs = one_row_an_id(docs, id_col, text_col, Scratch(docs.sparkSession))
     return docs.join(found, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
