@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features say which runs of 3, 4 and 5 bytes a text holds (ASCII letters lower-cased, white space as one
-blank). Each is scaled by its log-count ratio between the two labels; a logistic regression is fitted
-on the scaled features. The fit reads at most MAX_POSITIVE + MAX_NEGATIVE labelled rows, taken in a
-fixed random order of doc_id; this is the documented bound of the sample, and what makes the model
-(KEPT n-grams) small enough to broadcast. Scoring reads every whole text once, without a shuffle.
+Features say which runs of 3, 4 and 5 characters a text holds (lower-cased, white space as one blank). Each
+is scaled by its log-count ratio between the two labels; a logistic regression is fitted on the scaled
+features. The fit reads at most MAX_POSITIVE + MAX_NEGATIVE labelled rows, taken in a fixed random order
+of doc_id: the documented bound of the sample, and what bounds the model that is broadcast. Of the sample's
+n-grams all are features that tell the labels apart: by APART deviations at least, or by standing in two
+toxic texts or more and no other. Scoring reads every whole text once, without a shuffle.
 
 Defined results: null text is scored as the empty text; without rows of both labels every score is the
 smoothed share of label 1; labels that are null are ignored, of several for a doc_id the largest
-counts; repeated rows are scored each.
+counts; repeated rows are scored each; a score of exactly 0.5 is predicted 1; a null doc_id is in no fold, so
+its held_out is null and it teaches nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,57 +28,69 @@ from .common import fold
 
 ORDERS = (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
-KEPT, LEAST_DOCS = 20_000, 4
-#: n-grams whose shares differ by fewer deviations are chance finds; the ALWAYS furthest apart are kept in any case.
-LEAST_APART, ALWAYS = 3.0, 100
+#: n-grams whose shares differ by fewer deviations are chance finds.
+APART = 3.0
 SMOOTH, L2, STEPS, ROWS = 1.0, 1e-4, 150, 512
-SLOTS = 19
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(text: str | None) -> np.ndarray:
-    """All n-grams in order, each packed exactly: its bytes and, above them, its length."""
-    b = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" "
-    x = np.frombuffer(b, np.uint8).astype(np.int64)
+    """64-bit hashes of all n-grams in order of length and place."""
+    t = " " + " ".join((text or "").lower().split()) + " "
+    x = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     out, h = [], x
     for n in range(2, ORDERS[-1] + 1):
         if len(x) < n:
             break
-        h = (h[:-1] << 8) | x[n - 1 :]
+        h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MULT + x[n - 1 :]
         if n in ORDERS:
-            out.append(h | (n << 44))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def _slot(g: np.ndarray) -> np.ndarray:
-    return ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+            out.append((h ^ (h >> np.uint64(32))) * _MULT)
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 class Model:
     """n-grams, their weights (ratio times coefficient) and the intercept."""
 
     def __init__(self, kept: np.ndarray, ratio: np.ndarray, weight: np.ndarray | None = None, bias: float = 0.0):
-        # Of two n-grams in one slot, the one with the larger ratio stands, so that a look-up is exact.
-        order = np.argsort(-np.abs(ratio), kind="stable")
-        slot = _slot(kept[order])
-        _, first = np.unique(slot, return_index=True)
-        self.kept, self.ratio = kept[order[first]], ratio[order[first]]
-        self.weight = np.zeros(len(first)) if weight is None else weight
+        self.kept, self.ratio = kept, ratio
+        self.weight = np.zeros(len(kept)) if weight is None else weight
         self.bias = bias
         self._table = None
 
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
 
+    def _slot(self, g: np.ndarray) -> np.ndarray:
+        return (g.view(np.uint64) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _index(self) -> None:
+        """A table with open addresses: an n-gram stands in the first free slot from its own on."""
+        self._bits = max(10, int(4 * len(self.kept)).bit_length())
+        self._table, todo, at = np.full(1 << self._bits, -1, np.int32), np.arange(len(self.kept)), self._slot(self.kept)
+        self._walk = 1
+        while len(todo):
+            free = self._table[at] < 0
+            self._table[at[free]] = todo[free]  # of several for one slot one stays
+            left = self._table[at] != todo
+            todo, at = todo[left], (at[left] + 1) & ((1 << self._bits) - 1)
+            self._walk += 1
+
     def features(self, text: str | None) -> np.ndarray:
         """Which of the kept n-grams the text holds."""
         if self._table is None:
-            self._table = np.full(1 << SLOTS, -1, np.int32)
-            self._table[_slot(self.kept)] = np.arange(len(self.kept))
+            self._index()
         g = grams(text)
-        at = self._table[_slot(g)]
-        has = np.flatnonzero(at >= 0)
-        at = at[has]
-        return np.unique(at[self.kept[at] == g[has]])
+        at, found = self._slot(g), []
+        for _ in range(self._walk):
+            k = self._table[at]
+            has = k >= 0
+            g, at, k = g[has], at[has], k[has]
+            if not len(g):
+                break
+            same = self.kept[k] == g
+            found.append(k[same])
+            g, at = g[~same], (at[~same] + 1) & ((1 << self._bits) - 1)
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
 
     def score(self, text: str | None) -> float:
         return float(_sigmoid(self.bias + self.weight[self.features(text)].sum()))
@@ -138,23 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return Model(np.empty(0, np.int64), np.empty(0), bias=base)
-    counts = rows.mapInArrow(_counted, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= LEAST_DOCS)
+    counts = rows.mapInArrow(_counted, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = (F.col("pos") + SMOOTH) / (n1 + 2 * SMOOTH), (F.col("neg") + SMOOTH) / (n0 + 2 * SMOOTH)
-    ratio = F.log(p / q)
-    # How far the two shares lie apart in deviations: the n-grams that are kept.
+    # How far the two shares lie apart in deviations.
     apart = F.abs(p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
-    kept = counts.select("gram", ratio.alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "gram").limit(KEPT).collect()
-    kept = [r for k, r in enumerate(kept) if k < ALWAYS or r["apart"] >= LEAST_APART]
-    model = Model(np.array([r["gram"] for r in kept], np.int64), np.array([r["ratio"] for r in kept], float))
+    telling = (apart >= APART) | ((F.col("pos") >= 2) & (F.col("neg") == 0))
+    kept = counts.where(telling).select("gram", F.log(p / q).alias("ratio")).toArrow().sort_by("gram")
+    model = Model(kept["gram"].to_numpy(), kept["ratio"].to_numpy())
 
     def featured(batches):
         for b in batches:
             out = [model.features(t).astype(np.int32).tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], ["x", "label"])
 
-    got = rows.mapInArrow(featured, "x binary, label int").collect()
-    y = np.array([r["label"] for r in got], float)
-    model.fit([np.frombuffer(r["x"], np.int32) for r in got], y)
+    got = rows.mapInArrow(featured, "x binary, label int").toArrow()
+    y = got["label"].to_numpy().astype(float)
+    model.fit([np.frombuffer(x.as_buffer(), np.int32) for x in got["x"]], y)
     model.bias += base - float(np.log(n1 / n0))  # from the sample's share of label 1 to that of all labelled rows
     return model
 
