@@ -6,15 +6,17 @@ product over its words. The distributions are learned by expectation-maximisatio
 (language, word, count) over all training documents: the expected number of times each piece is used,
 from the forward-backward algorithm, gives the next distribution.
 
-Words are runs of letters of the lower-cased text, each behind the vocabulary's word mark; runs longer
-than LONGEST letters are cut there, so that no probability underflows. A character outside the
-vocabulary is a piece of its own with probability UNKNOWN in every language.
+Words are runs of letters (Unicode category L) of the lower-cased text, whole, each behind the vocabulary's
+word mark. A character outside the vocabulary is a piece of its own with probability UNKNOWN in every
+language. Words of up to BATCHED letters go through the algorithm in groups of one length; longer ones one
+by one, in logarithms and a window of the longest piece, so that no probability underflows.
 
-Only word counts are shuffled. The vocabulary (fixed) times the learned languages (at most LANGUAGES)
-bounds what is broadcast and what a job returns to the driver.
+Only word counts are shuffled. What is broadcast, and what a job returns to the driver, is one number for
+each piece of the vocabulary (fixed) and language (as many as the training rows name).
 
 Defined results: ``und`` with score 0 for a null text or one without letters; rows without a language
-teach nothing; with no training rows every text is ``und``; repeated rows are predicted each.
+teach nothing, and so do rows without a doc_id, whose held_out is null; with no training rows every text
+is ``und``; repeated rows are predicted each.
 """
 
 from __future__ import annotations
@@ -34,15 +36,20 @@ from .common import Scratch, fold
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-LONGEST, LONGEST_PIECE = 32, 16
+BATCHED = 32
 UNKNOWN = 1e-7
-ROUNDS, SMOOTH, LANGUAGES = 2, 0.1, 1_000
-_WORD = re.compile(r"[^\W\d_]{1,32}")
+ROUNDS, SMOOTH = 2, 0.1
+CELLS = 3_000_000
+_WORD = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Signs that count as word characters without being letters, such as fractions, part words.
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split(" ") if w]
 
 
 class Vocabulary:
@@ -57,8 +64,8 @@ class Vocabulary:
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=name if os.sep in name else public_tokenizers.path(name))
-        pieces = sorted({p for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for p in [sp.id_to_piece(i)] if len(p) <= LONGEST_PIECE})
-        self.size = len(pieces)
+        pieces = sorted({p for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for p in [sp.id_to_piece(i)]})
+        self.size, self.longest = len(pieces), max(map(len, pieces))
         h = np.array([self.hash_one(p) for p in pieces], np.uint64)
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.ids = np.full(1 << self.BITS, -1, np.int32)
@@ -106,7 +113,7 @@ class Vocabulary:
         out = {}
         for s in range(n):
             h = np.zeros(len(group), np.uint64)
-            for e in range(s + 1, min(n, s + LONGEST_PIECE) + 1):
+            for e in range(s + 1, min(n, s + self.longest) + 1):
                 h = self.extend(h, codes[:, e - 1])
                 ids = self.find(h)
                 if e == s + 1:
@@ -114,6 +121,16 @@ class Vocabulary:
                 out[s, e] = ids
         return n, out
 
+    def pieces_of(self, word: str) -> np.ndarray:
+        """[length - 1, start]: the same for one word of any length (past its end: -1)."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        out, h = np.full((self.longest, len(codes)), -1, np.int32), np.zeros(len(codes), np.uint64)
+        for k in range(min(self.longest, len(codes))):
+            h = self.extend(h[: len(codes) - k], codes[k:])
+            out[k, : len(h)] = self.find(h)
+        out[0][out[0] < 0] = self.size
+        return out
+
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
@@ -124,29 +141,74 @@ def vocabulary(name: str) -> Vocabulary:
     return _VOCABULARIES[name]
 
 
-def _by_length(found: list[str]):
+def _by_length(found: list[str], languages: int):
+    """Places and words of one length, as many at a time as CELLS numbers allow; long ones are left out."""
     groups = defaultdict(list)
     for i, w in enumerate(found):
-        groups[len(w)].append(i)
-    for at in groups.values():
-        for k in range(0, len(at), 20_000):
-            part = at[k : k + 20_000]
+        if len(w) <= BATCHED:
+            groups[len(w)].append(i)
+    for n, at in groups.items():
+        size = max(1, CELLS // ((n + 2) * languages))
+        for k in range(0, len(at), size):
+            part = at[k : k + size]
             yield np.array(part), [found[i] for i in part]
 
 
+def _long_forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of a long word's probability by language. ids: [length - 1, start]; p has a row of zeros at -1.
+
+    The window holds the sums for the last places, the nearest first, scaled by what ``scale`` remembers.
+    """
+    longest, n = ids.shape
+    window, scale = np.zeros((longest, p.shape[1])), np.zeros(p.shape[1])
+    window[0] = 1
+    lengths = np.arange(longest)
+    for e in range(1, n + 1):
+        k = lengths[: min(longest, e)]
+        a = (window[: len(k)] * p[ids[k, e - 1 - k]]).sum(0)
+        window[1:] = window[:-1]
+        window[0] = a
+        window /= a
+        scale += np.log(a)
+    return scale
+
+
 def word_log_probs(found: list[str], vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability by language. p: (pieces + 1) x languages."""
     p = np.vstack([p, np.zeros(p.shape[1])])  # -1: no piece
     out = np.empty((len(found), p.shape[1]))
-    for at, group in _by_length(found):
+    for at, group in _by_length(found, p.shape[1]):
         n, spans = vocab.spans(group)
         alpha = [np.ones((len(group), p.shape[1]))]
         for e in range(1, n + 1):
             a = np.zeros_like(alpha[0])
-            for s in range(max(0, e - LONGEST_PIECE), e):
+            for s in range(max(0, e - vocab.longest), e):
                 a += alpha[s] * p[spans[s, e]]
             alpha.append(a)
         out[at] = np.log(alpha[n])
+    for i, w in enumerate(found):
+        if len(w) > BATCHED:
+            out[i] = _long_forward(vocab.pieces_of(w), p)
+    return out
+
+
+def _long_expected(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """[length - 1, start]: how often a long word is expected to use the piece there, in one language (q: its probabilities)."""
+    longest, n = ids.shape
+    with np.errstate(divide="ignore"):
+        use = np.log(q[ids])
+    ahead, back, lengths = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), np.arange(longest)
+    ahead[0] = back[n] = 0
+    for e in range(1, n + 1):
+        k = lengths[: min(longest, e)]
+        ahead[e] = np.logaddexp.reduce(ahead[e - 1 - k] + use[k, e - 1 - k])
+    for s in range(n - 1, -1, -1):
+        k = lengths[: min(longest, n - s)]
+        back[s] = np.logaddexp.reduce(back[s + 1 + k] + use[k, s])
+    out = np.zeros(ids.shape)
+    for k in range(min(longest, n)):
+        s = np.arange(n - k)
+        out[k, s] = np.exp(ahead[s] + use[k, s] + back[s + k + 1] - ahead[n])
     return out
 
 
@@ -158,21 +220,26 @@ def _expected(vocab: Vocabulary, p: np.ndarray):
         total = np.zeros(q.shape)
         for b in batches:
             lang, found, count = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
-            for at, group in _by_length(found):
+            for at, group in _by_length(found, 16):
                 l, c = lang[at], count[at].astype(float)
                 n, spans = vocab.spans(group)
                 use = {k: q[i, l] for k, i in spans.items()}
                 alpha, beta = [np.ones(len(at))], {n: np.ones(len(at))}
                 for e in range(1, n + 1):
-                    alpha.append(sum(alpha[s] * use[s, e] for s in range(max(0, e - LONGEST_PIECE), e)))
+                    alpha.append(sum(alpha[s] * use[s, e] for s in range(max(0, e - vocab.longest), e)))
                 for s in range(n - 1, -1, -1):
-                    beta[s] = sum(beta[e] * use[s, e] for e in range(s + 1, min(n, s + LONGEST_PIECE) + 1))
+                    beta[s] = sum(beta[e] * use[s, e] for e in range(s + 1, min(n, s + vocab.longest) + 1))
                 for (s, e), ids in spans.items():
                     x = c * alpha[s] * use[s, e] * beta[e] / alpha[n]
                     some = np.flatnonzero(ids >= 0)
                     total += np.bincount(ids[some] * q.shape[1] + l[some], x[some], total.size).reshape(total.shape) if len(some) > 50_000 else 0
                     if len(some) <= 50_000:
                         np.add.at(total, (ids[some], l[some]), x[some])
+            for i, w in enumerate(found):
+                if len(w) > BATCHED:
+                    ids = vocab.pieces_of(w)
+                    x = _long_expected(ids, q[:, lang[i]])
+                    np.add.at(total[:, lang[i]], ids[ids >= 0], count[i] * x[ids >= 0])
         piece, lang = np.nonzero(total[: vocab.size])
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "x"])
 
@@ -204,21 +271,25 @@ def _counted(langs: dict[str, int]):
 class Model:
     def __init__(self, langs: list[str], p: np.ndarray, prior: np.ndarray, vocabulary_name: str):
         self.langs, self.p, self.prior, self.name = langs, p, prior, vocabulary_name
-        self._cache, self._rows, self._used = None, None, 0
+        self._cache, self._rows = None, None
 
-    LIMIT = 400_000
+    #: Words remembered, in numbers by language.
+    LIMIT = 1_600_000
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": None, "_rows": None, "_used": 0}
+        return self.__dict__ | {"_cache": None, "_rows": None}
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if self._cache is None or len(self._cache) > self.LIMIT:
-            self._cache, self._rows = {}, np.empty((0, len(self.langs)))
+        if self._cache is None or len(self._cache) * len(self.langs) > self.LIMIT:
+            self._cache, self._rows = {}, np.empty((4_096, len(self.langs)))
         found = [words(t) for t in texts]
         new = list(set().union(*found) - self._cache.keys()) if self.langs else []
         if new:
-            self._rows = np.vstack([self._rows, word_log_probs(new, vocabulary(self.name), self.p)])
-            self._cache.update(zip(new, range(len(self._cache), len(self._cache) + len(new))))
+            used = len(self._cache)
+            if used + len(new) > len(self._rows):
+                self._rows = np.concatenate([self._rows[:used], np.empty((used + 2 * len(new), len(self.langs)))])
+            self._rows[used : used + len(new)] = word_log_probs(new, vocabulary(self.name), self.p)
+            self._cache.update(zip(new, range(used, used + len(new))))
         out = []
         for w in found:
             if not w or not self.langs:
@@ -236,9 +307,7 @@ def fit(docs: DataFrame, vocabulary_name: str = VOCABULARY, rounds: int = ROUNDS
     spark = docs.sparkSession
     scratch = Scratch(spark)
     src = docs.where("lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    share = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(share) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    share = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     langs = sorted(share)
     vocab = vocabulary(vocabulary_name)
     p = np.full((vocab.size + 1, len(langs)), 1.0 / vocab.size)
