@@ -1,14 +1,16 @@
 """URL verdicts: explicit rules, else a tree of path templates per host with labelled purity.
 
-Templates: the distinct (host, path) pairs, with their row and label counts, descend level by level.
-Below one node of a host's tree a segment position becomes the wildcard ``*`` when its values vary
-(at least VARIES distinct values, with fewer than ROWS_PER_VALUE rows each, or the value is a number
-with or without an extension); paths deeper than ``depth`` end in ``**``. Siblings whose labelled
-rate does not differ from their parent's by more than Z deviations are merged into one branch, ``~``.
-A template is rejected when its smoothed purity, (bad + PRIOR * host's rate) / (labelled + PRIOR)
-with the host's rate smoothed by the overall rate in the same way, reaches REJECT.
-
-Each level is one aggregate of counts and one join; no host's paths are gathered in one task.
+Templates: the distinct (host, path) pairs, with their row and label counts, descend level by level until their
+paths end. Below one node of a host's tree a segment position becomes the wildcard ``*`` when its values vary
+(at least VARIES distinct values, with fewer than ROWS_PER_VALUE rows each); else a number, with or without an
+extension, becomes ``*``, and branches whose labelled rate does not differ from their node's by more than Z
+deviations are merged into one branch, ``~``, and go on as one. A node of fewer than VARIES paths can't vary
+any more: what is left of its paths is written down at once, numbers as ``*``, so only nodes that many deep
+paths share take further levels. A template is rejected when its smoothed purity, (bad + PRIOR * host's rate) /
+(labelled + PRIOR) with the host's rate smoothed by the overall rate in the same way, reaches REJECT.
+
+Each level is one aggregate of counts by branch, written out, and one join with it, which Spark can split
+where one host or branch holds many rows; no host's paths are gathered in one task.
 
 Rules: (host, path, verdict). A rule fits its host and every subdomain when the path starts with the
 rule's; the longest host + path wins, then block before allow, then the smaller text. Host suffixes
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 VARIES, ROWS_PER_VALUE, Z, PRIOR, REJECT = 8, 20.0, 1.96, 20.0, 0.8
-DEPTH = 6
+NUMBER = r"^[0-9]+([.][A-Za-z0-9]+)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,40 +40,43 @@ def path_of(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def templates(urls: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
-    """``urls``: distinct host, path with n, labelled, bad. Adds template and purity."""
-    u = urls.withColumn("seg", F.split("path", "/")).withColumn("tmpl", F.lit("")).withColumn("parent", F.lit(""))
-    number = r"^[0-9]+([.][A-Za-z0-9]+)?$"
-    for d in range(depth):
-        # path starts with "/", so the first piece of the split is what stands before it.
+def templates(urls: DataFrame, scratch: Scratch) -> DataFrame:
+    """``urls``: distinct host, path with n, labelled, bad. Returns host, path, template, n_labelled, purity."""
+    done = []
+    u = urls.select("host", "path", "n", "labelled", "bad", F.split("path", "/").alias("seg"), F.lit("").alias("tmpl"))
+    starred = lambda x: F.when(x.rlike(NUMBER), F.lit("*")).otherwise(x)
+    d = 0
+    while True:
+        # A path starts with "/", so the first piece of the split is what stands before it.
         here = u.withColumn("s", F.get("seg", F.lit(d + 1)))
-        kinds = here.where("s is not null").groupBy("host", "tmpl", "s").agg(F.sum("n").alias("n"))
-        kinds = kinds.groupBy("host", "tmpl").agg(F.count("*").alias("values"), F.sum("n").alias("rows"))
-        varies = kinds.where((F.col("values") >= VARIES) & (F.col("rows") < F.col("values") * ROWS_PER_VALUE)).select("host", "tmpl", F.lit(True).alias("varies"))
-        step = F.when(F.col("varies").isNotNull() | F.col("s").rlike(number), F.lit("*")).otherwise(F.col("s"))
-        u = (
-            here.join(varies, ["host", "tmpl"], "left")
-            .withColumn("parent", F.when(F.col("s").isNull(), F.col("parent")).otherwise(F.col("tmpl")))
-            .withColumn("tmpl", F.when(F.col("s").isNull(), F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), step)))
-            .drop("s", "varies")
-        )
-    deep = F.size("seg") > depth + 1
-    u = u.withColumn("parent", F.when(deep, F.col("tmpl")).otherwise(F.col("parent"))).withColumn("tmpl", F.when(deep, F.concat("tmpl", F.lit("/**"))).otherwise(F.col("tmpl")))
-    u = scratch.put(u.drop("seg"), "urls")
-    # Siblings that are labelled like their parent become one branch.
-    leaf = u.groupBy("host", "parent", "tmpl").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-    family = leaf.groupBy("host", "parent").agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"), F.count("*").alias("branches"))
-    rate = (F.col("pb") + 1) / (F.col("pl") + 2)
-    unlike = F.abs(F.col("bad") - F.col("labelled") * rate) > Z * F.sqrt(F.col("labelled") * rate * (1 - rate))
-    merged = leaf.join(family, ["host", "parent"]).withColumn("template", F.when((F.col("branches") > 1) & ~unlike, F.concat("parent", F.lit("/~"))).otherwise(F.col("tmpl")))
-    merged = scratch.put(merged.select("host", "parent", "tmpl", "template", "labelled", "bad"), "leaves")
+        branch = here.where("s is not null").groupBy("host", "tmpl", "s").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        branch = scratch.put(branch, "branches")
+        node = branch.groupBy("host", "tmpl").agg(F.sum("paths").alias("all_paths"), F.count("*").alias("values"), F.sum("n").alias("rows"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
+        rate = (F.col("pb") + 1) / (F.col("pl") + 2)
+        alike = F.abs(F.col("bad") - F.col("labelled") * rate) <= Z * F.sqrt(F.col("labelled") * rate * (1 - rate))
+        varies = (F.col("values") >= VARIES) & (F.col("rows") < F.col("values") * ROWS_PER_VALUE)
+        step = F.when(varies | F.col("s").rlike(NUMBER), F.lit("*")).when((F.col("values") > 1) & alike, F.lit("~")).otherwise(F.col("s"))
+        steps = branch.join(scratch.put(node, "nodes"), ["host", "tmpl"]).where(F.col("all_paths") >= VARIES)
+        steps = scratch.put(steps.select("host", "tmpl", "s", step.alias("step")), "steps")
+        here = scratch.put(here.join(steps, ["host", "tmpl", "s"], "left"), "urls")
+        rest = F.transform(F.slice("seg", F.lit(d + 2), F.size("seg")), starred)
+        ended = here.where("step is null").withColumn("tmpl", F.when(F.col("s").isNull(), F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), F.array_join(rest, "/"))))
+        done.append(ended.select("host", "path", "tmpl", "labelled", "bad"))
+        u = here.where("step is not null").withColumn("tmpl", F.concat("tmpl", F.lit("/"), "step")).drop("s", "step")
+        d += 1
+        if u.isEmpty():
+            break
+    known = done[0]
+    for x in done[1:]:
+        known = known.union(x)
     # Purity with the host's rate, itself smoothed by the overall rate, as the prior.
-    total = merged.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("rate"))
-    hosts = merged.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb")).crossJoin(total)  # one row
-    hosts = hosts.select("host", ((F.col("hb") + PRIOR * F.col("rate")) / (F.col("hl") + PRIOR)).alias("host_rate"))
-    branch = merged.groupBy("host", "template").agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("n_bad")).join(hosts, "host")
-    branch = branch.select("host", "template", "n_labelled", ((F.col("n_bad") + PRIOR * F.col("host_rate")) / (F.col("n_labelled") + PRIOR)).alias("purity"))
-    return u.join(merged.select("host", "parent", "tmpl", "template"), ["host", "parent", "tmpl"]).join(branch, ["host", "template"]).select("host", "path", "template", "n_labelled", "purity")
+    per = scratch.put(known.groupBy("host", F.col("tmpl").alias("template")).agg(F.sum("labelled").alias("n_labelled"), F.sum("bad").alias("n_bad")), "templates")
+    total = per.agg(F.coalesce(F.try_divide(F.sum("n_bad"), F.sum("n_labelled")), F.lit(0.0)).alias("rate"))
+    hosts = per.groupBy("host").agg(F.sum("n_labelled").alias("hl"), F.sum("n_bad").alias("hb")).crossJoin(total)  # one row
+    hosts = scratch.put(hosts.select("host", ((F.col("hb") + PRIOR * F.col("rate")) / (F.col("hl") + PRIOR)).alias("host_rate")), "hosts")
+    per = per.join(hosts, "host").select("host", "template", "n_labelled", ((F.col("n_bad") + PRIOR * F.col("host_rate")) / (F.col("n_labelled") + PRIOR)).alias("purity"))
+    per = scratch.put(per, "purities")
+    return known.withColumnRenamed("tmpl", "template").join(per, ["host", "template"]).select("host", "path", "template", "n_labelled", "purity")
 
 
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", F.col("b.verdict").alias("rule_verdict"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, template, n_labelled, purity.
 
     ``pages``: page_id, url; ``rules``: host, path, verdict; ``labels``: page_id, bad (0 or 1).
@@ -99,7 +104,7 @@ def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame, depth: int = DE
         .agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     )
     urls = scratch.put(urls, "counted")
-    known = templates(urls, scratch, depth).join(fitting_rules(urls, rules), ["host", "path"], "left")
+    known = templates(urls, scratch).join(fitting_rules(urls, rules), ["host", "path"], "left")
     known = scratch.put(known, "known")
     verdict = F.coalesce("rule_verdict", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return seen.join(known, ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "n_labelled", "purity")
