@@ -21,6 +21,7 @@ from .common import Scratch
 OPEN, SAYS, NEXT, CLOSE = "<turn>", "<says>", "<next>", "</turn>\n"
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
 LEARNED_ROLE = "assistant"
+CHUNK = 512
 
 
 def escape(c: Column) -> Column:
@@ -49,7 +50,8 @@ def format_chats(conversations: DataFrame, learned_role: str = LEARNED_ROLE) ->
         return F.struct(head.alias("head"), escape(t["text"]).alias("body"), F.when(last, F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"), (role == learned_role).alias("learned"))
 
     convs = convs.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    zero = F.lit(0).cast("long").alias("at")
+    none = F.struct(zero, F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["head"])
@@ -57,11 +59,14 @@ def format_chats(conversations: DataFrame, learned_role: str = LEARNED_ROLE) ->
         span = F.struct(start.alias("start"), size.alias("length"))
         return F.struct((start + size + F.length(p["tail"])).alias("at"), F.when(p["learned"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return convs.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.aggregate("pieces", none, step)["spans"].alias("loss_spans"),
-    )
+    # Spans in two levels: inside chunks of CHUNK pieces, then shifted by the lengths of the chunks before, so that no long list is copied at every turn.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int")), lambda k: F.slice("pieces", k * CHUNK + 1, F.lit(CHUNK)))
+    convs = convs.select("conv_id", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"), chunks.alias("chunks"))
+    convs = convs.select("conv_id", "formatted", F.transform("chunks", lambda c: F.aggregate(c, none, step)).alias("parts"))
+    start = F.struct(zero, F.array().cast("array<bigint>").alias("starts"))
+    shifts = F.aggregate("parts", start, lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
+    moved = F.zip_with("parts", shifts, lambda p, by: F.transform(p["spans"], lambda s: F.struct((s["start"] + by).alias("start"), s["length"].alias("length"))))
+    return convs.select("conv_id", "formatted", F.flatten(moved).alias("loss_spans"))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:

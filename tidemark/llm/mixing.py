@@ -8,7 +8,8 @@ due at the time when the source's demand reaches x, the inverse of that integral
 share are not taken. The training order is a range sort by that time.
 
 Running totals use two levels (buckets of about ROWS_PER_BUCKET documents, then totals of buckets),
-so a source with most of the rows is dealt over as many tasks as any other.
+so a source with most of the rows is dealt over as many tasks as any other. Sources themselves, one row each,
+pass through one task, which is meant for up to some hundred thousand of them.
 
 Defined results: null text has size 0; null source is a source of its own, last; sources of size 0
 get target 0; rows that repeat a doc_id are documents of their own; an empty table gives no rows.
