@@ -13,35 +13,43 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``embeddings``."""
     return embedding_dup.near_duplicates(_t(spark, sf_dir, "embeddings"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``documents``, learned from ``labels``."""
     return toxicity.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of every benchmark item that a document holds."""
     return contamination.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of ``documents``."""
     return lang_id.identify(_t(spark, sf_dir, "documents"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
     return near_dup.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
 def op6_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``documents``."""
     return pitman_yor.score(_t(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, copies, first position of every row of ``documents``."""
     out = mixing.assign(_t(spark, sf_dir, "documents")).withColumn("position", F.try_element_at("positions", F.lit(1)))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, verified of every row of ``documents``, from the written store."""
     return token_store.tokenize(_t(spark, sf_dir, "documents"))
 
 
@@ -56,6 +64,7 @@ URL_RULES = (
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, n_labelled, purity of every row of ``pages``."""
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     # A page counts as bad when the label of its id says low quality.
     labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -63,6 +72,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of every conversation, read back from what was written."""
     says = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
     rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
@@ -85,4 +95,36 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _shingles(table: str, ident: str, name: str) -> str:
+    """Definition of ``name``: the distinct five-word shingles of a table's texts, as in near_dup."""
+    low = f"translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    return f"""{name}w AS (SELECT {ident} AS id, regexp_extract_all(coalesce({low}, ''), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+    {name} AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM {name}w)"""
+
+
+#: Links (a, b) in both directions to the smallest id that each reaches.
+_REACHED = "reached AS (SELECT id, id AS root FROM ids UNION SELECT l.a AS id, r.root FROM reached r JOIN links l ON l.b = r.id WHERE r.root < l.a), best AS (SELECT id, min(root) AS component_id FROM reached GROUP BY 1)"
+
+#: What each conversation's turns come to, written without the formatter: every one of three characters takes two in the output.
+_TURNS = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w IS DISTINCT FROM role AS opens FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    z AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS size, length(role) + length(regexp_replace(role, '[^\\<#]', '', 'g')) AS named FROM o)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = '{chat.LEARNED_ROLE}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = '{chat.LEARNED_ROLE}'), '')) AS loss_sha256,
+    CAST(sum(size + CASE WHEN opens THEN named + {len(chat.OPEN + chat.SAYS + chat.CLOSE)} ELSE {len(chat.NEXT)} END) AS BIGINT) AS formatted_chars FROM z GROUP BY 1"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings), v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= {embedding_dup.COSINE}::DOUBLE), {_REACHED},
+    n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1)
+    SELECT b.id AS vec_id, coalesce(n.n, 0) AS n_links, b.component_id, b.id = b.component_id AS kept FROM best b LEFT JOIN n ON n.id = b.id""",
+    "op3_benchmark_decontamination": f"""WITH {_shingles('documents', 'doc_id', 'd')}, {_shingles('benchmark', 'item_id', 'i')}, n AS (SELECT id, count(*) AS n FROM i GROUP BY 1), met AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS k FROM d JOIN i ON d.s = i.s GROUP BY 1, 2)
+    SELECT doc_id, item_id, k AS n_shared, n AS n_item, k / n AS containment FROM met JOIN n ON n.id = item_id WHERE 100 * k >= 75 * n""",
+    "op5_minhash_near_dedup": f"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents), {_shingles('documents', 'doc_id', 'd')}, n AS (SELECT id, count(*) AS n FROM d GROUP BY 1),
+    met AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM d x JOIN d y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM met JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), {_REACHED}
+    SELECT b.id AS doc_id, coalesce(n.n, 0) AS n_shingles, b.component_id, b.id = b.component_id AS kept FROM best b LEFT JOIN n ON n.id = b.id""",
+    "op10_chat_formatting": _TURNS,
+}
