@@ -100,7 +100,7 @@ def nearest(rows: DataFrame, ident: str, x: str, k: int, block: int = 4_096) ->
                 out["d"] += d[at].tolist()
         return pd.DataFrame(out)
 
-    left, right = dealt.select(F.col("own").alias("i"), every.alias("j"), "id", "x"), dealt.select(every.alias("i"), F.col("own").alias("j"), "id", "x")
+    left, right = (dealt.select(i.alias("i"), j.alias("j"), F.col("id").alias("id"), F.col("x").alias("x")) for i, j in ((F.col("own"), every), (every, F.col("own"))))
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compared, f"__a {kind}, __b {kind}, d double")
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("__a").orderBy("d", "__b"))).where(F.col("rn") <= k)
 
