@@ -1,7 +1,8 @@
 """Corpus pipeline: documents -> clean, distinct, uncontaminated, mixed, tokenised.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's documents. All but the last return the columns they were given.
+again as the next stage's documents. All but the last return the columns they were given, extra ones and
+null values too. An empty table stays empty in every stage; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -17,27 +18,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject: those with a score below 0.5.
+
+    A null text is scored as the empty one; repeated rows go or stay together; rows without a doc_id are judged but
+    teach nothing; without labels of both kinds all texts have the share of label 1 as their score.
+    """
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row for each document that is the smallest of its group of near-duplicates.
+
+    Texts without words are in no group. Of rows that repeat a doc_id the smallest text stands; rows without one stay.
+    """
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item: none of which they share 75 % of the shingles.
+
+    Null and wordless texts and items match nothing; repeated rows go or stay together; an empty benchmark removes nothing.
+    """
     return contamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order."""
+    """Each document as often as the mix takes it (never more than twice), in training order.
+
+    A null source is a source of its own; texts without words have size 0 and are taken once where their source has a
+    target; repeated rows are documents of their own.
+    """
     return mixing.training_order(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, verified, read back from the token store."""
+    """doc_id, start, n_tokens, ids_crc32, verified, read back from the token store.
+
+    A null text is the end id alone; repeated rows are kept each, in order of their contents; a null doc_id comes first.
+    """
     return token_store.tokenize(docs)
 
 
