@@ -54,7 +54,7 @@ EXACT, GRID, SCALE = 48, 64, 1e6
 STRENGTH = 1.0
 STRENGTHS = np.geomspace(0.01, 50_000, 24)
 DISCOUNTS = np.linspace(0.05, 0.95, 19)
-BLOCK_BYTES, PART_BYTES, SLICE_BYTES = 10_000_000, 48_000_000, 1_000_000
+BLOCK_BYTES, PART_BYTES, SLICE_BYTES = 9_000_000, 44_000_000, 1_000_000
 #: Blocks are scored in so many rounds, which bounds what the answers take of the disk.
 ROUNDS = 2
 SEED = 17
@@ -185,19 +185,21 @@ class Block:
         self.ends, self.local, self.words = _array(t, "ends", "<i8", row), _local(t, row), _numbers(t, "words", row)
         self.learned, n = _learned(t, row), np.diff(self.ends, prepend=0)
         #: The word before is the token before; before a text's first one stands the end, its last one.
-        self.back = np.arange(len(self.local)) - 1
+        self.back = np.arange(-1, len(self.local) - 1, dtype=np.int32)
         self.back[self.ends - n] = self.ends - 1
-        w = self.local.astype(np.int64)
-        codes, inverse = np.unique(w[self.back] * len(self.words) + w, return_inverse=True)
+        codes = self.local.astype(np.int64)
+        codes, self.pair = np.unique(codes[self.back] * len(self.words) + codes, return_inverse=True)
         u, w = self.words[codes // len(self.words)], self.words[codes % len(self.words)]
+        del codes  # blocks are large, and a worker keeps what it once took
         key = pair_key(u, w)
         part = _share(key, n_parts)
         order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
         self.u, self.w, self.key, self.parts = u[order], w[order], key[order], _cuts(part[order], n_parts)
-        self.pair = rank[inverse]
-        self.count = np.bincount(self.pair[self.learned], minlength=len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        del u, w, key, part, order
+        self.pair = rank[self.pair]
+        self.count = np.bincount(self.pair[self.learned], minlength=len(rank))
 
 
 MARKS = "part int, block long, marks binary"
