@@ -10,8 +10,9 @@ SHA-256 of its bytes. A store is a folder of Parquet tables:
 * ``manifest``: level, segment, node - a Merkle tree over the recipes in order, FAN_IN children a
   node, the root in the row of the highest level.
 
-``read_store`` checks every chunk against its key and every document against its node and returns
-counts and checksums; ``reconstruct`` returns the ids; ``verify_manifest`` recomputes the tree.
+``verify_manifest`` recomputes the tree from the recipes' nodes; ``read_store`` checks every document's
+node against its keys and every chunk against its key and returns counts and checksums, so the three
+levels together verify what is read; ``tokenize`` does both. ``reconstruct`` returns the ids.
 
 Defined results: null text is encoded as empty (the end id alone); rows that repeat a doc_id are
 documents of their own, ordered by doc_id, then node, then row; a null doc_id comes first; other
@@ -27,10 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs
+from .common import Scratch, portions, runs
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -44,6 +46,10 @@ _ODD = re.compile(r"[\x09\x0b-\x0d\x1c-\x1f]")
 _WIDE = re.compile(r"[^\S \n]")
 
 
+#: How the byte-level vocabulary writes a blank.
+BLANK = "Ġ"
+
+
 class Encoder(dict):
     """Piece of text -> bytes of its ids; the tokenizer sees each distinct piece once while it is remembered.
 
@@ -58,9 +64,13 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tok = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
         self.type = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        #: The same merges without the search for cuts, for pieces that have none.
+        self.merges = Tokenizer.from_str(self.tok.to_str())
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.end = np.array([END_ID], self.type).tobytes()
         self.bare: dict[str, bytes] = {}
@@ -82,10 +92,15 @@ class Encoder(dict):
         whole = ids.tobytes()
         return [whole[s:e] for s, e in zip([0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(whole)])][: len(texts)]
 
-    def _behind_blanks(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space, each behind a blank: encoded as one text, told apart by their lengths in bytes."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.type)
-        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])) + 1
+    def _behind_blanks(self, pieces: list[str], letters: bool) -> list[bytes]:
+        """Ids of pieces without white space, each behind a blank: encoded as one text, told apart by their lengths in bytes.
+
+        ``letters``: all are ASCII letters, which the pre-tokenizer leaves whole.
+        """
+        tok, text = (self.merges, BLANK + f" {BLANK}".join(pieces)) if letters else (self.tok, " " + " ".join(pieces))
+        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+        sizes = map(len, pieces) if letters else (len(p.encode("utf-8", "surrogatepass")) for p in pieces)
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(pieces)) + 1)) + 1
         whole, ends = ids.tobytes(), (ends * self.type.itemsize).tolist()
         return [whole[s:e] for s, e in zip([0, *ends], ends)]
 
@@ -112,54 +127,76 @@ class Encoder(dict):
         words = plain.difference(ends)
         words.update(c for p in ends if (c := p[:-1]) not in self)
         new = [p for p in words if "\n" not in p]
-        for k in range(0, len(new), 8192):
-            self.update(zip(new[k : k + 8192], self._behind_blanks(new[k : k + 8192])))
+        new, letters = [p for p in new if not (p.isascii() and p.isalpha())], [p for p in new if p.isascii() and p.isalpha()]
+        for group, plain in ((new, False), (letters, True)):
+            for k in range(0, len(group), 8192):
+                self.update(zip(group[k : k + 8192], self._behind_blanks(group[k : k + 8192], plain)))
         odd = [p for p in words if "\n" in p]
         self.update(zip(odd, self._raw([" " + p for p in odd])))
         bare = self._bare({p[-1] for p in ends} | {x[1] for x in lines.values()} | {"\n"})
         self.update([(p, self[p[:-1]] + bare[p[-1]]) for p in ends])
         once = {p: self[a] + bare["\n"] + bare[b] for p, (a, b) in lines.items()}
-        once.update((p, self.pop(p)) for p in [*odd, *(p for p in new if len(p) > self.LONGEST)])
+        once.update((p, self.pop(p)) for p in [*odd, *(p for p in (*new, *letters) if len(p) > self.LONGEST)])
         return once
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with its end, and where each text's ids end."""
         if len(self) > self.LIMIT:
             # What was used since the last time is kept; the rest is forgotten.
             self.old = dict(self)
             self.clear()
         if len(self.bare) > self.LIMIT // 4:
             self.bare.clear()
-        get, rows, missing, whole, first = self.get, [], set(), {}, set()
-        for i, t in enumerate(texts):
-            x = (t or "").split(" ")
-            # Cuts are safe where no piece is empty or ends in white space; other texts, and such with odd white space, go whole.
-            if t and ("" in x or "\n " in t or t[-1] == "\n" or _ODD.search(t) or not t.isascii() and _WIDE.search(t) or any(s in t for s in self.special)):
-                whole[i] = t
-                rows.append((None, (), ()))
-                continue
-            head, tail = x[0], x[1:]
-            if "\n" in head:
-                whole[i] = head
-                head = None
-            elif head:
-                first.add(head)
-            ids = list(map(get, tail))
-            gaps = [k for k, v in enumerate(ids) if v is None] if None in ids else ()
-            missing.update([tail[k] for k in gaps])
-            rows.append((head, ids, gaps, tail))
-        once = self._learn(missing) if missing else {}
-        bare = self._bare(first)
-        marked = {i for i, t in whole.items() if any(s in t for s in self.special)}
-        raw = dict(zip((i for i in whole if i not in marked), self._raw([t for i, t in whole.items() if i not in marked])))
-        for i in marked:
-            raw[i] = np.array(self.tok.encode(whole[i], add_special_tokens=False).ids, self.type).tobytes()
-        out = []
-        for i, (head, ids, gaps, *tail) in enumerate(rows):
-            for k in gaps:
-                p = tail[0][k]
-                ids[k] = once[p] if p in once else self[p]
-            out.append((raw[i] if i in raw else bare[head] if head else b"") + b"".join(ids) + self.end)
-        return out
+        said = texts.to_pylist()
+        whole = [i for i, t in enumerate(said) if t and self._odd(t)]
+        # Others are split at blanks; equal pieces are looked up once.
+        text = texts.fill_null("")
+        if whole:
+            text = pc.if_else(pa.array(np.isin(np.arange(len(said)), whole)), "", text)
+        parts = pc.split_pattern(text, " ")
+        at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        piece, names = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = at[:-1]
+        heads = {k: names[k] for k in set(piece[first].tolist())}
+        tails = np.ones(len(piece), bool)
+        tails[first] = False
+        used = np.bincount(piece[tails], minlength=len(names)) > 0
+        ids = list(map(self.get, names))
+        missing = [k for k, v in enumerate(ids) if v is None and used[k]] if None in ids else []
+        once = self._learn({names[k] for k in missing}) if missing else {}
+        for k in missing:
+            ids[k] = once[p] if (p := names[k]) in once else self[p]
+        # What opens a text has nothing before it; a text that can't be split is one piece.
+        plain = [k for k, h in heads.items() if h and "\n" not in h]
+        bare = self._bare({heads[k] for k in plain})
+        raw = self._raw([h for h in heads.values() if "\n" in h] + [t for t in (said[i] for i in whole) if not self._marked(t)])
+        opens = dict.fromkeys(heads, b"") | {k: bare[heads[k]] for k in plain} | dict(zip((k for k, h in heads.items() if "\n" in h), raw))
+        place = np.zeros(len(names), np.int64)
+        for k, v in opens.items():
+            place[k] = len(ids)
+            ids.append(v)
+        piece[first] = place[piece[first]]
+        rest = iter(raw[sum("\n" in h for h in heads.values()) :])
+        for i in whole:
+            piece[at[i]] = len(ids)
+            ids.append(np.array(self.tok.encode(said[i], add_special_tokens=False).ids, self.type).tobytes() if self._marked(said[i]) else next(rest))
+        piece = np.insert(piece, at[1:], len(ids))
+        ids.append(self.end)
+        ids = [v or b"" for v in ids]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+        begin = np.cumsum(size) - size
+        n = size[piece]
+        to = np.cumsum(n)
+        out = np.frombuffer(b"".join(ids), self.type)[np.repeat(begin[piece] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+        return out, to[at[1:] + np.arange(len(said))]
+
+    def _marked(self, t: str) -> bool:
+        return any(s in t for s in self.special)
+
+    def _odd(self, t: str) -> bool:
+        """Whether cuts at blanks are unsafe: some piece is empty or ends in white space, or there is odd white space or a special token."""
+        return t[0] == " " or t[-1] in " \n" or "  " in t or "\n " in t or bool(_ODD.search(t)) or not t.isascii() and bool(_WIDE.search(t)) or self._marked(t)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -171,47 +208,54 @@ def encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    g = _GEAR[ids & 0xFFFF]
-    h = g.copy()
+def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each text, given all texts' ids in a row and where each text ends.
+
+    A cut lies at least LEAST ids behind a text's start, so no window that counts reaches into the text before.
+    """
+    h = _GEAR[ids & 0xFFFF]
+    g = h.copy()
     for j in range(1, WINDOW):
         h[j:] += g[:-j] << np.uint64(j)
     h ^= h >> np.uint64(31)
-    out, last = [], 0
-    for c in (np.flatnonzero((h & np.uint64(MASK)) == 0) + 1).tolist():
-        while c - last > MOST:
+    found = np.flatnonzero((h & np.uint64(MASK)) == 0) + 1
+    starts = np.append(0, ends[:-1])
+    lo, hi = np.searchsorted(found, starts + LEAST), np.searchsorted(found, ends)
+    out = []
+    for s, e, i, j in zip(starts.tolist(), ends.tolist(), lo.tolist(), hi.tolist()):
+        own, last = [], s
+        for c in found[i:j].tolist() if j > i else ():
+            while c - last > MOST:
+                last += MOST
+                own.append(last)
+            if c - last >= LEAST:
+                own.append(c)
+                last = c
+        while e - last > MOST:
             last += MOST
-            out.append(last)
-        if c - last >= LEAST and n - c > 0:
-            out.append(c)
-            last = c
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    return [*out, n]
+            own.append(last)
+        own.append(e)
+        out.append(own)
+    return out
 
 
 def _chunked(name: str):
     def run(batches):
         enc = encoder(name)
+        kind, width = pa.list_(pa.binary()), enc.type.itemsize
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                c = b.slice(k, 512)
-                ids = enc.encode(c.column(2).to_pylist())
-                keys, datas, node = [], [], []
-                for x in ids:
-                    ends = [e * enc.type.itemsize for e in cuts(np.frombuffer(x, enc.type))]
-                    data = [x[s:e] for s, e in zip([0, *ends], ends)]
+            for c in portions(b, 2, 8_000_000):
+                ids, ends = enc.encode(c.column(2))
+                raw = ids.tobytes()
+                keys, datas, node, start = [], [], [], 0
+                for own in cuts(ids, ends):
+                    data = [raw[s * width : e * width] for s, e in zip([start, *own], own)]
                     key = [hashlib.sha256(d).digest() for d in data]
                     keys.append(key)
                     datas.append(data)
                     node.append(hashlib.sha256(b"".join(key)).digest())
-                n = [len(x) // enc.type.itemsize for x in ids]
-                kind = pa.list_(pa.binary())
+                    start = own[-1]
+                n = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(datas, kind)], ["row", "doc_id", "n_tokens", "node", "keys", "data"])
 
     return run
@@ -235,7 +279,6 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     ordered = recipe.repartitionByRange(F.col("doc_id").asc_nulls_first(), "node", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "node", "row").withColumn("part", F.spark_partition_id())
     ordered = scratch.put(ordered, "ordered")
     scratch.drop(cut)
-    scratch.release()
     # Two levels of running totals: of the parts, then inside each part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("rows")).select(F.col("part").alias("p"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
@@ -360,7 +403,9 @@ def _rebuilt(batches):
 
 
 def tokenize(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Write the store (to ``path`` or the scratch folder) and read it back."""
+    """Write the store (to ``path`` or the scratch folder), recompute its Merkle tree from the files, and read it back."""
     path = path or Scratch(docs.sparkSession).path("store")
     write_store(docs, path, tokenizer)
+    if not verify_manifest(docs.sparkSession, path):
+        raise ValueError(f"the recipes under {path} are not those of its manifest")
     return read_store(docs.sparkSession, path)
