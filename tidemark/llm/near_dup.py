@@ -44,7 +44,7 @@ CENTRAL_AGREE = 42
 #: At similarity 0.75 the 1,024 bytes agree 769 times on average, deviation 14; fewer than 706 is 4.5 deviations away.
 WIDE, WIDE_AGREE = 1024, 706
 CENTRAL_BLOCK, BLOCK = 256, 1024
-PARTNERS = 64
+PARTNERS, SKETCHES_A_TASK = 64, 4_096
 
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,6 +92,7 @@ def wide_sketch(x: np.ndarray) -> bytes:
 
 
 def _sign(batches):
+    pa.default_memory_pool().release_unused()  # what the worker's earlier tasks held
     for b in batches:
         ids, n, s1, s2, mh = [], [], [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -217,7 +218,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = one.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     rep = scratch.put(rep, "rep")
     sketches = scratch.put(signed.join(rep.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "mh"), "sketches")
-    keys = sketches.mapInArrow(_keys, "rep long, key long")
+    # A sketch is small and becomes 190 rows: tasks get so many that their partial aggregates stay small.
+    tasks = max(1, -(-sketches.count() // SKETCHES_A_TASK))
+    keys = sketches.repartition(tasks, "rep").mapInArrow(_keys, "rep long, key long")
     # A bucket's count and leader are partial aggregates; the join back can be split where one bucket is large.
     buckets = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("rep")).alias("lead")).where("n > 1").select("key", "lead"), "buckets")
     met = scratch.put(keys.join(buckets, "key").select("key", "rep", "lead"), "met")
