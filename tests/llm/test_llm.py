@@ -322,7 +322,7 @@ def test_toxicity_scores_are_those_of_the_plain_model(spark):
     want = {}
     for g in set(pos) | set(neg):
         p, q = (pos[g] + 1) / (n1 + 2), (neg[g] + 1) / (n0 + 2)
-        if abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0) >= toxicity.APART or pos[g] >= 2 and not neg[g]:
+        if abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0) >= toxicity.APART or pos[g] >= toxicity.ALONE and not neg[g]:
             want[g] = np.log(p / q)
     assert len(model.kept) == len(want) and np.allclose(sorted(model.ratio), sorted(want.values()))
     for t in [*list(texts.values())[:40], None, "", "  Ünïcödé 日本 ", "x" * 100_000]:

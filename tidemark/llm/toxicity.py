@@ -4,7 +4,7 @@ Features say which runs of 3, 4 and 5 characters a text holds (lower-cased, whit
 is scaled by its log-count ratio between the two labels; a logistic regression is fitted on the scaled
 features. The fit reads at most MAX_POSITIVE + MAX_NEGATIVE labelled rows, taken in a fixed random order
 of doc_id: the documented bound of the sample, and what bounds the model that is broadcast. Of the sample's
-n-grams all are features that tell the labels apart: by APART deviations at least, or by standing in two
+n-grams all are features that tell the labels apart: by APART deviations at least, or by standing in ALONE
 toxic texts or more and no other. Scoring reads every whole text once, without a shuffle.
 
 Defined results: null text is scored as the empty text; without rows of both labels every score is the
@@ -28,8 +28,8 @@ from .common import fold
 
 ORDERS = (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
-#: n-grams whose shares differ by fewer deviations are chance finds.
-APART = 3.0
+#: Among millions of n-grams, those whose shares differ by fewer deviations are chance finds, and so are those in fewer toxic texts alone.
+APART, ALONE = 4.0, 3
 SMOOTH, L2, STEPS, ROWS = 1.0, 1e-4, 150, 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     p, q = (F.col("pos") + SMOOTH) / (n1 + 2 * SMOOTH), (F.col("neg") + SMOOTH) / (n0 + 2 * SMOOTH)
     # How far the two shares lie apart in deviations.
     apart = F.abs(p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
-    telling = (apart >= APART) | ((F.col("pos") >= 2) & (F.col("neg") == 0))
+    telling = (apart >= APART) | ((F.col("pos") >= ALONE) & (F.col("neg") == 0))
     kept = counts.where(telling).select("gram", F.log(p / q).alias("ratio")).toArrow().sort_by("gram")
     model = Model(kept["gram"].to_numpy(), kept["ratio"].to_numpy())
 
