@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, embedding_dup, lang_id, mixing, near_dup, pitman_yor, token_store, toxicity, url_filter
+from . import chat, chat_repair, contamination, embedding_dup, lang_id, mixing, near_dup, pitman_yor, secrets, spelling, token_store, toxicity, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.written_chats(rows))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, counts of faults, cost, audit and digest of the repaired turns of every conversation, after damage."""
+    return chat_repair.digest(chat_repair.repair(chat_repair.damage(_t(spark, sf_dir, "conversations")), "copies"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of ``documents``, after damage."""
+    return spelling.spelling_variants(_t(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``documents``."""
+    return secrets.scan(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +107,9 @@ QUERIES = {
         op8_token_store,
         op9_url_filter,
         op10_chat_formatting,
+        op11_conversation_repair,
+        op12_spelling_variants,
+        op13_secret_scan,
     )
 }
 
@@ -115,6 +133,48 @@ _TURNS = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coale
     CAST(coalesce(sum(length(text)) FILTER (role = '{chat.LEARNED_ROLE}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = '{chat.LEARNED_ROLE}'), '')) AS loss_sha256,
     CAST(sum(size + CASE WHEN opens THEN named + {len(chat.OPEN + chat.SAYS + chat.CLOSE)} ELSE {len(chat.NEXT)} END) AS BIGINT) AS formatted_chars FROM z GROUP BY 1"""
 
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _edit(letter: str, cost: str | int, rest: str) -> str:
+    """Cost in eight digits and audit, with one more edit before them."""
+    return f"(printf('%08d', CAST(left({rest}, 8) AS INTEGER) + {cost}) || '{letter}' || substr({rest}, 9))"
+
+
+def _kept(char: str, then: str) -> str:
+    late = f"{chat_repair.TRUNCATED} * late"
+    rerole = f"least({_edit('R', f'{chat_repair.REROLE} + {late}', then)}, {_edit('K', late, then)})" if char != "s" else _edit("K", late, then)
+    return f"CASE WHEN must THEN '99999999' WHEN initial = '{char}' THEN {rerole} ELSE {_edit('R', f'{chat_repair.REROLE} + {late}', then) if char != 's' else "'99999999'"} END"
+
+
+_GONE = lambda q: _edit("D", chat_repair.DELETE, f"n{q}")
+_PUT = lambda q: _edit("I", chat_repair.INSERT, q)
+
+#: Shortest way through an automaton of the grammar (0 start, 1 after s, 2 after u, 3 after a), from the last turn to the
+#: first: n are the values behind a turn, c those with the turn's own edit, v those with insertions before it.
+_REPAIR = rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce('=' || conv_id, '') AS g, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    h AS (SELECT *, {_CRC.format('k')} % 20 AS h FROM k),
+    d AS (SELECT g, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+    o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS seen, left(role, 1) AS initial,
+      regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last FROM d),
+    f AS (SELECT *, last = '' AS blank, last <> '' AND seen > 1 AS duplicate, last <> '' AND seen = 1 AND last NOT IN ('.', '!', '?') AS truncated, lead(initial) OVER (PARTITION BY g ORDER BY i) AS next FROM o),
+    t AS (SELECT g, i, role, text, initial, blank OR duplicate AS must, truncated::INTEGER AS late FROM f),
+    s AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+      count(*) FILTER (next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+    r AS (SELECT g, n + 1 AS i, '00000000' AS n0, '00000006II' AS n1, '00000003I' AS n2, '00000000' AS n3 FROM s
+      UNION ALL SELECT g, i, least(c0, {_PUT('c2')}, {_PUT(_PUT('c3'))}), least(c1, {_PUT('c2')}, {_PUT(_PUT('c3'))}), least(c2, {_PUT('c3')}), least(c3, {_PUT('c2')}) FROM (
+        SELECT t.g, t.i, least({_GONE(0)}, {_kept('s', 'n1')}, {_kept('u', 'n2')}) AS c0, least({_GONE(1)}, {_kept('u', 'n2')}) AS c1, least({_GONE(2)}, {_kept('a', 'n3')}) AS c2, least({_GONE(3)}, {_kept('u', 'n2')}) AS c3
+        FROM r JOIN t ON t.g = r.g AND t.i = r.i - 1)),
+    b AS (SELECT g, CAST(left(n0, 8) AS BIGINT) AS cost, substr(n0, 9) AS audit FROM r WHERE i = 1),
+    e AS (SELECT g, unnest(string_split(audit, '')) AS e, unnest(range(len(audit))) AS p, len(replace(audit, 'D', '')) AS made FROM b WHERE audit <> ''),
+    w AS (SELECT *, count(*) FILTER (e <> 'I') OVER x AS i, made - count(*) FILTER (e <> 'D') OVER x AS left_over FROM e WINDOW x AS (PARTITION BY g ORDER BY p)),
+    y AS (SELECT w.g, string_agg(CASE WHEN e = 'K' THEN t.role WHEN left_over % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY p) AS said FROM w LEFT JOIN t ON t.g = w.g AND t.i = w.i WHERE e <> 'D' GROUP BY 1)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, g FROM k) a LEFT JOIN s ON s.g = a.g LEFT JOIN b ON b.g = a.g LEFT JOIN y ON y.g = a.g"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings), v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
     links AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= {embedding_dup.COSINE}::DOUBLE), {_REACHED},
@@ -127,4 +187,5 @@ ORACLE_SQL: dict[str, str] = {
     links AS (SELECT a, b FROM met JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * k >= 75 * (p.n + q.n - k)), {_REACHED}
     SELECT b.id AS doc_id, coalesce(n.n, 0) AS n_shingles, b.component_id, b.id = b.component_id AS kept FROM best b LEFT JOIN n ON n.id = b.id""",
     "op10_chat_formatting": _TURNS,
+    "op11_conversation_repair": _REPAIR,
 }
