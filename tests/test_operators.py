@@ -1,5 +1,6 @@
 """Behaviour on small literal tables, and properties."""
 
+import hashlib
 import json
 import math
 
@@ -311,6 +312,39 @@ def test_coresets(spark):
     assert 15 < CS.effective_rank(g, "v") <= 32
 
 
+@pytest.mark.parametrize("held", [1, 3, None])
+def test_greedy_picks_by_carried_bounds(spark, held):
+    """The same picks however few candidates a pass brings; ties, repeated vectors, null classes and text ids."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(150, 2)) * 64) / 64  # exact squares, so that ties are ties
+    x[40:60] = x[:20]
+    rows = [(f"i{k:03d}", "ab"[k % 2] if k % 5 else None, v.tolist()) for k, v in enumerate(x)] + [("n", "a", None), (None, "a", [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "id string, c string, v array<double>").repartition(5)
+    for by in (None, "c"):
+        groups = {}
+        for i, c, v in rows:
+            if i is not None and v is not None:
+                groups.setdefault(c if by else "", {})[i] = np.array(v)
+        size = {c: max(1, round(len(g) * 24 / 150)) if by else 24 for c, g in groups.items()}
+        herd, far = set(), set()
+        for c, g in groups.items():
+            mean, took = np.mean(list(g.values()), 0), []
+            start = min(g, key=lambda i: (hashlib.sha256(f"{i}:42".encode()).hexdigest(), i))
+            cover = [min(g, key=lambda i: (round(((g[i] - g[start]) ** 2).sum(), 9), i))]
+            while len(took) < size[c]:
+                goal = (len(took) + 1) * mean - sum((g[i] for i in took), np.zeros(2))
+                took.append(min((i for i in g if i not in took), key=lambda i: (round(((g[i] - goal) ** 2).sum(), 9), i)))
+            while len(cover) < size[c]:
+                cover.append(min((i for i in g if i not in cover), key=lambda i: (-round(min(((g[i] - g[j]) ** 2).sum() for j in cover), 9), i)))
+            herd |= set(took)
+            far |= set(cover)
+        passes = []
+        assert {r["id"] for r in CS.k_center(d, "id", "v", 24, by=by, held=held, passes=passes).collect()} == far
+        assert held or len(passes) <= 2
+        assert {r["id"] for r in CS.herding(d, "id", "v", 24, by=by, held=held).collect()} == herd
+    assert CS.herding(d.limit(0), "id", "v", 5).count() == 0
+
+
 def test_entry_without_llm(sf):
     """The entry module imports, and keeps its other queries, when the training-data modules are gone."""
     import importlib.util
@@ -340,7 +374,7 @@ def test_scoring_after_observed_metrics_and_a_pipeline_run(spark, sf):
     seen = Observation("rows")
     spark.range(5).observe(seen, F.count("*").alias("n")).collect()
     assert catalog.QUERIES["I6_pipeline"](spark, sf).count() > 0
-    for name in ("R1_predict_batch", "M8_stack", "M14_offline_evaluation", "M16_permutation_importance", "M17_two_target"):
+    for name in ("R1_predict_batch", "M7_search", "M8_stack", "M14_offline_evaluation", "M16_permutation_importance", "M17_two_target"):
         assert catalog.QUERIES[name](spark, sf).count() > 0, name
 
 

@@ -1,7 +1,7 @@
 """Replay buffers, coresets and spectra.
 
-Greedy selections (herding, k-centre) are rounds over all rows, each one pass and one small aggregate for
-all classes at once, so the selection is the exact one at every size.
+Greedy selections (herding, k-centre) take several picks from each pass over all rows, for all classes at once, as
+long as carried bounds show that they are the exact ones.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,63 +57,159 @@ def _quotas(rows: DataFrame, size: int, by: str | None) -> dict[str, int]:
     return {c: k if total <= size else min(k, max(1, round(k * size / total)) if by else size) for c, k in n.items()}
 
 
-def _greedy(df: DataFrame, ident: str, features: str, size: int, by: str | None, key, first=None) -> DataFrame:
-    """Rounds over all rows: each takes from every class the free row of the least key (then the least id).
+#: Numbers that the driver holds of a pass's candidates, and the groups that merge what tasks send.
+HELD, SLOTS = 4_000_000, 16
 
-    ``key`` maps a class's rows and what it has chosen to one number a row. A task sends one row for each batch
-    and class, so a round is one pass and one small aggregate; the driver holds the chosen rows only.
+
+def _squares(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distance of each row from the nearest point."""
+    out = np.full(len(x), np.inf)
+    for p in points:
+        np.minimum(out, ((x - p) ** 2).sum(1), out=out)
+    return out
+
+
+def _least(part: pd.DataFrame, held: int) -> tuple[pd.DataFrame, float]:
+    """The ``held`` rows of least value (then id), and the least value among the others."""
+    if len(part) <= held:
+        return part, np.inf
+    part = part.sort_values(["value", "id"], ignore_index=True)
+    return part.iloc[:held], float(part["value"].iloc[held])
+
+
+def _candidates(rows: DataFrame, wanted: dict, sign: int, held: int) -> tuple[dict[str, tuple], dict[str, float]]:
+    """One pass (ids, vectors and values in order): of each class the free rows of least ``sign`` x squared distance from the class's points, and a bound
+    that no other free row of the class lies below. Tasks send ``held`` rows a class, which ``SLOTS`` groups merge."""
+    kind = dict(rows.dtypes)["id"]
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
+    schema = f"c string, slot int, id {kind}, x array<double>, value double"
+
+    def told(c, slot: int, kept: pd.DataFrame, bound: float) -> pd.DataFrame:
+        """The kept rows and one without a vector that holds the bound."""
+        n = len(kept) + 1
+        ids = pd.Series([*kept["id"], None], dtype=object)
+        return pd.DataFrame({"c": [c] * n, "slot": [slot] * n, "id": ids, "x": [*kept["x"], None], "value": [*kept["value"], bound]})
+
+    def task(batches):
+        slot = TaskContext.get().partitionId() % SLOTS
+        kept: dict = {}
+        for b in batches:
+            for c, part in b.groupby("c", dropna=False):
+                c = None if pd.isna(c) else c
+                if c not in sent.value:
+                    continue
+                points, taken = sent.value[c]
+                part = part[~part["id"].isin(taken)]
+                if not len(part):
+                    continue
+                part = part.assign(value=sign * _squares(np.stack(part["x"]), points))
+                before, bound = kept.get(c, (part.iloc[:0], np.inf))
+                best, left = _least(pd.concat([before, part]) if len(before) else part, held)
+                kept[c] = best, min(bound, left)
+        for c, (best, bound) in kept.items():
+            yield told(c, slot, best, bound)
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        c, slot, rest = part["c"].iloc[0], part["slot"].iloc[0], part["x"].isna()
+        best, left = _least(part[~rest], held)
+        return told(c, slot, best, min(left, float(part.loc[rest, "value"].min())))
+
+    found = rows.mapInPandas(task, schema).groupBy("c", "slot").applyInPandas(merge, schema).toArrow()  # at most held x SLOTS rows a class
+    values, ids, classes = found.column("value").to_numpy(), found.column("id").to_pylist(), found.column("c").to_pylist()
+    x = found.column("x").combine_chunks()
+    bound = x.is_null().to_numpy(zero_copy_only=False)
+    place = np.cumsum(~bound) - 1
+    x = x.drop_null().flatten().to_numpy().reshape(int((~bound).sum()), -1) if not bound.all() else np.empty((0, 0))
+    best: dict[str, list] = {c: [] for c in wanted}
+    bounds = dict.fromkeys(wanted, np.inf)
+    for i, c in enumerate(classes):
+        if bound[i]:
+            bounds[c] = min(bounds[c], values[i])
+        else:
+            best[c].append((values[i], ids[i], place[i]))
+    out = {}
+    for c, v in best.items():
+        v.sort(key=lambda r: r[:2])
+        out[c] = [i for _, i, _ in v], x[[p for *_, p in v]], np.array([d for d, *_ in v])
+    return out, bounds
+
+
+def _result(df: DataFrame, ident: str, chosen: dict[str, list]) -> DataFrame:
+    kind = dict(df.dtypes)[ident]
+    ids = df.sparkSession.createDataFrame([(i,) for v in chosen.values() for i, _ in v], f"__id {kind}")
+    return df.join(ids, df[ident] == ids["__id"], "left_semi")
+
+
+def _greedy(df: DataFrame, ident: str, features: str, size: int, by: str | None, start, points, sign: int, still, held: int | None, passes: list | None) -> DataFrame:
+    """Greedy picks with carried candidates: each pass brings every class's best rows and a bound on all others, and
+    the driver picks from them as long as that bound shows that no other row can be better.
+
+    ``start`` gives a class's beginning; ``points`` of a beginning and the chosen rows are what distances are taken
+    from. ``still(value, bound, points then, points now)``: a candidate of this value is ahead of all rows beyond the bound.
     """
     ship(df.sparkSession)
     rows = df.select((F.col(by).cast("string") if by else F.lit("")).alias("c"), F.col(ident).alias("id"), F.col(features).cast("array<double>").alias("x")).where("x is not null and id is not null").persist()
-    quota, spark = _quotas(rows, size, by), df.sparkSession
-    kind = dict(df.dtypes)[ident]
+    quota = _quotas(rows, size, by)
+    began = start(rows)
     chosen: dict[str, list[tuple]] = {c: [] for c in quota}
-    context = first(rows) if first else {}
-    for k in range(max(quota.values(), default=0)):
-        wanted = {c: (context.get(c), v) for c, v in chosen.items() if quota[c] > k}
-        shared = spark.sparkContext.broadcast(wanted)
-
-        def best(batches, shared=shared):
-            for b in batches:
-                for c, part in b.groupby("c", dropna=False):
-                    c = None if pd.isna(c) else c
-                    if c not in shared.value:
-                        continue
-                    about, taken = shared.value[c]
-                    part = part[~part["id"].isin([i for i, _ in taken])]
-                    if len(part):
-                        value = key(np.stack(part["x"]), np.array([x for _, x in taken]), about)
-                        low = part[value == value.min()].sort_values("id").iloc[0]
-                        yield pd.DataFrame({"c": [c], "id": [low["id"]], "x": [low["x"]], "value": [float(value.min())]})
-
-        found = rows.mapInPandas(best, f"c string, id {kind}, x array<double>, value double").groupBy("c").agg(F.min_by(F.struct("id", "x"), F.struct("value", "id")).alias("w"))
-        for r in found.collect():  # one row a class
-            chosen[r["c"]].append((r["w"]["id"], np.array(r["w"]["x"])))
+    while wanted := {c: (points(began[c], [x for _, x in chosen[c]]), [i for i, _ in chosen[c]]) for c in quota if len(chosen[c]) < quota[c]}:
+        # The first pick is from a point of its own, from which the others' distances are not taken.
+        first = {c for c in wanted if not chosen[c]}
+        signs = {1 if sign > 0 or c in first else sign for c in wanted}
+        for s in signs:
+            part = {c: v for c, v in wanted.items() if (1 if sign > 0 or c in first else sign) == s}
+            left = max(quota[c] - len(chosen[c]) for c in part)
+            width = max(p.shape[1] for p, _ in part.values())
+            most = held or max(16, min(64 * left, HELD // (SLOTS * width * len(part))))
+            best, bounds = _candidates(rows, part, s, most)
+            if passes is not None:
+                passes.append(len(part))
+            for c, (ids, x, value) in best.items():
+                then, free = part[c][0], np.ones(len(ids), bool)
+                while len(chosen[c]) < quota[c] and free.any():
+                    now = points(began[c], [v for _, v in chosen[c]])
+                    if free.all():
+                        at = 0
+                    elif s != sign:
+                        break  # the rule changes after the first pick
+                    else:
+                        value = sign * _squares(x, now) if sign > 0 else np.maximum(value, -((x - now[-1]) ** 2).sum(1))
+                        open_ = np.flatnonzero(free)
+                        low = open_[value[open_] == value[open_].min()]
+                        at = min(low, key=ids.__getitem__)
+                        if not still(value[at], bounds[c], then, now):
+                            break
+                    free[at] = False
+                    chosen[c].append((ids[at], x[at]))
     rows.unpersist()
-    ids = spark.createDataFrame([(i,) for v in chosen.values() for i, _ in v], f"__id {kind}")
-    return df.join(ids, df[ident] == ids["__id"], "left_semi")
+    return _result(df, ident, chosen)
 
 
-def herding(df: DataFrame, ident: str, features: str, size: int, by: str | None = None) -> DataFrame:
-    """Rows whose mean follows the mean of all (of each class): each round takes the row x that brings the mean
-    of the selection nearest to the class's mean m, over all rows. With k chosen rows that sum to t this is the
-    least |x|^2 - 2 x.((k + 1) m - t). Null ids and vectors are left out; every class gives one row at least."""
+def herding(df: DataFrame, ident: str, features: str, size: int, by: str | None = None, held: int | None = None, passes: list | None = None) -> DataFrame:
+    """Rows whose mean follows the mean of all (of each class): each pick is the row x that brings the mean
+    of the selection nearest to the class's mean m, over all rows. With k chosen rows that sum to t this is the row
+    nearest to (k + 1) m - t, so a bound on the distance of the other rows holds on, less by how far that point moves,
+    and one pass gives several picks. Null ids and vectors are left out; every class gives one row at least; ties go
+    to the lower id. ``passes`` gets the classes of each pass."""
 
     def means(rows: DataFrame) -> dict:
         at = rows.select("c", F.posexplode("x").alias("pos", "v")).groupBy("c", "pos").agg(F.avg("v").alias("m"))
         got = at.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("m")).collect()  # one row a class
         return {r["c"]: np.array([m["m"] for m in r["m"]]) for r in got}
 
-    def key(x, taken, mean):
-        toward = (len(taken) + 1) * mean - (taken.sum(0) if len(taken) else 0)
-        return (x * x).sum(1) - 2 * (x @ toward)
+    def toward(mean, taken):
+        return ((len(taken) + 1) * mean - np.sum(taken, axis=0, initial=0.0) if taken else mean)[None, :]
+
+    def still(value, bound, then, now):
+        return np.sqrt(value) * (1 + 1e-9) < np.sqrt(bound) - np.sqrt(((now - then) ** 2).sum())
 
-    return _greedy(df, ident, features, size, by, key, means)
+    return _greedy(df, ident, features, size, by, means, toward, 1, still, held, passes)
 
 
-def k_center(df: DataFrame, ident: str, features: str, size: int, seed: int = 42, by: str | None = None) -> DataFrame:
-    """C4: rows that cover the others: from a row drawn by a hash of id and seed, each round takes the row farthest
-    from the chosen ones, over all rows. Null ids and vectors are left out."""
+def k_center(df: DataFrame, ident: str, features: str, size: int, seed: int = 42, by: str | None = None, held: int | None = None, passes: list | None = None) -> DataFrame:
+    """C4: rows that cover the others: from a row drawn by a hash of id and seed, each pick is the row farthest
+    from the chosen ones, over all rows. Distances only fall while rows are chosen, so a bound on those of the other
+    rows holds on, and one pass gives several picks. Null ids and vectors are left out; ties go to the lower id."""
 
     def drawn(rows: DataFrame) -> dict:
         got = rows.groupBy("c").agg(F.min_by("id", F.struct(hash_order("id", seed), "id")).alias("i")).collect()  # one row a class
@@ -120,12 +217,10 @@ def k_center(df: DataFrame, ident: str, features: str, size: int, seed: int = 42
         at = rows.where(F.col("id").isin(list(start.values()))).select("c", "id", "x").collect()
         return {r["c"]: np.array(r["x"]) for r in at if r["id"] == start[r["c"]]}
 
-    def key(x, taken, start):
-        if not len(taken):
-            return ((x - start) ** 2).sum(1)
-        return -np.maximum((x * x).sum(1)[:, None] - 2 * (x @ taken.T) + (taken * taken).sum(1)[None, :], 0).min(1)
+    def centres(start, taken):
+        return np.stack(taken) if taken else start[None, :]
 
-    return _greedy(df, ident, features, size, by, key, drawn)
+    return _greedy(df, ident, features, size, by, drawn, centres, -1, lambda value, bound, then, now: value < bound, held, passes)
 
 
 def mean_shift(sample: DataFrame, population: DataFrame, features: str) -> DataFrame:

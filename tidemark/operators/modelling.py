@@ -14,11 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,7 +171,7 @@ def slim(model):
 
 
 def trial_budget(rows: int, asked: int = 50) -> int:
-    """M7."""
+    """M7: how many trials a search over so many rows gets."""
     if rows < SMALL:
         return min(asked, TRIALS_SMALL)
     return max(asked, TRIALS_LARGE) if rows > LARGE else asked
@@ -184,22 +182,6 @@ def folds(df: DataFrame, ident: str, label: str, k: int = 5, seed: int = 42, out
     return df.withColumn(out, F.floor(unit_hash(ident, seed) * k).cast("int"))
 
 
-def search(df: DataFrame, name: str, trials: int, label: str = "label", fold: str = "fold", k: int = 5, seed: int = 42, parallelism: int = 4):
-    """M7: cross-validated AUC over seeded random parameters; returns the fitted CrossValidatorModel."""
-    est = learner(name, label, seed=seed)
-    rng = np.random.default_rng(seed)
-    grid = []
-    for _ in range(trials):
-        b = ParamGridBuilder()
-        if name == "linear":
-            b = b.addGrid(est.regParam, [float(10 ** rng.uniform(-4, 0))]).addGrid(est.elasticNetParam, [float(rng.uniform(0, 1))])
-        else:
-            b = b.addGrid(est.maxDepth, [int(rng.integers(3, 8))])
-        grid += b.build()
-    ev = BinaryClassificationEvaluator(labelCol=label)
-    return CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=k, foldCol=fold, parallelism=parallelism, seed=seed).fit(df)
-
-
 def out_of_fold(df: DataFrame, names: Sequence[str], ident: str, label: str = "label", fold: str = "fold", k: int = 5) -> DataFrame:
     """M8: each learner's score of every row from a fit without its fold: ident, label, s_<name>."""
     out = None

@@ -20,6 +20,8 @@ from ..operators import ledger as L
 from ..operators import modelling as M
 from ..operators import profiling as T
 from ..operators import scoring as R
+from ..operators import search as SE
+from ..session import stable
 from . import views
 from .queries_tables import CF, bin_of, cf, quantile_sql, r6
 from .registry import query
@@ -351,18 +353,28 @@ def _vector(spark, sf):
     return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(d)
 
 
+_LEARNERS = ("linear", "forest", "boosted")
+
+
+def _searched(spark, sf):
+    """The table with folds, and the search of its whole budget over three learners in five folds."""
+    d = M.folds(_vector(spark, sf), "customer_id", "label").select("customer_id", "features", "label", "fold")
+    return d, SE.search(d, "customer_id", _LEARNERS, M.trial_budget(d.count()))
+
+
 @query()
 def M7_search(spark, sf):
-    d = M.folds(_vector(spark, sf), "customer_id", "label", k=3)
-    cv = M.search(d.select("features", "label", "fold"), "linear", 3, k=3)
-    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(cv.avgMetrics)], "trial int, auc double")
+    return _searched(spark, sf)[1].table(spark)
 
 
 @query()
 def M8_stack(spark, sf):
-    d = M.folds(_vector(spark, sf), "customer_id", "label", k=3)
-    names = ["linear", "forest", "boosted"]
-    return spark.createDataFrame([("stack", float(M.stack(M.out_of_fold(d, names, "customer_id", k=3), names)[1]))], "model string, auc double")
+    """The best of three stackings of the three best trials' scores without each row's fold."""
+    d, found = _searched(spark, sf)
+    best = found.ranked()[:3]
+    oof = stable(found.scores(d, best, "fold"))
+    rows = [("stack", float(M.stack(oof, [t.number for t in best])[1])), *[(f"{t.learner} {t.number}", t.auc) for t in best]]
+    return spark.createDataFrame(rows, "model string, auc double")
 
 
 def _scored(spark, sf):
