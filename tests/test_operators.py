@@ -1,8 +1,11 @@
 """Behaviour on small literal tables, and properties."""
 
+import datetime
 import hashlib
 import json
 import math
+import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,6 +29,7 @@ from tidemark.operators import quality as V
 from tidemark.operators import quantiles as Q
 from tidemark.operators import scoring as R
 from tidemark.sources import io as S
+from tidemark.sources import keyed
 from tidemark.streaming import streams
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -125,13 +129,57 @@ def test_incremental(spark, tmp_path):
     assert {(r.k, r.change_type) for r in I.changed_records(b, a, "k", strict=True).collect()} == {("B", "UPDATED"), ("C", "DELETED")}
     I.set_watermark(spark, str(tmp_path / "w"), "t", "2024-01-01")
     I.set_watermark(spark, str(tmp_path / "w"), "t", "2024-02-01")
-    h = spark.read.parquet(str(tmp_path / "w"))
+    h = keyed.read(spark, str(tmp_path / "w"))
     assert str(I.get_watermark(h, "t")).startswith("2024-02-01") and I.get_watermark(h, "u") is None
     old = spark.createDataFrame([("A", "2024-01-01", 1), ("B", "2024-01-05", 1)], "k string, d string, v int")
     new = spark.createDataFrame([("A", "2024-01-01", 2), ("B", "2024-01-04", 2)], "k string, d string, v int")
     assert {(r.k, r.v) for r in I.merge_latest(old, new, "k", "d").collect()} == {("A", 2), ("B", 1)}
 
 
+def _files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_merge_rewrites_only_what_changes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame([(k, n, datetime.date.fromisoformat(d) if d else None, v) for k, n, d, v in rows], "k string, n int, d date, v int")
+    table = lambda: sorted((str(r["k"]), r["n"], str(r["d"]), r["v"]) for r in spark.read.parquet(path).collect())
+    told = lambda df: {str(r["partition"]): (r["rows_before"], r["rows_after"], r["action"]) for r in df.collect()}
+    first = make([("a", 1, "2024-01-01", 1), ("b", 1, "2024-01-01", 1), ("c", 1, "2024-01-02", 1), ("e", 1, "2024-01-03", 1), (None, 1, "2024-01-04", 1), ("f", 1, None, 1)])
+    assert {v[2] for v in told(I.merge_partitions(first, path, "k", "n", "d")).values()} == {"written"}
+    before = _files(path)
+    # c moves away from the second of January, b gets a new value, e is older than what is there.
+    new = make([("c", 2, "2024-01-05", 2), ("b", 2, "2024-01-01", 2), ("e", 0, "2024-01-03", 0), (None, 2, "2024-01-04", 2), ("c", 1, "2024-01-06", 9)])
+    done = told(I.merge_partitions(new, path, "k", "n", "d"))
+    assert done == {"2024-01-01": (2, 2, "written"), "2024-01-02": (1, 0, "deleted"), "2024-01-03": (1, 1, "unchanged"), "2024-01-04": (1, 1, "written"), "2024-01-05": (0, 1, "written"), "2024-01-06": (0, 0, "unchanged")}
+    assert table() == sorted([("a", 1, "2024-01-01", 1), ("b", 2, "2024-01-01", 2), ("c", 2, "2024-01-05", 2), ("e", 1, "2024-01-03", 1), ("None", 2, "2024-01-04", 2), ("f", 1, "None", 1)])
+    after = _files(path)
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert {f.split("d=")[1].split("/")[0] for f in kept} == {"2024-01-03", "__HIVE_DEFAULT_PARTITION__"}
+    assert {v[2] for v in told(I.merge_partitions(new, path, "k", "n", "d")).values()} == {"unchanged"} and _files(path) == after
+    I.merge_partitions(new.limit(0), path, "k", "n", "d")
+    assert _files(path) == after
+
+
+def test_keyed_tables_stay_as_large_as_their_keys(spark, tmp_path):
+    path = str(tmp_path / "w")
+    for day in range(1, 13):
+        I.set_watermark(spark, path, f"t{day % 2}", f"2024-01-{day:02d}")
+    I.set_watermark(spark, path, "t0", "no date")
+    assert keyed.read(spark, path).count() == 2 and len(_files(path)) <= 2
+    assert str(I.get_watermark(keyed.read(spark, path), "t0")).startswith("2024-01-12")
+
+
+def test_incremental_runs_into_a_table(spark, tmp_path):
+    cols = "CustomerID string, Gender string, Partner string, TotalCharges string, MonthlyCharges double, tenure int, load_date date"
+    day = lambda d: datetime.date(2024, 1, d)
+    rows = lambda d, total: spark.createDataFrame([(f"C{i}", "Male", "Yes", total if i else "bad", 20.0 + i, i, day(d)) for i in range(8)], cols)
+    out = str(tmp_path / "o")
+    I.run_pipeline(spark, rows(1, "10.5"), out, mode="incremental")
+    got = I.run_pipeline(spark, rows(2, "11.5"), out, mode="incremental")["result"]
+    assert got.count() == 7 and {str(r["load_date"]) for r in got.collect()} == {"2024-01-02"}
+
+
 def test_pipeline_and_lineage(spark, tmp_path):
     rows = [(f"C{i}", "Male", "Yes", "10.5" if i else "bad", 20.0 + i, i) for i in range(20)]
     df = spark.createDataFrame(rows, "CustomerID string, Gender string, Partner string, TotalCharges string, MonthlyCharges double, tenure int")
@@ -249,6 +297,31 @@ def test_drift(spark, tmp_path):
     assert D.latest_run(spark.read.parquet(str(tmp_path / "h"))).count() == 2
 
 
+def test_drift_loop_repeats_a_failed_batch_and_drops_old_days(spark, tmp_path):
+    ref = spark.createDataFrame([(float(i), "AB"[i % 2]) for i in range(1, 11)], "feat_num double, feat_cat string")
+    far = spark.createDataFrame([(100.0 + i, "X") for i in range(10)], ref.schema)
+    zone, h, r = (str(tmp_path / x) for x in ("zone", "h", "r"))
+    for day in ("2024-01-01", "2024-02-01"):
+        far.withColumn("date", F.lit(day)).write.mode("append").partitionBy("date").parquet(zone)
+    far.write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def job():
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("the ledger is away")
+        return "j1", "y"
+
+    loop = lambda: streams.drift_loop(spark.readStream.schema(ref.schema).parquet(str(tmp_path / "in")), ref, ["feat_num"], ["feat_cat"], h, r, str(tmp_path / "ck"), job, zone=zone, as_of="2024-02-10")
+    with pytest.raises(Exception, match="the ledger is away"):
+        loop().awaitTermination()
+    assert spark.read.parquet(h).count() == 2 and os.path.isdir(f"{zone}/date=2024-01-01")
+    loop().awaitTermination()
+    loop().awaitTermination()
+    assert spark.read.parquet(h).count() == 2 and [x["prior_job"] for x in spark.read.parquet(r).collect()] == ["j1"]
+    assert os.listdir(zone).count("date=2024-02-01") == 1 and not os.path.exists(f"{zone}/date=2024-01-01")
+
+
 def test_experiments(spark, tmp_path):
     ids = spark.createDataFrame([(str(i),) for i in range(1000)], "customer_id string")
     a = A.assign(ids, "customer_id")
@@ -264,10 +337,13 @@ def test_experiments(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text('{"id": 1, "customer_id": "a", "ab_group": "A", "event": "x", "ts": "2024-01-01T00:00:00Z"}\n{"id": 2, "customer_id": "b", "ab_group": "B", "event": "x"}\n')
     streams.log_exposures(streams.read_exposures(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).where("ts is not null").count() == 2
-    first = streams.first_exposures(streams.read_exposures(spark, str(tmp_path / "in")), "1 hour")
-    q = first.writeStream.format("memory").queryName("first_exposures").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("first_exposures").where("customer_id = 'a'").count() == 1
+    first = lambda: streams.first_exposures(streams.read_exposures(spark, str(tmp_path / "in")), str(tmp_path / "first"), str(tmp_path / "ck2")).awaitTermination()
+    first()
+    late = '{"id": 3, "customer_id": "a", "ab_group": "B", "event": "x", "ts": "2023-06-01T00:00:00Z"}\n{"id": 4, "customer_id": "c", "ab_group": "B", "event": "x", "ts": "2026-01-01T00:00:00Z"}\n{"id": 5, "customer_id": "c", "ab_group": "A", "event": "x", "ts": "2027-01-01T00:00:00Z"}\n'
+    (tmp_path / "in" / "b.json").write_text(late)
+    first()
+    first()
+    assert {(r["customer_id"], r["ab_group"]) for r in keyed.read(spark, str(tmp_path / "first")).collect()} == {("a", "B"), ("b", "B"), ("c", "B")}
 
 
 def test_tails():
@@ -394,6 +470,25 @@ def test_exact_quantiles_by_range_buckets(spark):
     assert [r["cum_n"] for r in run] == np.cumsum([r["n"] for r in run]).tolist() and run[-1]["cum_n"] == len(x)
 
 
+def test_selection_of_the_least_rows(spark):
+    """As many rows as asked for, in order, through ties, nulls, repeated rows and ids of any type."""
+    rng = np.random.default_rng(5)
+    rows = [(f"k{int(rng.integers(40)):02d}-long-name-{i % 7}" if i % 9 else None, int(rng.integers(-3, 3)) * 2**40 + int(rng.integers(5)), "ab"[i % 2] if i % 5 else None, float(rng.integers(4))) for i in range(300)] + [("same", 1, "c", 0.0)] * 7
+    d = spark.createDataFrame(rows, "s string, n long, c string, x double")
+    low = lambda v: (v is not None, v)
+    for k in (0, 1, 17, 150, 400):
+        got = Q.least(d, [F.col("x"), *Q.order_levels(d, "n"), *Q.order_levels(d, "s")], k).collect()
+        want = sorted(rows, key=lambda r: (r[3], r[1], low(r[0]) if r[0] is not None else (False, "")))[:k]
+        assert sorted((r["x"], r["n"], str(r["s"])) for r in got) == sorted((r[3], r[1], str(r[0])) for r in want)
+    quota = spark.createDataFrame([("a", 11), (None, 4), ("c", 3), ("z", 5)], "c string, q long")
+    got = Counter(r["c"] for r in Q.least(d, list(Q.order_levels(d, "s")), quota, "c").collect())
+    assert got == {"a": 11, None: 4, "c": 3}
+    plan = M.precision_at_k(d.withColumn("y", F.lit(1)), "x", "y", "n")._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+    assert M.precision_at_k(d.withColumn("y", (F.col("x") == 3).cast("int")), "x", "y", "n").first()["k"] == 30
+    assert FT.modes(d, ["s", "c"])["c"] in ("a", "b") and FT.modes(d.limit(0), ["s"]) == {}
+
+
 def test_profiles_of_awkward_columns(spark):
     rows = [("2024-01-05", "a@b.io", None, [1], True, 0.0), ("2024-02-30", "c@d.org", None, [2], False, -0.0), (None, "x", None, None, None, float("nan"))]
     p = {r["column_name"]: r for r in T.column_profiles(spark.createDataFrame(rows, "d string, m string, n string, l array<int>, b boolean, f double"), entropy=True).collect()}
@@ -405,10 +500,13 @@ def test_profiles_of_awkward_columns(spark):
 
 def test_nearest_rows_block_by_block(spark):
     rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(size=(60, 3)), np.zeros((4, 3))])
+    x = np.concatenate([np.round(rng.normal(size=(400, 3)) * 8) / 8, np.zeros((40, 3))])
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>")
-    got = {}
-    for r in M.nearest(d, "i", "x", 3, block=10).collect():
+    got, asked = {}, []
+    assert M.nearest(d.limit(0), "i", "x", 3).count() == 0 and M.nearest(d.limit(1), "i", "x", 3).count() == 0
+    near = M.nearest(d, "i", "x", 3, block=20, asked=asked).collect()
+    assert asked[0] < 0.4 * asked[1]
+    for r in near:
         got.setdefault(r["__a"], []).append((r["rn"], r["__b"]))
     for i, v in enumerate(x):
         near = sorted((round(((v - w) ** 2).sum(), 12), j) for j, w in enumerate(x) if j != i)[:3]

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .features import modes
+
 # Fixed values.
 EXPLAINED, AUTO_ATTACH = 0.8, 2
 SCORE = "cpi_score"
@@ -94,11 +96,12 @@ def weighted_score(df: DataFrame, weights: Sequence[Weight]) -> Fitted:
     aggs = []
     for i, w in enumerate(there):
         x = out._value(w.column)
-        aggs += [F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.mode(x, True).alias(f"o{i}")]
+        aggs += [F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     a = df.agg(*aggs).first()
+    commonest = {w.column: modes(df.select(out._value(w.column).alias("v")), ["v"]).get("v") for w in there if w.column in out.codes}
     for i, w in enumerate(there):
-        lo, hi, mean, sd, mode = (a[f"{k}{i}"] or 0.0 for k in "lhmso")
-        fill = mode if w.column in out.codes else mean
+        lo, hi, mean, sd = (a[f"{k}{i}"] or 0.0 for k in "lhms")
+        fill = (commonest[w.column] or 0.0) if w.column in out.codes else mean
         shift, scale = {"minmax": (lo, hi - lo), "binary_encode": (lo, hi - lo), "zscore": (mean, sd), "raw": (0.0, 1.0)}[w.method]
         out.parts.append((w.column, fill, shift, scale, w.weight / total))
     out.low, out.high = 0.0, 1.0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .quantiles import cumulative
+from .quantiles import cumulative, hex_levels, least, order_levels
 
 
 def stratified_sample(df: DataFrame, ident: str, target: str, size: int, seed: int = 42) -> DataFrame:
@@ -27,10 +27,8 @@ def stratified_sample(df: DataFrame, ident: str, target: str, size: int, seed: i
     n = n.withColumn("__left", F.lit(size) - F.sum("__q").over(Window.partitionBy()))
     n = n.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("__f"), "__t")))
     quota = F.when(F.col("__all") <= size, F.col("__n")).otherwise(F.col("__q") + (F.col("__rank") <= F.col("__left")).cast("int"))
-    n = n.select("__t", quota.alias("__quota"))
-    w = Window.partitionBy(target).orderBy(hash_order(ident, seed), ident)
-    d = df.withColumn("__rn", F.row_number().over(w))
-    return d.join(n, d[target].eqNullSafe(n["__t"])).where(F.col("__rn") <= F.col("__quota")).drop("__rn", "__t", "__quota")
+    order = [*hex_levels(hash_order(ident, seed)), *order_levels(df, ident)]
+    return least(df, order, n.select("__t", quota.alias("__quota")), target)
 
 
 def hash_order(ident: str, seed: int):

@@ -32,8 +32,19 @@ def impute(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFrame:
         return df.fillna(medians(df, columns))
     if strategy != "most_frequent":
         raise ValueError(f"unknown strategy {strategy}")
-    row = df.agg(*[F.mode(F.col(f"`{c}`"), True).alias(c) for c in columns]).first()
-    return df.fillna({c: row[c] for c in columns if row[c] is not None})
+    return df.fillna(modes(df, columns))
+
+
+def modes(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Each column's commonest value, the least on a tie; counted by value, so no task holds a column's values. Columns of nulls are left out."""
+    out = {}
+    for c in columns:
+        x = F.col(f"`{c}`")
+        counts = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count("*").alias("n"))
+        r = counts.agg(F.min(F.struct((-F.col("n")).alias("minus"), "v")).alias("x")).first()["x"]
+        if r is not None:
+            out[c] = r["v"]
+    return out
 
 
 def winsorize(df: DataFrame, name: str, out: str | None = None, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
@@ -81,12 +92,11 @@ def power_transform(df: DataFrame, name: str, out: str | None = None) -> DataFra
 def onehot_categories(df: DataFrame, name: str, most: int = 10, least_share: float = 0.01) -> tuple[list[str], bool]:
     """the kept categories, sorted, and whether others are pooled."""
     counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("total", F.sum("n").over(Window.partitionBy())).withColumn("k", F.count("*").over(Window.partitionBy()))
-    often = ranked.where(F.col("n") >= F.col("total") * least_share).orderBy(F.desc("n"), "v").limit(most)
-    rows = often.collect()
+    all_ = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("k")).first()
+    rows = counts.where(F.col("n") >= all_["total"] * least_share).orderBy(F.desc("n"), "v").limit(most).collect()  # at most ``most`` rows
     if not rows:
         return [], False
-    pooled = rows[0]["k"] > len(rows)
+    pooled = all_["k"] > len(rows)
     return sorted(r["v"] for r in (rows[: most - 1] if pooled else rows)), pooled
 
 

@@ -20,8 +20,8 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .quantiles import cumulative, quantiles
+from ..session import ship, written
+from .quantiles import cumulative, least, order_levels, quantiles
 
 # Cuts of class imbalance, search budgets, calibration and routing limits.
 WEIGHT_CUT, SAMPLE_CUT = (0.25, 0.75), (0.30, 0.70)
@@ -72,34 +72,107 @@ def oversample(df: DataFrame, ident: str, label: str, seed: int = 42) -> DataFra
     return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
 
 
-def nearest(rows: DataFrame, ident: str, x: str, k: int, block: int = 4_096) -> DataFrame:
+def _closest(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """__a, __b, d: of each row of ``a`` the k rows of ``b`` of least squared distance, then least id, without itself, and perhaps some more.
+
+    One matrix product finds which distances may be among the k least; those are computed exactly.
+    """
+    b = b.sort_values("id", ignore_index=True)
+    x, y, left, right = np.stack(a["x"]), np.stack(b["x"]), a["id"].to_numpy(), b["id"].to_numpy()
+    middle = y.mean(0)
+    u, v = x - middle, y - middle
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    rows, cols, exact = [], [], []
+    for s in range(0, len(x), step := max(1, 4_000_000 // max(1, len(y)))):
+        e = min(len(x), s + step)
+        d = uu[s:e, None] - 2 * (u[s:e] @ v.T) + vv[None, :]
+        d[left[s:e, None] == right[None, :]] = np.inf
+        near = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(e - s, np.inf)
+        slack = 1e-9 * (uu[s:e] + vv.max())
+        at, of = np.nonzero((d <= (near + slack)[:, None]) & np.isfinite(d))
+        true = ((x[s + at] - y[of]) ** 2).sum(1)
+        order = np.lexsort((of, true, at))  # columns are in order of ids
+        at, of, true = at[order], of[order], true[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = place < k
+        rows.append(left[s + at[keep]]), cols.append(right[of[keep]]), exact.append(true[keep])
+    return pd.DataFrame({"__a": np.concatenate(rows), "__b": np.concatenate(cols), "d": np.concatenate(exact)})
+
+
+def nearest(rows: DataFrame, ident: str, x: str, k: int, block: int = 4_096, asked: list | None = None) -> DataFrame:
     """__a, __b, d, rn: the k nearest other rows of each row by squared distance of the arrays ``x`` (then by id), exactly.
 
-    Rows are dealt to blocks by hash; a task compares one block with another and keeps k rows for each of its own,
-    so work grows with the square of the rows and what is kept with rows times blocks.
+    Rows belong to the cell of their nearest pivot, of which there are so many that a cell holds about a quarter of a
+    block, up to 4,096. A row's k-th distance is bounded by its own cell and the pivots; it asks only the cells that
+    the triangle inequality does not put farther away. Full cells are cut into blocks and so are the rows that ask one;
+    a task compares a block with a block. ``asked`` gets the number of (row, block) comparisons and that of all.
     """
     ship(rows.sparkSession)
-    kind, blocks = dict(rows.dtypes)[ident], max(1, -(-rows.count() // block))
-    dealt = rows.select(F.col(ident).alias("id"), F.col(x).alias("x"), F.pmod(F.xxhash64(ident), F.lit(blocks)).alias("own"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-
-    def compared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"__a": [], "__b": [], "d": []}
-        if len(a) and len(b):
-            b = b.sort_values("id", ignore_index=True)
-            y, ids = np.stack(b["x"]), b["id"].to_numpy()
-            for i, v in zip(a["id"], a["x"]):
-                d = ((y - v) ** 2).sum(1)
-                d[ids == i] = np.inf
-                at = np.argsort(d, kind="stable")[:k]
-                at = at[d[at] < np.inf]
-                out["__a"] += [i] * len(at)
-                out["__b"] += ids[at].tolist()
-                out["d"] += d[at].tolist()
-        return pd.DataFrame(out)
-
-    left, right = (dealt.select(i.alias("i"), j.alias("j"), F.col("id").alias("id"), F.col("x").alias("x")) for i, j in ((F.col("own"), every), (every, F.col("own"))))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compared, f"__a {kind}, __b {kind}, d double")
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[ident]
+    told = rows.select(F.col(ident).alias("id"), F.col(x).cast("array<double>").alias("x"))
+    n = told.count()
+    if not n:
+        return told.select(F.col("id").alias("__a"), F.col("id").alias("__b"), F.lit(0.0).alias("d"), F.lit(1).alias("rn"))
+    few = min(4_096, -(-4 * n // block))
+    drawn = told.orderBy(F.xxhash64("id"), "id").limit(few).collect()  # the pivots
+    pivots = spark.sparkContext.broadcast((np.array([r["x"] for r in drawn], float), [r["id"] for r in drawn]))
+
+    def distances(v: np.ndarray) -> np.ndarray:
+        p = pivots.value[0]
+        return np.sqrt(np.maximum((v * v).sum(1)[:, None] - 2 * (v @ p.T) + (p * p).sum(1)[None, :], 0))
+
+    def placed(batches):
+        for b in batches:
+            if len(b):
+                d = distances(np.stack(b["x"]))
+                yield b.assign(cell=d.argmin(1).astype(np.int32), r=d.min(1))
+
+    celled = written(told.mapInPandas(placed, f"id {kind}, x array<double>, cell int, r double"))
+    cells = {r["cell"]: (r["n"], r["r"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()}  # one row a pivot
+    parts = {c: -(-m // block) for c, (m, _) in cells.items()}
+    many = lambda of, name, key: F.pmod(F.xxhash64("id", F.lit(key)), F.element_at(F.create_map(*[v for c, m in of.items() for v in (F.lit(c), F.lit(m))]), F.col(name))).cast("int")
+    blocks = celled.withColumn("part", many(parts, "cell", 0))
+
+    def bounded(g: pd.DataFrame) -> pd.DataFrame:
+        """The row's k-th distance from its own block or the pivots, whichever is less."""
+        v, ids = np.stack(g["x"]), g["id"].to_numpy()
+        d = distances(v)
+        d[ids[:, None] == np.array(pivots.value[1], dtype=ids.dtype)[None, :]] = np.inf
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(g), np.inf)
+        own = _closest(g, g, k).groupby("__a")["d"].agg(["max", "size"])
+        own = own[own["size"] >= k]["max"]
+        return g.assign(u=np.minimum(bound, np.sqrt(g["id"].map(own).fillna(np.inf).to_numpy())))[["id", "x", "cell", "u"]]
+
+    known = sorted(cells)
+    radius = np.array([cells[c][1] for c in known])
+
+    def asking(batches):
+        p, _ = pivots.value
+        gaps = np.sqrt(np.maximum(((p[:, None, :] - p[None, known, :]) ** 2).sum(2), 0)) if len(p) <= 512 else None
+        for b in batches:
+            for g in (b.iloc[i : i + 1_000] for i in range(0, len(b), 1_000)):
+                v, u, cell = np.stack(g["x"]), g["u"].to_numpy()[:, None], g["cell"].to_numpy()
+                d = distances(v)
+                own, slack = d[np.arange(len(g)), cell][:, None], 1e-7 * (1 + d.max())
+                d = d[:, known]
+                may = d - radius[None, :] <= u + slack
+                if gaps is not None:  # the other side of the plane between two pivots
+                    apart = gaps[cell]
+                    may &= (d * d - own * own) <= 2 * apart * (u + slack) + slack
+                at, to = np.nonzero(may)
+                yield pd.DataFrame({"id": g["id"].to_numpy()[at], "x": g["x"].to_numpy()[at], "to": np.array(known, np.int32)[to]})
+
+    asks = blocks.groupBy("cell", "part").applyInPandas(bounded, f"id {kind}, x array<double>, cell int, u double").mapInPandas(asking, f"id {kind}, x array<double>, to int")
+    asks = written(asks)
+    per = {r["to"]: r["n"] for r in asks.groupBy("to").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+    if asked is not None:
+        asked += [sum(m * parts[c] for c, m in per.items()), n * sum(parts.values())]
+    lots = {c: -(-m // block) for c, m in per.items()}
+    every = lambda of, name: F.explode(F.sequence(F.lit(0), F.element_at(F.create_map(*[v for c, m in of.items() for v in (F.lit(c), F.lit(m))]), F.col(name)) - 1))
+    left = asks.withColumn("lot", many(lots, "to", 1)).withColumn("part", every(parts, "to")).withColumnRenamed("to", "cell")
+    right = blocks.where(F.col("cell").isin(list(per))).withColumn("lot", every(lots, "cell")).select("id", "x", "cell", "part", "lot")
+    compared = lambda a, b: _closest(a, b, k) if len(a) and len(b) else pd.DataFrame({"__a": [], "__b": [], "d": []})
+    found = left.groupBy("cell", "part", "lot").cogroup(right.groupBy("cell", "part", "lot")).applyInPandas(compared, f"__a {kind}, __b {kind}, d double")
     return found.withColumn("rn", F.row_number().over(Window.partitionBy("__a").orderBy("d", "__b"))).where(F.col("rn") <= k)
 
 
@@ -254,7 +327,8 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def precision_at_k(df: DataFrame, score: str, label: str, ident: str, share: float = 0.1) -> DataFrame:
     """k = max(1, a tenth of the rows); the share of positives in the k highest scores."""
     k = max(1, int(df.count() * share))
-    return df.orderBy(F.desc(score), ident).limit(k).agg(F.count("*").alias("k"), F.avg(F.col(label).cast("double")).alias("precision_at_k"))
+    down = F.when(F.col(score).isNull(), float("inf")).otherwise(-F.col(score).cast("double"))
+    return least(df, [F.when(F.isnan(down), float("-inf")).otherwise(down), *order_levels(df, ident)], k).agg(F.count("*").alias("k"), F.avg(F.col(label).cast("double")).alias("precision_at_k"))
 
 
 def campaign_roi(p_at_k: DataFrame, value: Column | float, success: float = 0.3, contact_cost: float = 5.0) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import keyed
 from .cleaning import numbered
 
 CHUNK = 200
@@ -277,9 +278,9 @@ def override_roles(profiles: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 
 def store_profiles(profiles: DataFrame, path: str, dataset_id: str) -> None:
-    """One JSON row a dataset; the newest counts."""
+    """One JSON row a dataset in a keyed table, in the place of the one before."""
     row = profiles.agg(F.to_json(F.collect_list(F.struct("*"))).alias("profiles")).select(F.lit(dataset_id).alias("dataset_id"), "profiles", F.current_timestamp().alias("stored_at"))
-    row.write.mode("append").parquet(path)
+    keyed.upsert(row, path, ["dataset_id"])
 
 
 def load_profiles(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:

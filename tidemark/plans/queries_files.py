@@ -21,9 +21,10 @@ from ..operators import quality as V
 from ..operators import scoring as R
 from ..session import shared_folder
 from ..sources import io as S
+from ..sources import keyed
 from ..streaming import streams
 from . import views
-from .queries_analysis import _NUM, _P, LINE, _halves, _shifted, line
+from .queries_analysis import _FEATURES, _NUM, _P, LINE, _halves, _shifted, line
 from .queries_tables import CF, RAW, cf, r6, raw
 from .registry import query
 
@@ -249,7 +250,7 @@ def I1_watermarks(spark, sf):
     I.set_watermark(spark, path, "events", "2020-01-01 00:00:00")
     for table, ts in last.items():
         I.set_watermark(spark, path, table, ts.replace(microsecond=0))
-    h = spark.read.parquet(path)
+    h = keyed.read(spark, path)
     return spark.createDataFrame([(t, str(I.get_watermark(h, t))) for t in last], "table_name string, watermark string")
 
 
@@ -329,10 +330,10 @@ def R6_record_scoring(spark, sf):
     return both.agg(F.count("*").alias("n"), F.min((F.abs(F.col("probability") - F.col("q")) < 1e-12) & (F.col("risk") == F.col("r"))).alias("same"))
 
 
-@query("SELECT feature, TRUE AS positive FROM (SELECT unnest(['n_orders', 'tenure_months']) AS feature) WHERE (SELECT count(*) FROM cf) > 0", CF)
+@query()
 def M18_driver_ranking(spark, sf):
     _, m = _fitted(spark, sf)
-    return M.importances(m.stages[-1], ["n_orders", "tenure_months"], spark).select("feature", (F.col("importance") >= 0).alias("positive"))
+    return M.importances(m.stages[-1], ["n_orders", "tenure_months"], spark)
 
 
 @query("SELECT ab_group, count(*) AS n FROM exp GROUP BY 1", EXP)
@@ -343,21 +344,57 @@ def A2_exposure_stream(spark, sf):
     return spark.read.parquet(f"{at}/out").groupBy("ab_group").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'd' AS dataset_id, unnest(['event_type', 'value']) AS feature, n >= 0 AS known FROM (SELECT count(*) AS n FROM events)")
+@query("SELECT customer_id, arg_min(ab_group, (ts, id)) AS ab_group FROM exp GROUP BY 1", EXP)
+def A3_first_exposure_stream(spark, sf):
+    """Three batches, the latest exposures first: each customer's first one is found however late it comes."""
+    at = _folder(spark)
+    e = views.exposures(spark, sf).select("id", "customer_id", "ab_group", "event", "ts")
+    for k in (2, 1, 0):
+        e.where(F.dayofmonth("ts") % 3 == k).coalesce(1).write.mode("append").json(f"{at}/in")
+        streams.first_exposures(streams.read_exposures(spark, f"{at}/in"), f"{at}/first", f"{at}/checkpoint").awaitTermination()
+    return keyed.read(spark, f"{at}/first").select("customer_id", "ab_group")
+
+
+_LATEST = "SELECT user_id, max(event_id) AS event_id, CAST(arg_max(date, event_id) AS VARCHAR) AS date FROM land GROUP BY 1"
+
+
+@query(_LATEST, ("land",))
+def I3_partition_merge(spark, sf):
+    """A table by date into which later and earlier events are merged: the latest event of each user."""
+    path = f"{_folder(spark)}/latest"
+    e = views.landing(spark, sf).select("user_id", "event_id", "date")
+    for part in ("event_id % 3 = 0", "event_id % 3 = 2", "event_id % 3 > 0", "event_id % 3 = 2"):
+        I.merge_partitions(e.where(part), path, "user_id", "event_id", "date")
+    return spark.read.parquet(path).select("user_id", "event_id", F.col("date").cast("string").alias("date"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, CAST(arg_max(date, event_id) AS VARCHAR) AS date FROM land WHERE event_id % 7 > 0 GROUP BY 1", ("land",))
+def I6_incremental_load(spark, sf):
+    """Files that arrive in three runs of a stream, cleaned and merged into the partitions that change."""
+    at = _folder(spark)
+    e = views.landing(spark, sf).select("user_id", "event_id", "date")
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).coalesce(2).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        streams.incremental_load(stream, f"{at}/latest", f"{at}/checkpoint", "user_id", "event_id", "date", lambda df: df.where("event_id % 7 > 0")).awaitTermination()
+    return spark.read.parquet(f"{at}/latest").select("user_id", "event_id", F.col("date").cast("string").alias("date"))
+
+
+@query(f"+ {_FEATURES} SELECT 'd' AS dataset_id, feature, round(psi, 6) AS psi FROM f")
 def D7_drift_history(spark, sf):
     """Two runs are appended; the last one's rows come back."""
     path = f"{_folder(spark)}/history"
     D.history_rows(D.report(*_halves(spark, sf), ["value"], []), "d", "2024-02-01 00:00:00").write.parquet(path)
     D.history_rows(D.report(*_shifted(spark, sf), ["value"], ["event_type"]), "d", "2024-02-02 00:00:00").write.mode("append").parquet(path)
-    return D.latest_run(spark.read.parquet(path)).select("dataset_id", "feature", F.col("psi").isNotNull().alias("known"))
+    return D.latest_run(spark.read.parquet(path)).select("dataset_id", "feature", r6("psi"))
 
 
-@query("SELECT 'd' AS dataset_id, 1::BIGINT AS requests, 2::BIGINT AS features FROM (SELECT count(*) FROM events)")
+@query(f"+ {_FEATURES} SELECT 'd' AS dataset_id, feature, round(psi, 6) AS psi, CAST((SELECT count(*) FILTER (drifted) > 0 FROM g) AS BIGINT) AS requests FROM f")
 def D8_drift_loop(spark, sf):
-    """One micro-batch of shifted rows against the reference: its features in the history, one request to retrain."""
+    """One micro-batch of shifted rows against the reference: its features in the history, and the requests to retrain."""
     a, b = _shifted(spark, sf)
     at = _folder(spark)
     b.coalesce(1).write.parquet(f"{at}/in")
     streams.drift_loop(spark.readStream.schema(b.schema).parquet(f"{at}/in"), a, ["value"], ["event_type"], f"{at}/history", f"{at}/requests", f"{at}/checkpoint").awaitTermination()
-    h = spark.read.parquet(f"{at}/history").groupBy("dataset_id").agg(F.count_distinct("feature").alias("features"))
-    return spark.read.parquet(f"{at}/requests").groupBy("dataset_id").agg(F.count("*").alias("requests")).join(h, "dataset_id")
+    n = spark.read.parquet(f"{at}/requests").groupBy("dataset_id").agg(F.count("*").alias("requests")) if keyed.exists(spark, f"{at}/requests") else spark.createDataFrame([("d", 0)], "dataset_id string, requests long")
+    return spark.read.parquet(f"{at}/history").select("dataset_id", "feature", r6("psi")).join(n, "dataset_id")

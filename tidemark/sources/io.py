@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
+from . import keyed
 
 # Separators that are tried, in the order that breaks ties.
 SEPARATORS = (",", ";", "\t", "|")
@@ -137,8 +138,10 @@ def read_landing_day(df: DataFrame, date: str, date_col: str = "date") -> DataFr
 
 
 def read_landing(spark: SparkSession, path: str, dataset_id: str, date: str) -> DataFrame:
-    """Unreadable files are skipped, schemas merged."""
-    df = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
+    """Unreadable files are skipped, schemas merged. Only the day's folder is looked into, where it has the plain name."""
+    day = f"{path.rstrip('/')}/dataset_id={dataset_id}/date={date}"
+    at = [day] if re.fullmatch(r"[\w.-]+", str(dataset_id)) and keyed.exists(spark, day) else [path]
+    df = spark.read.option("basePath", path).option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(*at)
     return read_landing_day(df.where(F.col("dataset_id") == dataset_id), date)
 
 
@@ -148,6 +151,19 @@ def expired_partitions(df: DataFrame, as_of: str, days: int = 30, date_col: str
     return df.select(d.alias(date_col)).where(d < F.date_sub(F.lit(as_of).cast("date"), days)).distinct()
 
 
+def drop_expired(spark: SparkSession, path: str, as_of: str | None = None, days: int = 30, date_col: str = "date") -> list[str]:
+    """Delete the folders of a zone's date partitions that are older than the retention (before ``as_of``, by
+    default today); returns them, one a partition. Files elsewhere and partitions whose value is no date stay."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    day = F.regexp_extract("path", f"/{date_col}=([^/]*)/", 1).try_cast("date")
+    limit = F.date_sub(F.lit(as_of).cast("date") if as_of else F.current_date(), days)
+    old = files.where(day < limit).select(F.regexp_extract("path", f"^(.*/{date_col}=[^/]*)/", 1).alias("folder")).distinct()
+    folders = sorted(r["folder"] for r in old.collect())
+    for f in folders:
+        keyed.delete(spark, f)
+    return folders
+
+
 def retained(df: DataFrame, as_of: str, days: int = 30, date_col: str = "date") -> DataFrame:
     """The rows that stay."""
     d = F.col(date_col).cast("string").try_cast("date")
