@@ -9,9 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import chat_repair, queries, secrets, spelling
+from tidemark.llm import chat_repair, lang_id, queries, secrets, spelling
 
 CONV = "conv_id long, turn long, role string, text string, copies int, g string, h long"
 
@@ -216,3 +218,44 @@ def test_secrets_in_awkward_documents(spark):
 def test_clean_documents_have_no_added_spans(spark, sf):
     found = queries.op13_secret_scan(spark, sf).where("spans like '%token:%'").count()
     assert found == 0
+
+
+def log_sum(word, p, pieces):
+    """Log of the sum over all segmentations, by logarithms and dictionaries."""
+    w = lang_id.MARK + word
+    ahead = [0.0]
+    for e in range(1, len(w) + 1):
+        parts = [ahead[s] + np.log(p[pieces[w[s:e]]]) for s in range(e) if w[s:e] in pieces]
+        if w[e - 1 : e] not in pieces:
+            parts.append(ahead[e - 1] + np.log(p[-1]))
+        ahead.append(np.logaddexp.reduce(parts))
+    return ahead[-1]
+
+
+@pytest.mark.parametrize("least", [1e-5, 1e-11, 1e-15])
+def test_rare_pieces_underflow_nowhere(least):
+    """Words of every length, with piece probabilities as small as a large corpus makes them."""
+    vocab = lang_id.vocabulary(lang_id.VOCABULARY)
+    from sentencepiece import SentencePieceProcessor
+
+    import public_tokenizers
+
+    sp = SentencePieceProcessor(model_file=public_tokenizers.path(lang_id.VOCABULARY))
+    names = sorted({sp.id_to_piece(i) for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))})
+    pieces = {x: i for i, x in enumerate(names)}
+    rng = np.random.default_rng(0)
+    p = np.full((vocab.size + 1, 2), least)
+    p[rng.choice(vocab.size, 2_000, replace=False)] = 4e-4
+    p[-1] = lang_id.UNKNOWN
+    words = ["q" * n for n in (1, 5, 31, 32, 33, 60)] + ["zxqj" * 8, "國" * 32, "internationalisation", "a", "ŋ" * 33]
+    got = lang_id.word_log_probs(words, vocab, p)
+    assert np.allclose(got[:, 0], [log_sum(w, p[:, 0], pieces) for w in words], rtol=1e-9)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int32()), pa.array(words), pa.array([1] * len(words), pa.int64())], ["lang", "word", "n"])
+    (used,) = lang_id._expected(vocab, p)([batch])
+    x = used.column("x").to_numpy()
+    assert np.isfinite(x).all() and (x >= 0).all()
+    lengths = vocab.lengths[used.column("piece").to_numpy()]
+    unknown = sum(c not in pieces for w in words for c in w)
+    assert np.isclose((x * lengths).sum() + unknown, sum(len(w) + 1 for w in words))
+    label, score = lang_id.Model(["aa", "bb"], p, np.log([0.5, 0.5]), lang_id.VOCABULARY).predict(["q" * 32])[0]
+    assert label == "aa" and score == 0.5

@@ -40,6 +40,7 @@ BATCHED = 32
 UNKNOWN = 1e-7
 ROUNDS, SMOOTH = 2, 0.1
 CELLS = 3_000_000
+SCALE = 1e7
 _WORD = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,6 +67,8 @@ class Vocabulary:
         sp = SentencePieceProcessor(model_file=name if os.sep in name else public_tokenizers.path(name))
         pieces = sorted({p for i in range(len(sp)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for p in [sp.id_to_piece(i)]})
         self.size, self.longest = len(pieces), max(map(len, pieces))
+        #: Code points of each piece, of an unknown character, and of no piece.
+        self.lengths = np.array([*map(len, pieces), 1, 0], float)
         h = np.array([self.hash_one(p) for p in pieces], np.uint64)
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.ids = np.full(1 << self.BITS, -1, np.int32)
@@ -173,8 +176,15 @@ def _long_forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     return scale
 
 
+def _scaled(p: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Piece probabilities times SCALE for each code point, and a row of zeros for no piece: products over a word of
+    up to BATCHED letters stay among doubles down to piece probabilities of 1e-16."""
+    return np.vstack([p, np.zeros(p.shape[1])]) * (SCALE**vocab.lengths)[:, None]
+
+
 def word_log_probs(found: list[str], vocab: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability by language. p: (pieces + 1) x languages."""
+    q = _scaled(p, vocab)
     p = np.vstack([p, np.zeros(p.shape[1])])  # -1: no piece
     out = np.empty((len(found), p.shape[1]))
     for at, group in _by_length(found, p.shape[1]):
@@ -183,9 +193,9 @@ def word_log_probs(found: list[str], vocab: Vocabulary, p: np.ndarray) -> np.nda
         for e in range(1, n + 1):
             a = np.zeros_like(alpha[0])
             for s in range(max(0, e - vocab.longest), e):
-                a += alpha[s] * p[spans[s, e]]
+                a += alpha[s] * q[spans[s, e]]
             alpha.append(a)
-        out[at] = np.log(alpha[n])
+        out[at] = np.log(alpha[n]) - n * np.log(SCALE)
     for i, w in enumerate(found):
         if len(w) > BATCHED:
             out[i] = _long_forward(vocab.pieces_of(w), p)
@@ -216,7 +226,7 @@ def _expected(vocab: Vocabulary, p: np.ndarray):
     """Expected uses of each piece by language over the task's (lang, word, n) rows."""
 
     def run(batches):
-        q = np.vstack([p, np.zeros(p.shape[1])])
+        q, plain = _scaled(p, vocab), np.vstack([p, np.zeros(p.shape[1])])
         total = np.zeros(q.shape)
         for b in batches:
             lang, found, count = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
@@ -238,7 +248,7 @@ def _expected(vocab: Vocabulary, p: np.ndarray):
             for i, w in enumerate(found):
                 if len(w) > BATCHED:
                     ids = vocab.pieces_of(w)
-                    x = _long_expected(ids, q[:, lang[i]])
+                    x = _long_expected(ids, plain[:, lang[i]])
                     np.add.at(total[:, lang[i]], ids[ids >= 0], count[i] * x[ids >= 0])
         piece, lang = np.nonzero(total[: vocab.size])
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "x"])
