@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import chat_repair, lang_id, queries, secrets, spelling
+from tidemark.llm import chat_repair, lang_id, near_dup, queries, secrets, spelling, url_filter
 
 CONV = "conv_id long, turn long, role string, text string, copies int, g string, h long"
 
@@ -259,3 +259,32 @@ def test_rare_pieces_underflow_nowhere(least):
     assert np.isclose((x * lengths).sum() + unknown, sum(len(w) + 1 for w in words))
     label, score = lang_id.Model(["aa", "bb"], p, np.log([0.5, 0.5]), lang_id.VOCABULARY).predict(["q" * 32])[0]
     assert label == "aa" and score == 0.5
+
+
+def test_branches_without_labels_are_not_judged_by_their_siblings(spark):
+    """All of /junk is labelled bad; /docs without labels stays apart and allowed, /good and /fine merge."""
+    pages, labels = [], []
+    for name, bad in (("junk", 1), ("docs", None), ("good", 0), ("fine", 0)):
+        for i in range(30):
+            pages.append((len(pages), f"http://x.com/{name}/page{i}"))
+            if bad is not None:
+                labels.append((len(pages) - 1, bad))
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    got = defaultdict(set)
+    out = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), rules, spark.createDataFrame(labels, "page_id long, bad int"))
+    for r in out.collect():
+        got[r["path"].split("/")[1]].add((r["template"], r["n_labelled"], r["verdict"]))
+    assert got["docs"] == {("/docs/*", 0, "allow")} and got["good"] == {("/good/*", 30, "allow")}
+    # 31.5 of 50 expected: 30 bad of 30 and the host's third smoothed by the overall third.
+    assert got["junk"] == {("/junk/*", 30, "allow" if (30 + 20 / 3) / 50 < url_filter.REJECT else "block")}
+    one = [(i, f"http://y.com/{n}/p{i}") for n, k in (("a", 0), ("b", 40)) for i in range(k, k + 40)]
+    marks = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in one], "page_id long, bad int")
+    same = url_filter.judge(spark.createDataFrame(one, "page_id long, url string"), rules, marks)
+    assert {r["template"] for r in same.collect()} == {"/~/*"}  # both three quarters bad
+
+
+def test_repeated_ids_with_columns_that_have_no_order(spark):
+    rows = [(1, "the same text of five words here", {"b": 2}, [{"x": "y"}]), (1, "the same text of five words here", {"a": 1}, None), (2, "another text that nobody has seen before", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, l array<map<string,string>>")
+    got = {r["doc_id"]: r["m"] for r in near_dup.drop_near_duplicates(d).collect()}
+    assert set(got) == {1, 2} and got[1] in ({"a": 1}, {"b": 2})

@@ -271,7 +271,9 @@ def one_row_an_id(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
         return docs
     same = F.col(id_col) == F.col("__id")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    order = F.struct(F.col(text_col), *[F.col(f"`{c}`") for c in rest])
+    kinds = dict(docs.dtypes)
+    # Columns that have no order are compared as text.
+    order = F.struct(F.col(text_col), *[F.col(f"`{c}`").cast("string") if "map<" in kinds[c] or "variant" in kinds[c] else F.col(f"`{c}`") for c in rest])
     picked = docs.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__row"))
     return docs.join(again, same, "left_anti").unionByName(picked.select("__row.*"))
 

@@ -3,11 +3,13 @@
 Templates: the distinct (host, path) pairs, with their row and label counts, descend level by level until their
 paths end. Below one node of a host's tree a segment position becomes the wildcard ``*`` when its values vary
 (at least VARIES distinct values, with fewer than ROWS_PER_VALUE rows each); else a number, with or without an
-extension, becomes ``*``, and branches whose labelled rate does not differ from their node's by more than Z
-deviations are merged into one branch, ``~``, and go on as one. A node of fewer than VARIES paths can't vary
+extension, becomes ``*``, and branches whose labelled rate does not differ from that of their siblings together by
+more than Z deviations of the difference are merged into one branch, ``~``, and go on as one; a branch with fewer than
+LEAST labels, or whose siblings have fewer, stays apart. A node of fewer than VARIES paths can't vary
 any more: what is left of its paths is written down at once, numbers as ``*``, so only nodes that many deep
 paths share take further levels. A template is rejected when its smoothed purity, (bad + PRIOR * host's rate) /
-(labelled + PRIOR) with the host's rate smoothed by the overall rate in the same way, reaches REJECT.
+(labelled + PRIOR) with the host's rate smoothed by the overall rate in the same way, reaches REJECT; one without
+labels is allowed.
 
 Each level is one aggregate of counts by branch, written out, and one join with it, which Spark can split
 where one host or branch holds many rows; no host's paths are gathered in one task.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-VARIES, ROWS_PER_VALUE, Z, PRIOR, REJECT = 8, 20.0, 1.96, 20.0, 0.8
+VARIES, ROWS_PER_VALUE, Z, LEAST, PRIOR, REJECT = 8, 20.0, 1.96, 5, 20.0, 0.8
 NUMBER = r"^[0-9]+([.][A-Za-z0-9]+)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,8 +54,12 @@ def templates(urls: DataFrame, scratch: Scratch) -> DataFrame:
         branch = here.where("s is not null").groupBy("host", "tmpl", "s").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         branch = scratch.put(branch, "branches")
         node = branch.groupBy("host", "tmpl").agg(F.sum("paths").alias("all_paths"), F.count("*").alias("values"), F.sum("n").alias("rows"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
+        # The branch against its siblings together: two proportions, both with evidence.
+        others, others_bad = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("bad")
         rate = (F.col("pb") + 1) / (F.col("pl") + 2)
-        alike = F.abs(F.col("bad") - F.col("labelled") * rate) <= Z * F.sqrt(F.col("labelled") * rate * (1 - rate))
+        apart = F.abs(F.try_divide(F.col("bad"), F.col("labelled")) - F.try_divide(others_bad, others))
+        near = apart <= Z * F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
+        alike = F.coalesce((F.col("labelled") >= LEAST) & (others >= LEAST) & near, F.lit(False))
         varies = (F.col("values") >= VARIES) & (F.col("rows") < F.col("values") * ROWS_PER_VALUE)
         step = F.when(varies | F.col("s").rlike(NUMBER), F.lit("*")).when((F.col("values") > 1) & alike, F.lit("~")).otherwise(F.col("s"))
         steps = branch.join(scratch.put(node, "nodes"), ["host", "tmpl"]).where(F.col("all_paths") >= VARIES)
@@ -106,5 +112,5 @@ def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame) -> DataFrame:
     urls = scratch.put(urls, "counted")
     known = templates(urls, scratch).join(fitting_rules(urls, rules), ["host", "path"], "left")
     known = scratch.put(known, "known")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    verdict = F.coalesce("rule_verdict", F.when((F.col("purity") >= REJECT) & (F.col("n_labelled") > 0), "block").otherwise("allow"))
     return seen.join(known, ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "n_labelled", "purity")
