@@ -19,6 +19,7 @@ from tidemark.operators import composite as K
 from tidemark.operators import coreset as CS
 from tidemark.operators import drift as D
 from tidemark.operators import experiments as A
+from tidemark.operators import explore as E
 from tidemark.operators import features as FT
 from tidemark.operators import incremental as I
 from tidemark.operators import ledger as L
@@ -194,6 +195,29 @@ def test_pipeline_and_lineage(spark, tmp_path):
     assert json.loads(G.graph_json(out["lineage"]).first()[0])["nodes"]
 
 
+def test_walks_of_any_length(spark):
+    """A chain of 300 edges by doubling, with branches; a deep walk downstream with a cycle; nothing at all."""
+    n = 300
+    rows = [(10 * i, f"t{i}", f"t{i + 1}", "x", {"c": "int"} if i != 290 else {}, {"c": "int"} if i != 290 else {}, 1, 1) for i in range(n)]
+    rows += [(10 * i + 1, "other", f"t{i + 1}", "y", {}, {}, 1, 1) for i in range(0, n, 50)] + [(99_999, "t300", "t300", "loop", {}, {}, 1, 1)]
+    e = G.edges(spark, rows)
+    by_target = {}
+    for r in rows:
+        by_target.setdefault(r[2], []).append(r)
+    want, at = [], max(by_target["t300"])
+    while at:
+        want.append((len(want), at[0], at[1]))
+        at = max((r for r in by_target.get(at[1], []) if r[0] < at[0]), default=None)
+    assert sorted((r["step"], r["edge_id"], r["source"]) for r in G.chain(e, "t300").collect()) == want
+    assert len(want) == 51 and G.chain(e, "t300", "c").count() == 9 and G.chain(e, "nowhere").count() == 0
+    plain = G.edges(spark, rows[:n])
+    assert [r["step"] for r in G.chain(plain, "t300").orderBy("step").collect()] == list(range(n))
+    down = G.edges(spark, [(i, f"t{i}", f"t{i + 1}", "x", {}, {}, 1, 1) for i in range(12)] + [(50, "t5", "t0", "back", {}, {}, 1, 1), (51, "t0", "t3", "short", {}, {}, 1, 1)])
+    got = {r["table_name"]: (r["depth"], r["impact"]) for r in G.impact(down, "t0").collect()}
+    assert got == {f"t{i}": (d, "direct" if d == 1 else "indirect") for i, d in zip(range(1, 13), [1, 2, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10])}
+    assert G.impact(down, "t12").count() == 0
+
+
 def _profile(df):
     return {r["column_name"]: r for r in T.run_profiling(df)[0].collect()}
 
@@ -489,6 +513,46 @@ def test_selection_of_the_least_rows(spark):
     assert FT.modes(d, ["s", "c"])["c"] in ("a", "b") and FT.modes(d.limit(0), ["s"]) == {}
 
 
+def test_correlations_of_a_wide_table(spark):
+    """Sixty columns with holes, offsets, constants and repeats of each other against single correlations over complete pairs."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 60)) * rng.uniform(0.01, 50, 60) + rng.uniform(-1e6, 1e6, 60)
+    x[:, 7], x[:, 8], x[:, 9] = 3.1, x[:, 2] * -2, np.nan
+    x[rng.random(x.shape) < 0.2] = np.nan
+    cols = [f"c{i}" for i in range(60)]
+    d = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r["a"], r["b"]): r["r"] for r in E.correlation_matrix(d, cols).collect()}
+    assert len(got) == 60 * 59 // 2
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if both.sum() < 2 or {i, j} & {7, 9}:
+                assert got[f"c{i}", f"c{j}"] is None
+            else:
+                assert math.isclose(got[f"c{i}", f"c{j}"], np.corrcoef(x[both, i], x[both, j])[0, 1], abs_tol=1e-7)
+    assert all(r["r"] is None for r in E.correlation_matrix(d.limit(0), cols[:3]).collect())
+
+
+def test_category_statistics_have_no_window(spark):
+    a = spark.createDataFrame([(f"v{i % 400}", "ab"[i % 2], i % 3) for i in range(3_000)], "v string, two string, y int")
+    b = spark.createDataFrame([(f"v{i % 300}", "ab"[i % 7 > 2], i % 3) for i in range(2_000)], "v string, two string, y int")
+    for df in (D.categorical_psi(a, b, ["v", "two"]), D.categorical_chi2(a, b, ["v", "two"]), T.cramers_v(a, "y", ["v", "two"])):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    chi = {r["feature"]: r for r in D.categorical_chi2(a, b, ["v", "two"]).collect()}
+    count = lambda d, c: Counter(r[0] for r in d.select(c).collect())
+    for c in ("v", "two"):
+        x, y = count(a, c), count(b, c)
+        keys = sorted(set(x) | set(y))
+        o = np.array([[x[k] for k in keys], [y[k] for k in keys]]) + D.EPSILON
+        e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+        gap = np.abs(o - e)
+        gap = gap - np.minimum(0.5 if len(keys) == 2 else 0.0, gap)
+        assert math.isclose(chi[c]["statistic"], (gap**2 / e).sum(), rel_tol=1e-8) and chi[c]["dof"] == len(keys) - 1
+        p, q = o / o.sum(1, keepdims=True)
+        psi = {r["feature"]: r["psi"] for r in D.categorical_psi(a, b, ["v", "two"]).collect()}
+        assert math.isclose(psi[c], ((q - p) * np.log(q / p)).sum(), rel_tol=1e-8)
+
+
 def test_profiles_of_awkward_columns(spark):
     rows = [("2024-01-05", "a@b.io", None, [1], True, 0.0), ("2024-02-30", "c@d.org", None, [2], False, -0.0), (None, "x", None, None, None, float("nan"))]
     p = {r["column_name"]: r for r in T.column_profiles(spark.createDataFrame(rows, "d string, m string, n string, l array<int>, b boolean, f double"), entropy=True).collect()}

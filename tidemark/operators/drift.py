@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -39,11 +39,12 @@ def numerical_psi(reference: DataFrame, target: DataFrame, columns: Sequence[str
 
 
 def _psi(both: DataFrame, columns: Sequence[str], epsilon: float) -> DataFrame:
-    """Population stability from counts a, b by (feature, bin)."""
-    w = Window.partitionBy("feature")
-    n, m, k = F.sum("a").over(w), F.sum("b").over(w), F.count("*").over(w)
-    p, q = (F.col("a") + epsilon) / (n + epsilon * k), (F.col("b") + epsilon) / (m + epsilon * k)
-    x = both.withColumn("part", F.when((n > 0) & (m > 0), (q - p) * F.log(q / p)).otherwise(0.0)).groupBy("feature").agg(F.sum("part").alias("psi"))
+    """Population stability from counts a, b by (feature, bin): with totals n, m the sum of (b / m - a / n) ln(b n / (a m)),
+    of which the totals' part cancels, so one aggregate gives it however many bins a feature has."""
+    a, b = F.col("a") + epsilon, F.col("b") + epsilon
+    log = F.log(b / a)
+    s = both.groupBy("feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum(a).alias("na"), F.sum(b).alias("nb"), F.sum(a * log).alias("la"), F.sum(b * log).alias("lb"))
+    x = s.select("feature", F.when((F.col("n") > 0) & (F.col("m") > 0), F.col("lb") / F.col("nb") - F.col("la") / F.col("na")).alias("psi"))
     names = both.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     return names.join(x, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
@@ -61,24 +62,19 @@ def categorical_psi(reference: DataFrame, target: DataFrame, columns: Sequence[s
 
 def categorical_chi2(reference: DataFrame, target: DataFrame, columns: Sequence[str], epsilon: float = EPSILON) -> DataFrame:
     """D3: feature, statistic, dof of the 2 x k table (+ epsilon; Yates' correction when 2 x 2); one category or an empty side give 0 and 0."""
-    c = categorical_counts(reference, target, columns)
-    w = Window.partitionBy("feature")
-    n, m, k = F.sum("a").over(w), F.sum("b").over(w), F.count("*").over(w)
-    c = c.withColumns({"na": n, "nb": m, "k": k})
     a, b = F.col("a") + epsilon, F.col("b") + epsilon
-    ra, rb = F.col("na") + epsilon * F.col("k"), F.col("nb") + epsilon * F.col("k")
-    col, total = a + b, ra + rb
-    yates = F.when(F.col("k") == 2, 0.5).otherwise(0.0)
-
-    def cell(o, r):
-        e = r * col / total
-        d = F.abs(o - e)
-        d = d - F.least(yates, d)
-        return d * d / e
-
-    ok = (F.col("k") > 1) & (F.col("na") > 0) & (F.col("nb") > 0)
-    x = c.withColumn("part", F.when(ok, cell(a, ra) + cell(b, rb)).otherwise(0.0)).groupBy("feature").agg(F.sum("part").alias("statistic"), F.max(F.when(ok, F.col("k") - 1).otherwise(0)).alias("dof"))
-    return x.select("feature", "statistic", F.col("dof").cast("long").alias("dof"))
+    s = categorical_counts(reference, target, columns).groupBy("feature").agg(
+        F.count("*").alias("k"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum(a).alias("na"), F.sum(b).alias("nb"), F.sum(a * a / (a + b)).alias("sa"), F.sum(b * b / (a + b)).alias("sb"), F.sum(1 / (a + b)).alias("inverse")
+    )
+    total = F.col("na") + F.col("nb")
+    plain = F.greatest(F.lit(0.0), total * (F.col("sa") / F.col("na") + F.col("sb") / F.col("nb") - 1))
+    # In a 2 x 2 table every cell is as far from what is expected, which the correction brings nearer by a half at most.
+    inverses = total * (1 / F.col("na") + 1 / F.col("nb")) * F.col("inverse")
+    far = F.sqrt(plain / inverses)
+    nearer = far - F.least(F.lit(0.5), far)
+    ok = (F.col("k") > 1) & (F.col("n") > 0) & (F.col("m") > 0)
+    statistic = F.when(ok, F.when(F.col("k") == 2, nearer * nearer * inverses).otherwise(plain)).otherwise(0.0)
+    return s.select("feature", statistic.alias("statistic"), F.when(ok, F.col("k") - 1).otherwise(0).cast("long").alias("dof"))
 
 
 def ks_statistic(reference: DataFrame, target: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .cleaning import fixed_bins
+from ..session import ship
 from .quantiles import cumulative, quantiles
 
 
@@ -110,11 +112,48 @@ def mann_whitney(df: DataFrame, by: str, x: str, a, b) -> DataFrame:
     return s.select(u.alias("u"), F.try_divide(u - na * nb / 2, sd).alias("z"))
 
 
+def pair_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """i < j and, over the rows in which both columns have a number: n and the sums of x, y, x x, y y, x y, each column less its mean.
+
+    A task adds up masked Gram blocks, four matrix products a batch, and sends each cell once; Spark sums the cells.
+    NaN counts as null.
+    """
+    ship(df.sparkSession)
+    number = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+    means = [m or 0.0 for m in df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(number.values())]).first()]
+    d = len(columns)
+    upper = np.triu_indices(d, 1)
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def blocks(batches):
+        total = np.zeros((6, len(upper[0])))
+        for b in batches:
+            for at in range(0, b.num_rows, 4_096):
+                part = b.slice(at, 4_096)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], 1).astype(float) - means
+                seen = ~np.isnan(x)
+                x, m = np.where(seen, x, 0.0), seen.astype(float)
+                first, second = x.T @ m, (x * x).T @ m
+                for k, g in enumerate((m.T @ m, first, first.T, second, second.T, x.T @ x)):
+                    total[k] += g[upper]
+        for at in range(0, len(upper[0]), 50_000):
+            s = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(upper[0][s], pa.int32()), pa.array(upper[1][s], pa.int32()), *[pa.array(t[s]) for t in total]], ["i", "j", *names])
+
+    cells = df.select(*[x.alias(f"c{i}") for i, x in enumerate(number.values())]).mapInArrow(blocks, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    return cells.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A, b, Pearson's r over complete pairs; all in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    """A, b, Pearson's r over complete pairs (null without a spread), for any number of columns in one pass."""
+    n = F.col("n")
+    per_n = lambda x: F.try_divide(x, n)
+    vx, vy = F.col("sxx") - per_n(F.col("sx") * F.col("sx")), F.col("syy") - per_n(F.col("sy") * F.col("sy"))
+    r = F.try_divide(F.col("sxy") - per_n(F.col("sx") * F.col("sy")), F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))))
+    spread = (n > 0) & (vx > F.col("sxx") * 1e-14) & (vy > F.col("syy") * 1e-14) & (vx > 1e-300) & (vy > 1e-300)
+    name = F.array(*map(F.lit, columns))
+    out = pair_moments(df, columns).withColumn("r", F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+    return out.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), "r")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 30, by: str | None = None) -> DataFrame:
@@ -174,7 +213,3 @@ def rates_by_category(df: DataFrame, columns: Sequence[str], y: str) -> DataFram
     """Column, value, n, rate for many columns in one pass."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     return df.select(F.col(y).cast("double").alias("y"), F.explode(pairs).alias("p")).groupBy("p.column_name", "p.value").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
-
-
-def binned(c: str, edges: Sequence[float]) -> Column:
-    return fixed_bins(c, edges)

@@ -213,9 +213,11 @@ def cramers_v(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Bias-corrected V of each column with the target, from the counts of value pairs only."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("x")) for c in columns])
     o = df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`").cast("string").alias("y"), F.explode(pairs).alias("p")).where("p.x is not null").groupBy("p.column_name", "p.x", "y").agg(F.count("*").alias("o"))
-    by = lambda *k: F.sum("o").over(Window.partitionBy("column_name", *k))
-    m = o.select("column_name", "x", "y", "o", by("x").alias("r"), by("y").alias("c"), by().alias("n"))
-    a = m.groupBy("column_name").agg(F.sum(F.col("o") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("s"), F.max("n").alias("n"), F.count_distinct("x").alias("kr"), F.count_distinct("y").alias("kc"))
+    # Marginals are joined back; Spark can split the join where one value or class holds many pairs.
+    rows, classes = (o.groupBy("column_name", k).agg(F.sum("o").alias(n)) for k, n in (("x", "r"), ("y", "c")))
+    cells = o.join(rows, ["column_name", "x"]).join(classes, ["column_name", "y"])
+    s = cells.groupBy("column_name").agg(F.sum(F.col("o") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("s"))
+    a = s.join(rows.groupBy("column_name").agg(F.sum("r").alias("n"), F.count("*").alias("kr")), "column_name").join(classes.groupBy("column_name").agg(F.count("*").alias("kc")), "column_name")
     phi2 = F.greatest(F.lit(0.0), (F.col("s") - 1) - (F.col("kr") - 1) * (F.col("kc") - 1) / (F.col("n") - 1))
     rc, kc = F.col("kr") - (F.col("kr") - 1) * (F.col("kr") - 1) / (F.col("n") - 1), F.col("kc") - (F.col("kc") - 1) * (F.col("kc") - 1) / (F.col("n") - 1)
     low = F.least(rc, kc) - 1

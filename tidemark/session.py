@@ -57,6 +57,17 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def add(rows: DataFrame, to: DataFrame) -> None:
+    """More rows for a written frame; ``again`` reads what it holds now."""
+    rows.write.mode("append").parquet(to._written_to)
+
+
+def again(df: DataFrame) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).parquet(df._written_to)
+    out._written_to = df._written_to
+    return out
+
+
 def released(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
