@@ -722,3 +722,40 @@ def test_pipeline(spark, sf):
         docs = scratch.put(stage(spark, docs, sf), name)
         assert k == 4 or docs.columns == cols
     assert docs.count() > 0 and docs.where("not verified").count() == 0
+
+
+def test_blocks_of_a_bucket_meet_wherever_components_differ(spark):
+    rows = [(1, i, 0) for i in range(400)] + [(1, 1000 + i, 1000 + i // 3) for i in range(30)] + [(1, 2000 + i, 2000) for i in range(90)] + [(2, i, i % 3) for i in range(25)] + [(3, 5, 5), (3, 6, 6)]
+    dealt = near_dup._blocks(spark.createDataFrame(rows, "key long, rep long, comp long"), 40).collect()
+    groups = defaultdict(lambda: (set(), set()))
+    for r in dealt:
+        groups[r["key"], min(r["block"], r["other"]), max(r["block"], r["other"])][r["block"] > r["other"]].add((r["rep"], r["comp"]))
+    met = set()
+    for (key, i, j), (a, b) in groups.items():
+        met |= {(key, min(x, y), max(x, y)) for x, c in a for y, d in (a if i == j else b) if c != d}
+    assert met == {(k, x, y) for k, x, c in rows for m, y, d in rows if k == m and x < y and c != d}
+    # 400 members of one component go to the blocks of the other 120, not to each other's.
+    sent = Counter((r["key"], r["comp"]) for r in dealt)
+    assert sent[1, 0] == 400 * (1 + 3) and sent[1, 2000] == 90 * (1 + 10)
+
+
+def test_rows_without_an_id_share_no_bucket_of_the_mix(spark):
+    d = spark.createDataFrame([(None, f"w{i} x y", "a") for i in range(60_000)], "doc_id long, text string, source string")
+    got = mixing.assign(d).select("taken", "positions")
+    assert got.count() == 60_000 and abs(got.agg({"taken": "sum"}).first()[0] - 1.5 * 180_000) <= 6
+    firsts = [r["positions"][0] for r in got.collect() if r["positions"]]
+    assert len(set(firsts)) == len(firsts)
+
+
+def test_the_store_keeps_the_training_order(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    d = spark.createDataFrame([doc(i, prose(rng, 12), source="ab"[i % 2]) for i in range(400)], DOCS)
+    ordered = mixing.training_order(d)
+    want = [r["doc_id"] for r in ordered.collect()]
+    scratch = common.Scratch(spark)
+    written = scratch.put(ordered, "mixed")
+    assert want != sorted(want)
+    assert [r["doc_id"] for r in corpus_pipeline.token_stage(spark, written, "").orderBy("start").collect()] == want
+    assert [r["doc_id"] for r in corpus_pipeline.token_stage(spark, d.repartition(5), "").orderBy("start").collect()] == list(range(400))

@@ -12,7 +12,8 @@ so a source with most of the rows is dealt over as many tasks as any other. Sour
 pass through one task, which is meant for up to some hundred thousand of them.
 
 Defined results: null text has size 0; null source is a source of its own, last; sources of size 0
-get target 0; rows that repeat a doc_id are documents of their own; an empty table gives no rows.
+get target 0; rows that repeat a doc_id, or have none, are documents of their own, ordered by a hash of id and
+text, so only rows alike in both share a bucket; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ def assign(docs: DataFrame, carry: bool = False, **plan) -> DataFrame:
     ``carry`` keeps the whole input row as the struct ``row``.
     """
     scratch = Scratch(docs.sparkSession)
-    order = F.xxhash64(F.lit(SEED), "doc_id")
-    sized = docs.select(*([F.struct("*").alias("row")] if carry else []), "doc_id", "source", n_words("text").alias("size")).withColumn("ord", order)
+    order = F.xxhash64(F.lit(SEED), "doc_id", "text")  # with the text, so that rows of one id, or without one, are dealt over buckets too
+    sized = docs.select(*([F.struct("*").alias("row")] if carry else []), "doc_id", "source", n_words("text").alias("size"), order.alias("ord"))
     small = scratch.put(sized.select("doc_id", "source", "size", "ord"), "sizes")
     targets = scratch.put(source_targets(small, **plan).withColumn("buckets", F.ceil(F.col("n_docs") / ROWS_PER_BUCKET).cast("long")), "targets")
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, runs, shingle_set
@@ -184,7 +184,7 @@ def _across(batches):
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: Scratch, sketched: bool) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. The set of a is sent once for each PARTNERS of its pairs, that of b once a pair."""
+    """Pairs (a, b) whose full sets reach the threshold, written. The set of a is sent once for each PARTNERS of its pairs, that of b once a pair."""
     if not sketched:
         pairs = (
             pairs.join(sketches.select(F.col("rep").alias("a"), F.col("mh").alias("ma")), "a")
@@ -194,11 +194,14 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, scratch: S
         )
     pairs = scratch.put(pairs.select("a", "b"), "pairs")
     partners = scratch.put(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks")), "partners")
-    pairs = scratch.put(pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "dealt")
-    own = pairs.select("a", "block").distinct().join(sets.select(F.col("rep").alias("a"), "set"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "set")
-    other = pairs.join(sets.select(F.col("rep").alias("b"), "set"), "b").select("a", "block", "b", "set")
+    dealt = scratch.put(pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "dealt")
+    scratch.drop(pairs, partners)
+    own = dealt.select("a", "block").distinct().join(sets.select(F.col("rep").alias("a"), "set"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "set")
+    other = dealt.join(sets.select(F.col("rep").alias("b"), "set"), "b").select("a", "block", "b", "set")
     rows = own.union(other).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_confirm, "a long, b long")
+    confirmed = scratch.put(rows.mapInArrow(_confirm, "a long, b long"), "links")
+    scratch.drop(dealt)
+    return confirmed
 
 
 def _mixed(met: DataFrame, comp: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -208,6 +211,26 @@ def _mixed(met: DataFrame, comp: DataFrame, block: int) -> tuple[DataFrame, Data
     return placed, mixed.select("key", F.ceil(F.col("n") / block).alias("blocks"))
 
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """key, rep, comp, block, other: each member of a bucket once for every block of the bucket that it is to be compared with.
+
+    A component of more members than a block takes blocks of its own, which are not compared with each other; all other members
+    share the first blocks. So a bucket that is nearly one component costs its members times the few blocks of the rest.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") > block, F.col("comp"))
+    parts = sizes.groupBy("key", own.alias("own")).agg(F.ceil(F.sum("n") / block).alias("parts"))
+    # One row for each large component of a bucket, and one for the rest, is what these windows see.
+    before = Window.partitionBy("key").orderBy(F.col("own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "own", "parts", F.coalesce(F.sum("parts").over(before), F.lit(0)).alias("first"), F.sum("parts").over(Window.partitionBy("key")).alias("total"))
+    large = parts.where("own is not null").withColumnRenamed("own", "comp")
+    rest = parts.groupBy("key").agg(F.max("total").alias("total"), F.max(F.when(F.col("own").isNull(), F.col("parts"))).alias("shared"))
+    found = members.join(large.select("key", "comp", "parts", "first"), ["key", "comp"], "left").join(rest, "key")
+    at = F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("rep"), F.coalesce("parts", "shared"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), lambda x: F.col("parts").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("parts")))
+    return found.select("key", "rep", "comp", at.alias("block"), F.explode(others).alias("other"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (it is that id)."""
     spark = docs.sparkSession
@@ -224,12 +247,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A bucket's count and leader are partial aggregates; the join back can be split where one bucket is large.
     buckets = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.xxhash64("rep")).alias("lead")).where("n > 1").select("key", "lead"), "buckets")
     met = scratch.put(keys.join(buckets, "key").select("key", "rep", "lead"), "met")
+    scratch.drop(buckets)
     leads = met.where(F.xxhash64("rep") == F.col("lead")).select(F.col("rep").alias("a"), "lead").distinct()
     involved = met.select("rep").distinct()
     sets = scratch.put(src.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text").mapInArrow(_sets, "rep long, set binary, wide binary"), "sets")
     stars = met.select("lead", F.col("rep").alias("b")).distinct().join(leads, "lead").where("a <> b").select("a", "b")
-    links = scratch.put(_verified(stars, sketches, sets, scratch, False), "links")
+    links = _verified(stars, sketches, sets, scratch, False)
     comp = scratch.put(components(links, scratch), "comp")
+    scratch.drop(links)
     # Buckets that hold several components: first their most central members, which link most of what is near them.
     star = F.col("id").alias("a"), F.col("root").alias("b")
     placed, mixed = _mixed(met, comp, CENTRAL_BLOCK)
@@ -238,22 +263,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Of the central members that a document met, the two it resembles most.
     best = F.slice(F.sort_array(F.collect_set(F.struct("agree", "a")), False), 1, 2)
     pairs = pairs.groupBy("b").agg(best.alias("x")).select(F.explode("x.a").alias("a"), "b")
-    more = scratch.put(_verified(pairs, sketches, sets, scratch, True), "more")
+    more = _verified(pairs, sketches, sets, scratch, True)
     # A component is a star now, so its members and the new links are the whole graph.
-    comp = scratch.put(components(comp.select(*star).union(more), scratch), "comp")
+    before, comp = comp, scratch.put(components(comp.select(*star).union(more), scratch), "comp")
+    scratch.drop(before, more)
     # What is left: every pair across components, block by block.
     placed, mixed = _mixed(met, comp, BLOCK)
     members = (
-        placed.join(mixed, "key")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        .select("key", "rep", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        _blocks(placed.join(mixed.select("key"), "key"), BLOCK)
         .select("key", "rep", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
         .join(sketches, "rep")
         .join(sets.select("rep", "wide"), "rep")
     )
     pairs = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_across, "a long, b long").distinct()
-    more = scratch.put(_verified(pairs, sketches, sets, scratch, True), "more")
-    comp = scratch.put(components(comp.select(*star).union(more), scratch), "comp")
+    more = _verified(pairs, sketches, sets, scratch, True)
+    before, comp = comp, scratch.put(components(comp.select(*star).union(more), scratch), "comp")
+    scratch.drop(before, more, met, sets, sketches)
     out = (
         one.join(rep, ["n_shingles", "s1", "s2"], "left")
         .join(comp.withColumnRenamed("id", "rep"), "rep", "left")

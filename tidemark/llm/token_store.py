@@ -29,7 +29,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, portions, runs
@@ -256,7 +256,7 @@ def _chunked(name: str):
                     node.append(hashlib.sha256(b"".join(key)).digest())
                     start = own[-1]
                 n = np.diff(ends, prepend=0)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(datas, kind)], ["row", "doc_id", "n_tokens", "node", "keys", "data"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(3), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(datas, kind)], ["row", "doc_id", "place", "n_tokens", "node", "keys", "data"])
 
     return run
 
@@ -266,23 +266,25 @@ def _node(keys):
     return F.unhex(F.sha2(F.unhex(F.array_join(F.transform(keys, F.hex), "")), 256))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
-    """Encode doc_id, text and write the store under ``path``."""
+def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, order: Column | None = None) -> None:
+    """Encode doc_id, text and write the store under ``path``, in ascending order of ``order``, then of doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = scratch.put(src.mapInArrow(_chunked(tokenizer), "row long, doc_id long, n_tokens long, node binary, keys array<binary>, data array<binary>"), "cut", CODEC)
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if order is None else order).alias("place"))
+    kind = src.schema["place"].dataType.simpleString()
+    cut = scratch.put(src.mapInArrow(_chunked(tokenizer), f"row long, doc_id long, place {kind}, n_tokens long, node binary, keys array<binary>, data array<binary>"), "cut", CODEC)
     width = encoder(tokenizer).type.itemsize
     chunks = cut.select(F.explode(F.arrays_zip("keys", "data")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.data").alias("data"))
     chunks.dropDuplicates(["key"]).withColumn("width", F.lit(width)).write.option("compression", CODEC).parquet(f"{path}/chunks")
-    recipe = cut.select("doc_id", "row", "n_tokens", "keys", "node")
-    ordered = recipe.repartitionByRange(F.col("doc_id").asc_nulls_first(), "node", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "node", "row").withColumn("part", F.spark_partition_id())
+    recipe = cut.select("place", "doc_id", "row", "n_tokens", "keys", "node")
+    by = "place", F.col("doc_id").asc_nulls_first(), "node", "row"
+    ordered = recipe.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
     ordered = scratch.put(ordered, "ordered")
     scratch.drop(cut)
     # Two levels of running totals: of the parts, then inside each part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("rows")).select(F.col("part").alias("p"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "node", "row")
+    inside = Window.partitionBy("part").orderBy(*by)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
     recipes = (
         ordered.join(parts, ordered.part == parts.p)
@@ -402,10 +404,10 @@ def _rebuilt(batches):
         yield pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[starts]), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
 
-def tokenize(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZER, order: Column | None = None) -> DataFrame:
     """Write the store (to ``path`` or the scratch folder), recompute its Merkle tree from the files, and read it back."""
     path = path or Scratch(docs.sparkSession).path("store")
-    write_store(docs, path, tokenizer)
+    write_store(docs, path, tokenizer, order)
     if not verify_manifest(docs.sparkSession, path):
         raise ValueError(f"the recipes under {path} are not those of its manifest")
     return read_store(docs.sparkSession, path)
