@@ -7,7 +7,9 @@ null values too. An empty table stays empty in every stage; very long texts are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, mixing, near_dup, token_store, toxicity
 from tidemark.llm.common import Scratch
@@ -54,9 +56,23 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified, read back from the token store.
 
-    A null text is the end id alone; repeated rows are kept each, in order of their contents; a null doc_id comes first.
+    The store holds documents in the order of the rows in the files read, which is the training order that mixing
+    gave; rows that come from no file stand by doc_id, a null one first. A null text is the end id alone; repeated
+    rows are kept each.
     """
-    return token_store.tokenize(docs)
+    return token_store.tokenize(docs, order=_row_in_files(docs))
+
+
+def _row_in_files(docs: DataFrame) -> Column | None:
+    """The place of a row that was read from files: the file's number (as Spark numbers what it writes), its name, the row in it."""
+    at = F.col("_metadata.file_name")
+    number = F.regexp_extract(at, "^part-([0-9]+)", 1).try_cast("long")
+    place = F.struct(number.alias("part"), at.alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        docs.select(place).schema
+    except AnalysisException:  # not read from Parquet files
+        return None
+    return place
 
 
 STAGES = [
