@@ -7,6 +7,7 @@ UTF-8 this is what ``bytes.lower().split()`` yields, because multi-byte characte
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -60,6 +61,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what is run inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(col: str, n: int):
     """crc32 of the id written as text, modulo n: the learning and held-out folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
