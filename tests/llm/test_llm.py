@@ -642,7 +642,7 @@ def test_encoder_stays_small():
     p.start()
     grown = out.get(timeout=300)
     p.join()
-    assert grown < 150
+    assert grown < 110
 
 
 def test_texts_go_to_the_encoder_in_batches_by_size(spark, tmp_path, monkeypatch):
