@@ -6,6 +6,7 @@ import multiprocessing
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -344,6 +345,27 @@ def test_toxicity_keeps_varied_wording(spark):
     assert all(len(model.features(w)) for w in toxic)
 
 
+def test_toxicity_fit_leaves_the_rows_on_the_executors(spark):
+    rng = random.Random(13)
+    toxic = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(400)]
+    texts = [" ".join(rng.sample(toxic, 250)) if i % 2 else prose(rng, 250) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, label int")
+    docs = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS).cache()
+    docs.count()
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    features = sum(len(model.features(t)) for t in texts)
+    assert features > 1_000_000 and most < 4 * features  # all features of the sample are 4 bytes each, before what a fit on the driver makes of them
+
+
+def test_token_store_leaves_the_tokenizer_to_the_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "_tokenizer", lambda name: pytest.fail("the driver reads the tokenizer"))
+    token_store.write_store(spark.createDataFrame([doc(1, "a text"), doc(2, None)], DOCS), f"file://{tmp_path}/store")
+    assert {r["width"] for r in spark.read.parquet(f"file://{tmp_path}/store/chunks").collect()} == {2}
+
+
 def test_table_of_ngrams_loses_none():
     kept = np.arange(1, 60_001, dtype=np.int64) << 3  # all in a few slots at first
     m = toxicity.Model(kept, np.ones(len(kept)))

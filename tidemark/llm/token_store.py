@@ -286,7 +286,7 @@ def _chunked(name: str):
                     node.append(hashlib.sha256(b"".join(key)).digest())
                     start = own[-1]
                 n = np.diff(ends, prepend=0)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(3), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(datas, kind)], ["row", "doc_id", "place", "n_tokens", "node", "keys", "data"])
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(3), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, kind), pa.array(datas, kind), pa.array(np.full(len(n), width, np.int32))], ["row", "doc_id", "place", "n_tokens", "node", "keys", "data", "width"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -303,13 +303,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, order: C
     scratch = Scratch(spark)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if order is None else order).alias("place"))
     kind = src.schema["place"].dataType.simpleString()
-    cut = src.mapInArrow(_chunked(tokenizer), f"row long, doc_id long, place {kind}, n_tokens long, node binary, keys array<binary>, data array<binary>")
+    cut = src.mapInArrow(_chunked(tokenizer), f"row long, doc_id long, place {kind}, n_tokens long, node binary, keys array<binary>, data array<binary>, width int")
     # A batch goes to Python when it holds as much text as is encoded at once, not only after so many rows.
     with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(PORTION)):
         cut = scratch.put(cut, "cut", CODEC)
-    width = _id_type(_tokenizer(tokenizer)).itemsize
-    chunks = cut.select(F.explode(F.arrays_zip("keys", "data")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.data").alias("data"))
-    chunks.dropDuplicates(["key"]).withColumn("width", F.lit(width)).write.option("compression", CODEC).parquet(f"{path}/chunks")
+    chunks = cut.select("width", F.explode(F.arrays_zip("keys", "data")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.data").alias("data"), "width")
+    chunks.dropDuplicates(["key"]).write.option("compression", CODEC).parquet(f"{path}/chunks")
     recipe = cut.select("place", "doc_id", "row", "n_tokens", "keys", "node")
     by = "place", F.col("doc_id").asc_nulls_first(), "node", "row"
     ordered = recipe.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())

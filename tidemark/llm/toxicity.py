@@ -5,7 +5,8 @@ is scaled by its log-count ratio between the two labels; a logistic regression i
 features. The fit reads at most MAX_POSITIVE + MAX_NEGATIVE labelled rows, taken in a fixed random order
 of doc_id: the documented bound of the sample, and what bounds the model that is broadcast. Of the sample's
 n-grams all are features that tell the labels apart: by APART deviations at least, or by standing in ALONE
-toxic texts or more and no other. Scoring reads every whole text once, without a shuffle.
+toxic texts or more and no other. The sample's features are written and stay with the executors: of a step of the
+fit the driver gets sums of gradients only. Scoring reads every whole text once, without a shuffle.
 
 Defined results: null text is scored as the empty text; without rows of both labels every score is the
 smoothed share of label 1; labels that are null are ignored, of several for a doc_id the largest
@@ -16,15 +17,17 @@ its held_out is null and it teaches nothing; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import fold
+from .common import Scratch, fold
 
 ORDERS = (3, 4, 5)
 MAX_POSITIVE, MAX_NEGATIVE = 4_000, 8_000
@@ -95,21 +98,16 @@ class Model:
     def score(self, text: str | None) -> float:
         return float(_sigmoid(self.bias + self.weight[self.features(text)].sum()))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray) -> None:
-        """Full-batch logistic regression over features scaled by the ratios."""
-        parts = []  # blocks of rows, so that what a step makes besides the weights stays small
-        for k in range(0, len(rows), ROWS):
-            block = rows[k : k + ROWS]
-            parts.append((np.concatenate(block), np.repeat(np.arange(len(block), dtype=np.int32), [len(r) for r in block]), y[k : k + ROWS]))
-        w, b = np.zeros(len(self.kept)), float(np.log(y.mean() / (1 - y.mean())))
+    def fit(self, blocks: RDD, n: int, n1: int) -> None:
+        """Full-batch logistic regression over features scaled by the ratios, on blocks of n rows, n1 of them labelled 1.
+
+        A step is one pass over the blocks, of which each partition returns one sum of gradients.
+        """
+        w, b = np.zeros(len(self.kept)), float(np.log(n1 / (n - n1)))
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, STEPS + 1):
-            g, scaled = np.zeros(len(w) + 1), w * self.ratio
-            for col, row, label in parts:
-                err = _sigmoid(b + np.bincount(row, scaled[col], len(label))) - label
-                g[:-1] += np.bincount(col, err[row], len(w))
-                g[-1] += err.sum()
-            g /= len(rows)
+            g = np.sum(blocks.mapPartitions(_slope(w * self.ratio, b)).collect(), axis=0)
+            g /= n
             g[:-1] = g[:-1] * self.ratio + L2 * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -121,6 +119,29 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _blocked(rows):
+    """Blocks of ROWS rows: the features of all in a row, how many each has, and the labels."""
+    rows = iter(rows)
+    while part := list(islice(rows, ROWS)):
+        x = [np.frombuffer(r["x"], np.int32) for r in part]
+        yield np.concatenate(x), np.array([len(f) for f in x]), np.array([r["label"] for r in part], float)
+
+
+def _slope(scaled: np.ndarray, bias: float):
+    """The gradient by the scaled features and the bias, summed over a partition's blocks."""
+
+    def run(blocks):
+        g = np.zeros(len(scaled) + 1)
+        for col, sizes, label in blocks:
+            row = np.repeat(np.arange(len(label)), sizes)
+            err = _sigmoid(bias + np.bincount(row, scaled[col], len(label))) - label
+            g[:-1] += np.bincount(col, err[row], len(scaled))
+            g[-1] += err.sum()
+        yield g
+
+    return run
+
+
 def _counted(batches):
     """Documents of each label that hold an n-gram, summed over the task's rows."""
     found = {0: [], 1: []}
@@ -165,9 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             out = [model.features(t).astype(np.int32).tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], ["x", "label"])
 
-    got = rows.mapInArrow(featured, "x binary, label int").toArrow()
-    y = got["label"].to_numpy().astype(float)
-    model.fit([np.frombuffer(x.as_buffer(), np.int32) for x in got["x"]], y)
+    # The features stay on the executors; the driver gets one gradient a partition and step.
+    scratch = Scratch(docs.sparkSession)
+    got = scratch.put(rows.mapInArrow(featured, "x binary, label int"), "features")
+    blocks = got.rdd.coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapPartitions(_blocked).persist(StorageLevel.MEMORY_AND_DISK)
+    model.fit(blocks, n1 + n0, n1)
+    blocks.unpersist()
+    scratch.drop(got)
     model.bias += base - float(np.log(n1 / n0))  # from the sample's share of label 1 to that of all labelled rows
     return model
 
