@@ -168,10 +168,13 @@ def guarded_ratio(a: str, b: str) -> Column:
     return F.col(a) / F.when(F.col(b) == 0, 1).otherwise(F.col(b))
 
 
-def fill_nulls(df: DataFrame, medians: Sequence[str] = (), constants: dict[str, object] | None = None) -> DataFrame:
-    """The exact median, or a constant."""
-    if medians:
-        df = df.fillna(quantiles.medians(df, medians))
+def fill_nulls(df: DataFrame, medians: Sequence[str] = (), constants: dict[str, object] | None = None, blanks: dict[str, object] | None = None) -> DataFrame:
+    """The exact median, or a constant. ``blanks`` names, by column, a value that is filled like a null; the median counts it."""
+    found = quantiles.medians(df, medians) if medians else {}
+    if blanks:
+        df = df.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit(v)) for c, v in blanks.items()})
+    if found:
+        df = df.fillna(found)
     return df.fillna(constants) if constants else df
 
 
