@@ -7,6 +7,9 @@ so the driver sees numbers whose count hangs on trials, folds and features, neve
   Hessian; then each pass gives the gradients of all trials x folds, as one matrix product a batch, and the driver
   solves each model's penalised quadratic bound (accelerated, restarted). Objective and standardisation are Spark ML's.
 * forest, boosted: histogram trees on features cut at 31 quantiles; a pass grows one level of all trees of all folds.
+  Rows that fall in the same bins with the same weight are alike to every tree, so they are first counted by these
+  cells, by fold and label and with their copies in the bootstrap samples, and the passes read the cells: their
+  number ends at that of the bins' combinations, and sums are the same as over rows.
   Trials that differ only in what a larger fit contains share it exactly: a forest's first trees, its trees cut
   at a lower depth, a boosted model's first rounds.
 
@@ -17,7 +20,7 @@ probability, with the share of pairs that fall in one bin as ``slack``; that of
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
@@ -33,6 +36,7 @@ from .quantiles import cumulative
 
 ALL = -1  # the fold number of the fit on all rows
 BINS, AUC_BINS, CELLS, ENTRIES = 32, 1_024, 1_000_000, 2_000_000
+PORTION = 65_536  # numbers that a step over rows x models holds in the processor's cache
 TREES, ROUNDS = (10, 20, 40), (5, 10, 20)
 SHRINK = 1.0  # added to a boosted leaf's hessian
 GRID = 2.0**24  # gradients are multiples of 1 / GRID, so that their sums do not hang on the order of tasks
@@ -71,26 +75,49 @@ def draw(names: Sequence[str], trials: int, seed: int = 42) -> list[Trial]:
 
 
 def _columns(b: pa.RecordBatch):
-    n, names = b.num_rows, ("y", "fold", "w", "h")
-    x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-    margins = [_numbers(b.column("m"), np.float64)] if "m" in b.schema.names else []
-    return x, *(b.column(c).to_numpy(zero_copy_only=False) for c in names), *margins
+    x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+    return x, *(b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold", "w", "h"))
+
+
+def _bytes(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binaries, and where each starts and the last ends."""
+    at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    data = np.frombuffer(c.buffers()[2], np.uint8) if c.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
 
 
 def _numbers(c: pa.Array, kind) -> np.ndarray:
     """(rows, width) of a column of equally long binaries."""
-    return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(len(c), -1)
+    return np.frombuffer(_bytes(c)[0].tobytes(), kind).reshape(len(c), -1)
+
+
+def _packed(v: np.ndarray) -> pa.Array:
+    """Rows of numbers as binaries: of bytes where all are counts below 256, else of doubles."""
+    small = ((v >= 0) & (v < 256) & (v == np.floor(v))).all(1)
+    short = np.where(small[:, None], v, 0).astype(np.uint8)
+    return pa.array([a.tobytes() if of else b.tobytes() for of, a, b in zip(small, short, np.ascontiguousarray(v))], pa.binary())
+
+
+def _unpacked(c: pa.Array, width: int) -> np.ndarray:
+    data, at = _bytes(c)
+    small, at = np.diff(at) == width, at[:-1, None]
+    if small.all():
+        return data.reshape(len(c), width).astype(float)
+    out = np.empty((len(c), width))
+    out[small] = data[at[small] + np.arange(width)]
+    out[~small] = data[at[~small] + np.arange(8 * width)].view(float)
+    return out
 
 
 def _summed(rows: DataFrame, size: int, add: Callable, shared: Any) -> np.ndarray:
-    """(2, size): what ``add(total, shared, x, y, fold, w, h)`` adds up over all rows. Tasks send the cells they touched."""
+    """(2, size): what ``add(total, shared, batch)`` adds up over all batches of rows. Tasks send the numbers they touched."""
     sent = rows.sparkSession.sparkContext.broadcast(shared)
 
     def each(batches):
         total = np.zeros((2, size))
         for b in batches:
             if b.num_rows:
-                add(total, sent.value, *_columns(b))
+                add(total, sent.value, b)
         k = np.flatnonzero(total.any(0))
         for i in range(0, len(k), 100_000):
             at = k[i : i + 100_000]
@@ -126,7 +153,8 @@ def _sigmoid(m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m, -500, 500)))
 
 
-def _add_means(total, k, x, y, fold, w, h):
+def _add_means(total, k, b):
+    x, y, fold, w, _ = _columns(b)
     d = x.shape[1]
     seen = ~np.isnan(x)
     total[0, :d] += (np.where(seen, x, 0) * w[:, None]).sum(0)
@@ -136,8 +164,9 @@ def _add_means(total, k, x, y, fold, w, h):
         total[1, d + f] += (w[fold == f] ** 2).sum()
 
 
-def _add_grams(total, shared, x, y, fold, w, h):
+def _add_grams(total, shared, b):
     k, fit = shared
+    x, _, fold, w, _ = _columns(b)
     z = fit.standard(x)
     d = z.shape[1]
     for f in range(k):
@@ -145,14 +174,25 @@ def _add_grams(total, shared, x, y, fold, w, h):
         total[0, f * d * d : (f + 1) * d * d] += (z[on].T @ (z[on] * w[on, None])).ravel()
 
 
-def _add_gradients(total, shared, x, y, fold, w, h):
+def _add_gradients(total, shared, b):
     fit, beta, folds = shared
-    z = fit.standard(x)
-    for i in range(0, len(z), max(1, ENTRIES // len(beta))):
-        s = slice(i, i + max(1, ENTRIES // len(beta)))
-        r = (_sigmoid(z[s] @ beta.T) - y[s, None]) * w[s, None]
-        r[fold[s, None] == folds[None, :]] = 0
-        total[0] += (z[s].T @ r).ravel()
+    x, y, fold, w, _ = _columns(b)
+    z, down = fit.standard(x), -beta.T
+    step, gradient = max(1, PORTION // len(beta)), np.zeros((z.shape[1], len(beta)))
+    for f in np.unique(fold):
+        own, on = np.zeros_like(gradient), fold == f
+        zf, yf, wf = z[on], y[on, None], w[on, None]
+        for i in range(0, len(zf), step):
+            r = zf[i : i + step] @ down
+            np.clip(r, -500, 500, out=r)
+            np.exp(r, out=r)
+            r += 1
+            np.reciprocal(r, out=r)
+            r -= yf[i : i + step]
+            own += (zf[i : i + step] * wf[i : i + step]).T @ r
+        inside = (folds != f) | (folds == ALL)
+        gradient[:, inside] += own[:, inside]
+    total[0] += gradient.ravel()
 
 
 def _solve(at: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 200) -> np.ndarray:
@@ -240,16 +280,25 @@ class Trees:
     def take(self, at) -> Trees:
         return Trees(self.feature[at], self.cut[at], self.value[at])
 
-    def nodes(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """(rows, trees): the node at ``depth``, or the leaf above it."""
-        node, tree, row = np.zeros((len(bins), len(self.feature)), np.int32), np.arange(len(self.feature)), np.arange(len(bins))[:, None]
-        for _ in range(depth):
-            f = self.feature[tree, node]
-            node = np.where(f >= 0, 2 * node + 1 + (bins[row, np.maximum(f, 0)] > self.cut[tree, node]), node)
-        return node
-
-    def values(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        return self.value[np.arange(len(self.feature)), self.nodes(bins, depth)]
+    def nodes(self, tree: int, bins: np.ndarray, depths: Sequence[int]) -> Iterator[np.ndarray]:
+        """For each of the ascending depths the node of every row at that depth, or the leaf above it."""
+        f, every = self.feature[tree].astype(np.int64), np.arange(self.feature.shape[1])
+        leaf, flat, start = f < 0, bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        f, cut, below = np.where(leaf, 0, f), np.where(leaf, BINS, self.cut[tree]), np.where(leaf, every, 2 * every + 1)
+        node = np.zeros(len(bins), np.int64)
+        for above, depth in zip([0, *depths], depths):
+            for _ in range(above, depth):
+                node = below.take(node) + (flat.take(start + f.take(node)) > cut.take(node))
+            yield node
+
+    def values(self, bins: np.ndarray, depths: Sequence[int]) -> dict[int, np.ndarray]:
+        """For each of the depths (rows, trees): the values of the nodes there, or of the leaves above."""
+        depths = sorted(set(depths))
+        out = {d: np.empty((len(bins), len(self.feature))) for d in depths}
+        for t in range(len(self.feature)):
+            for d, node in zip(depths, self.nodes(t, bins, depths)):
+                out[d][:, t] = self.value[t].take(node)
+        return out
 
 
 def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -257,33 +306,115 @@ def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1) if len(edges) else np.zeros((len(x), 0), int)
 
 
-def _portions(n: int, width: int):
-    step = max(1, ENTRIES // max(width, 1))
-    return (slice(i, i + step) for i in range(0, n, step))
+@dataclass
+class Cells:
+    """Rows counted by their bins and weight: one row a cell, or a few. ``key``: the bins as bytes, then the weight;
+    ``n``: by fold (the last for any other number) the rows and those of label 1; ``c``: the same of the copies that
+    the bootstrap sample of each tree holds."""
+
+    frame: DataFrame
+    folds: int
+    trees: int
+
+
+def _key(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    key = _numbers(b.column("key"), np.uint8)
+    return key[:, :-8], np.ascontiguousarray(key[:, -8:]).view(float).ravel()
+
+
+def _gathered(batches, step: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of ``step`` rows or a little more."""
+    held, n = [], 0
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            held.append(b.slice(i, step))
+            n += held[-1].num_rows
+            if n >= step:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+
+
+def cells(rows: DataFrame, edges: Sequence[np.ndarray], k: int, trees: int = 0) -> Cells:
+    """Tasks count what they read by cell and fold, then what belongs to a cell comes together; so a frequent cell has
+    a few rows a task. The number of copies hangs on row and tree alone."""
+    spark, width, step = rows.sparkSession, 1 + trees, max(1, ENTRIES // max(1 + trees, len(edges)))
+    sent = spark.sparkContext.broadcast(edges)
+
+    def each(batches):
+        for b in _gathered(batches, step):
+            x, y, fold, w, h = _columns(b)
+            slot = np.where((fold >= 0) & (fold < k), fold, k).astype(np.uint8)
+            raw = np.hstack([slot[:, None], binned(x, sent.value).astype(np.uint8), w.astype(float)[:, None].view(np.uint8)])
+            words = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+            order = np.lexsort(words.T)
+            starts = _runs(words[order])
+            rows_of = np.hstack([np.ones((len(order), 1)), _copies(h[order], np.arange(trees))])
+            found = np.stack([np.add.reduceat(rows_of, starts, 0), np.add.reduceat(rows_of * y[order, None], starts, 0)], 1)
+            first = raw[order[starts]]
+            for i in range(0, len(starts), 10_000):
+                at = slice(i, i + 10_000)
+                key = pa.array([v.tobytes() for v in first[at, 1:]], pa.binary())
+                yield pa.RecordBatch.from_arrays([key, pa.array(first[at, 0].astype(np.int32)), _packed(found[at].reshape(-1, 2 * width))], ["key", "f", "v"])
+
+    def merged(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = _numbers(b.column("key"), np.uint8)
+            starts = _runs(key)
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+            at = run * (k + 1) + b.column("f").to_numpy()
+            order = np.argsort(at, kind="stable")
+            parts = _runs(at[order, None])
+            found = np.zeros((len(starts) * (k + 1), 2 * width))
+            found[at[order][parts]] = np.add.reduceat(_unpacked(b.column("v"), 2 * width)[order], parts, 0)
+            found = found.reshape(len(starts), k + 1, 2, width)
+            columns = [pa.array([v.tobytes() for v in key[starts]], pa.binary()), *(_packed(v.reshape(len(starts), -1)) for v in (found[..., 0], found[..., 1:]))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "c"])
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = rows.mapInArrow(each, "key binary, f int, v binary").repartition(parts, "key").sortWithinPartitions("key")
+    out = Cells(written(counted.mapInArrow(merged, "key binary, n binary, c binary")), k, trees)
+    sent.destroy()
+    return out
+
+
+def _kept(out: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which folds (k and the rest) count where one is left out, as columns; and each model's column."""
+    left, column = np.unique(out, return_inverse=True)
+    return (np.arange(k + 1)[:, None] != left[None, :]).astype(float), column
 
 
-def _add_level(total, shared, x, y, fold, w, h, m=None):
+def _add_level(total, shared, b):
     """Histograms of gradient and hessian by (slot, feature, bin) for the nodes that are open at this level."""
-    edges, trees, level, slot, weigh = shared
-    d = x.shape[1]
-    for s in _portions(len(x), len(trees.feature)):
-        bins = binned(x[s], edges)
-        node = trees.nodes(bins, level)
-        at = slot[np.arange(len(trees.feature)), node]
-        g, hess = weigh(y[s], fold[s], w[s], h[s], m[s] if m is not None else None)
-        on = (at >= 0) & (hess > 0)
-        row = np.nonzero(on)[0]
-        at, g, hess = at[on] * d, g[on], hess[on]
+    trees, level, slot, first, weigh = shared
+    bins, w = _key(b)
+    d, bins = bins.shape[1], bins.astype(np.int64)
+    by_feature = np.ascontiguousarray(bins.T) + np.arange(d)[:, None] * BINS
+    weighed = weigh(b, w)
+    for t in range(len(first) - 1):
+        (node,) = trees.nodes(t, bins, [level])
+        at = slot[t].take(node) - first[t]
+        g, hess = weighed(t)
+        on = np.flatnonzero((at >= 0) & (hess > 0))
+        whole = slice(first[t] * d * BINS, first[t + 1] * d * BINS)
+        at, g, hess = at.take(on) * (d * BINS), g.take(on), hess.take(on)
         for j in range(d):
-            cell = (at + j) * BINS + bins[row, j]
-            total[0] += np.bincount(cell, g, total.shape[1])
-            total[1] += np.bincount(cell, hess, total.shape[1])
+            cell = at + by_feature[j].take(on)
+            total[0, whole] += np.bincount(cell, g, whole.stop - whole.start)
+            total[1, whole] += np.bincount(cell, hess, whole.stop - whole.start)
 
 
-def _grow(rows: DataFrame, edges: Sequence[np.ndarray], trees: Trees, depths: np.ndarray, least: np.ndarray, shrink: float, weigh: Callable, allowed: Callable | None = None) -> None:
+def _grow(frame: DataFrame, d: int, trees: Trees, depths: np.ndarray, least: np.ndarray, shrink: float, weigh: Callable, allowed: Callable | None = None) -> None:
     """Grow all trees level by level, each to its own depth."""
-    d = len(edges)
-    for level in range(int(depths.max()) + 1):
+    for level in range(int(depths.max())):
         first = 2**level - 1
         inner = np.zeros_like(trees.feature, bool)
         if level == 0:
@@ -291,34 +422,36 @@ def _grow(rows: DataFrame, edges: Sequence[np.ndarray], trees: Trees, depths: np
         else:
             parents = trees.feature[:, (first - 1) // 2 : first] >= 0
             inner[:, first : 2 * first + 1] = np.repeat(parents, 2, axis=1)
-        open_ = np.argwhere(inner)
+        open_ = np.argwhere(inner & (level < depths)[:, None])
         for i in range(0, len(open_), max(1, CELLS // (d * BINS))):
             part = open_[i : i + max(1, CELLS // (d * BINS))]
-            used = np.unique(part[:, 0])
+            used, start = np.unique(part[:, 0], return_index=True)
             slot = np.full((len(used), trees.feature.shape[1]), -1, np.int64)
             slot[np.searchsorted(used, part[:, 0]), part[:, 1]] = np.arange(len(part))
-            hist = _summed(rows, len(part) * d * BINS, _add_level, (edges, trees.take(used), level, slot, weigh(used)))
-            hist = hist.reshape(2, len(part), d, BINS)
-            _split(trees, part, hist, level < depths[part[:, 0]], least[part[:, 0]], shrink, allowed)
+            hist = _summed(frame, len(part) * d * BINS, _add_level, (trees.take(used), level, slot, np.append(start, len(part)), weigh(used)))
+            _split(trees, part, hist.reshape(2, len(part), d, BINS), least[part[:, 0]], shrink, allowed)
 
 
-def _split(trees: Trees, part: np.ndarray, hist: np.ndarray, may: np.ndarray, least: np.ndarray, shrink: float, allowed: Callable | None) -> None:
-    """Values of the nodes, and for those that may be split the feature and cut of the largest gain."""
+def _split(trees: Trees, part: np.ndarray, hist: np.ndarray, least: np.ndarray, shrink: float, allowed: Callable | None) -> None:
+    """Values of the nodes; for those that can be split the feature and cut of the largest gain, and the values below."""
     g, h = hist
     left_g, left_h = g.cumsum(-1), h.cumsum(-1)
     all_g, all_h = left_g[:, :1, -1:], left_h[:, :1, -1:]
     right_g, right_h = all_g - left_g, all_h - left_h
-    ok = (left_h >= least[:, None, None]) & (right_h >= least[:, None, None]) & (left_h > 0) & (right_h > 0) & may[:, None, None]
+    ok = (left_h >= least[:, None, None]) & (right_h >= least[:, None, None]) & (left_h > 0) & (right_h > 0)
     if allowed is not None:
         ok &= np.stack([allowed(t, n) for t, n in part])[:, :, None]
     score = lambda a, b: np.divide(a * a, b + shrink, out=np.zeros_like(a), where=b + shrink > 0)
+    value = lambda a, b: np.divide(-a, b + shrink, out=np.zeros(len(a)), where=b + shrink > 0)
     gain = np.where(ok, score(left_g, left_h) + score(right_g, right_h) - score(all_g, all_h), -1.0).reshape(len(part), -1)
     best = gain.argmax(1)
-    won = gain[np.arange(len(part)), best] > 1e-9
+    won = np.flatnonzero(gain[np.arange(len(part)), best] > 1e-9)
     t, n = part[:, 0], part[:, 1]
-    trees.value[t, n] = np.divide(-all_g[:, 0, 0], all_h[:, 0, 0] + shrink, out=np.zeros(len(part)), where=all_h[:, 0, 0] + shrink > 0)
-    trees.feature[t[won], n[won]] = best[won] // BINS
-    trees.cut[t[won], n[won]] = best[won] % BINS
+    trees.value[t, n] = value(all_g[:, 0, 0], all_h[:, 0, 0])
+    t, n, at = t[won], n[won], (won, best[won] // BINS, best[won] % BINS)
+    trees.feature[t, n], trees.cut[t, n] = at[1:]
+    for child, a, b in ((1, left_g, left_h), (2, right_g, right_h)):
+        trees.value[t, 2 * n + child] = value(a[at], b[at])
 
 
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720)])
@@ -332,10 +465,12 @@ def _copies(h: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.searchsorted(_POISSON, (z >> np.uint64(11)) / 2.0**53, side="right").astype(float)
 
 
-def _by_copies(number, out, y, fold, w, h, m):
+def _by_copies(number, out, k, trees, b, w):
     """Gradients of a forest's trees: of squared loss around 0, times a bootstrap sample's copies."""
-    hess = _copies(h, number) * w[:, None] * (fold[:, None] != out[None, :])
-    return -y[:, None] * hess, hess
+    keep, column = _kept(out, k)
+    copies = _unpacked(b.column("c"), 2 * (k + 1) * trees).reshape(len(w), k + 1, 2, trees)
+    every, ones = (np.ascontiguousarray((copies[:, :, i].transpose(2, 0, 1) @ keep).transpose(0, 2, 1)) * w for i in (0, 1))
+    return lambda t: (-ones[number[t], column[t]], every[number[t], column[t]])
 
 
 @dataclass
@@ -345,12 +480,19 @@ class Forests:
     trees: Trees
     family: dict[int, tuple]
 
+    def each(self, bins: np.ndarray, trials: Sequence[Trial], fold: int) -> Iterator[tuple[Trial, np.ndarray]]:
+        """Each trial and its scores of the rows."""
+        for family in dict.fromkeys(self.family[t.number] for t in trials):
+            own, at = [t for t in trials if self.family[t.number] == family], self.first[family, fold]
+            values = self.trees.take(slice(at, at + max(t.params["trees"] for t in own))).values(bins, [t.params["depth"] for t in own])
+            yield from ((t, values[t.params["depth"]][:, : t.params["trees"]].mean(1)) for t in own)
+
     def score(self, x: np.ndarray, trial: Trial, fold: int) -> np.ndarray:
-        at = self.first[self.family[trial.number], fold]
-        return self.trees.take(slice(at, at + trial.params["trees"])).values(binned(x, self.edges), trial.params["depth"]).mean(1)
+        return next(self.each(binned(x, self.edges), [trial], fold))[1]
 
 
-def fit_forests(rows: DataFrame, trials: Sequence[Trial], edges: list[np.ndarray], k: int, seed: int) -> Forests:
+def fit_forests(rows: DataFrame | Cells, trials: Sequence[Trial], edges: list[np.ndarray], k: int, seed: int) -> Forests:
+    made = rows if isinstance(rows, Cells) else cells(rows, edges, k, max(t.params["trees"] for t in trials))
     family = {t.number: (t.params["features"], t.params["least"]) for t in trials}
     kinds = {f: [t for t in trials if family[t.number] == f] for f in sorted(set(family.values()))}
     plan = [(f, fold, i) for f, ts in kinds.items() for fold in [*range(k), ALL] for i in range(max(t.params["trees"] for t in ts))]
@@ -360,7 +502,7 @@ def fit_forests(rows: DataFrame, trials: Sequence[Trial], edges: list[np.ndarray
     trees = Trees.empty(len(plan), int(depths.max()))
 
     def weigh(used):
-        return partial(_by_copies, number[used], folds[used])
+        return partial(_by_copies, number[used], folds[used], k, made.trees)
 
     def allowed(t, node):
         """The features that a node may be split by, drawn by tree and node alone."""
@@ -368,7 +510,9 @@ def fit_forests(rows: DataFrame, trials: Sequence[Trial], edges: list[np.ndarray
         some[np.random.default_rng([seed, int(number[t]), int(node)]).permutation(d)[: max(1, int(np.ceil(plan[t][0][0] * d)))]] = True
         return some
 
-    _grow(rows, edges, trees, depths, least, 0.0, weigh, allowed)
+    _grow(made.frame, d, trees, depths, least, 0.0, weigh, allowed)
+    if made is not rows:
+        released(made.frame)
     first = {}
     for i, (f, fold, _) in enumerate(plan):
         first.setdefault((f, fold), i)
@@ -385,57 +529,75 @@ class Boosted:
     depth: int
     family: dict[int, tuple]
 
+    def each(self, bins: np.ndarray, trials: Sequence[Trial], fold: int) -> Iterator[tuple[Trial, np.ndarray]]:
+        """Each trial and its scores of the rows."""
+        for family in dict.fromkeys(self.family[t.number] for t in trials):
+            own, at = [t for t in trials if self.family[t.number] == family], self.model[family, fold]
+            rounds = self.rounds[: max(t.params["rounds"] for t in own)]
+            values = Trees(*(np.stack([getattr(r, c)[at] for r in rounds]) for c in ("feature", "cut", "value"))).values(bins, [self.depth])[self.depth]
+            yield from ((t, _sigmoid(self.base[at] + self.rate[at] * values[:, : t.params["rounds"]].sum(1))) for t in own)
+
     def score(self, x: np.ndarray, trial: Trial, fold: int) -> np.ndarray:
-        at, bins = self.model[self.family[trial.number], fold], binned(x, self.edges)
-        steps = Trees(*(np.stack([getattr(r, c)[at] for r in self.rounds[: trial.params["rounds"]]]) for c in ("feature", "cut", "value")))
-        return _sigmoid(self.base[at] + self.rate[at] * steps.values(bins, self.depth).sum(1))
+        return next(self.each(binned(x, self.edges), [trial], fold))[1]
 
 
-def _by_margins(at, out, y, fold, w, h, m):
-    """Gradients of the logistic loss at the margins of the rounds before."""
-    p = _sigmoid(m[:, at])
-    keep = w[:, None] * (fold[:, None] != out[None, :])
-    return np.rint((p - y[:, None]) * keep * GRID) / GRID, np.rint(p * (1 - p) * keep * GRID) / GRID
+def _by_margins(at, out, k, b, w):
+    """Gradients of the logistic loss at the margins of the rounds before. Each row's is rounded, then counted."""
+    keep, column = _kept(out, k)
+    n = _unpacked(b.column("n"), 2 * (k + 1)).reshape(len(w), k + 1, 2)
+    every, ones = (np.ascontiguousarray((n[:, :, i] @ keep).T) for i in (0, 1))
+    margins = np.ascontiguousarray(_numbers(b.column("m"), float).T)
+    grid = w * GRID
 
+    def weighed(t):
+        p, some, good = _sigmoid(margins[at[t]]), every[column[t]], ones[column[t]]
+        return (np.rint(p * grid) * (some - good) + np.rint((p - 1) * grid) * good) / GRID, np.rint(p * (1 - p) * grid) * some / GRID
 
-def _with_margins(rows: DataFrame, fit: Boosted) -> DataFrame:
-    """The rows with all models' margins after the last round, as one binary of doubles; at first their base."""
-    sent = rows.sparkSession.sparkContext.broadcast((fit.edges, fit.base, fit.rate, fit.rounds[-1:], fit.depth))
-    kept = ("x", "y", "fold", "w", "h")
+    return weighed
+
+
+def _with_margins(frame: DataFrame, fit: Boosted) -> DataFrame:
+    """The cells with all models' margins after the last round, as one binary of doubles; at first their base."""
+    sent = frame.sparkSession.sparkContext.broadcast((fit.base, fit.rate, fit.rounds[-1:], fit.depth))
 
     def each(batches):
-        edges, base, rate, last, depth = sent.value
+        base, rate, last, depth = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x, *_, m = _columns(b) if last else (*_columns(b), np.zeros((b.num_rows, len(base))) + base)
-            for tree in last:
-                m = m + rate * tree.values(binned(x, edges), depth)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([v.tobytes() for v in m], pa.binary())], [*kept, "m"])
+            m = _numbers(b.column("m"), float) if last else np.zeros((b.num_rows, len(base))) + base
+            for trees in last:
+                m = m + rate * trees.values(_key(b)[0].astype(np.int64), [depth])[depth]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array([v.tobytes() for v in m], pa.binary())], ["key", "n", "m"])
 
-    return written(rows.mapInArrow(each, "x array<double>, y double, fold int, w double, h long, m binary"))
+    out = written(frame.select("key", "n", *(["m"] if fit.rounds else [])).mapInArrow(each, "key binary, n binary, m binary"))
+    sent.destroy()
+    return out
 
 
-def fit_boosted(rows: DataFrame, trials: Sequence[Trial], edges: list[np.ndarray], k: int, shares: dict[int, float]) -> Boosted:
+def fit_boosted(rows: DataFrame | Cells, trials: Sequence[Trial], edges: list[np.ndarray], k: int, shares: dict[int, float]) -> Boosted:
     """All models advance by a round together; each round's margins are written, so that a pass grows one level of one round."""
+    made = rows if isinstance(rows, Cells) else cells(rows, edges, k)
     family = {t.number: (t.params["depth"], t.params["rate"], t.params["least"]) for t in trials}
     rounds = {f: max(t.params["rounds"] for t in trials if family[t.number] == f) for f in sorted(set(family.values()))}
     plan = [(f, fold) for f in rounds for fold in [*range(k), ALL]]
     folds = np.array([fold for _, fold in plan])
     share = np.clip([shares[fold] for fold in folds], 1e-6, 1 - 1e-6)
     fit = Boosted(edges, {p: i for i, p in enumerate(plan)}, np.log(share / (1 - share)), np.array([f[1] for f, _ in plan]), [], max(f[0] for f in rounds), family)
-    current = _with_margins(rows, fit)
+    current = _with_margins(made.frame, fit)
     for r in range(max(rounds.values())):
         on = np.array([i for i, (f, _) in enumerate(plan) if rounds[f] > r])
         trees = Trees.empty(len(plan), fit.depth)
         grown = trees.take(on)
-        weigh = lambda used, on=on: partial(_by_margins, on[used], folds[on[used]])
-        _grow(current, edges, grown, np.array([plan[i][0][0] for i in on]), np.array([float(plan[i][0][2]) for i in on]), SHRINK, weigh)
+        weigh = lambda used, on=on: partial(_by_margins, on[used], folds[on[used]], k)
+        _grow(current, len(edges), grown, np.array([plan[i][0][0] for i in on]), np.array([float(plan[i][0][2]) for i in on]), SHRINK, weigh)
         trees.feature[on], trees.cut[on], trees.value[on] = grown.feature, grown.cut, grown.value
         fit.rounds.append(trees)
         before, current = current, _with_margins(current, fit)
         released(before)
     released(current)
+    if made is not rows:
+        released(made.frame)
     return fit
 
 
@@ -490,20 +652,32 @@ def _array(df: DataFrame, c: str):
     return vector_to_array(c) if dict(df.dtypes)[c] == "vector" else F.col(c).cast("array<double>")
 
 
-def _add_ranks(total, shared, x, y, fold, w, h):
+def _add_linear_ranks(total, shared, b):
     """Positives and negatives by (trial, fold, bin of the score)."""
-    fits, trials, k = shared
+    fit, trials, k = shared
+    x, y, fold, _, _ = _columns(b)
     for f in range(k):
         on = np.flatnonzero(fold == f)
-        for s in _portions(len(on), 40):
-            at = on[s]
-            if not len(at):
-                continue
-            for i, t in enumerate(trials):
-                p = fits[t.learner].score(x[at], *((t.number,) if t.learner == "linear" else (t,)), f)
-                cell = (i * k + f) * AUC_BINS + np.minimum((p * AUC_BINS).astype(int), AUC_BINS - 1)
-                np.add.at(total[0], cell, y[at])
-                np.add.at(total[1], cell, 1 - y[at])
+        if len(on):
+            _rank(total, ((i, fit.score(x[on], t.number, f)) for i, t in enumerate(trials)), k, f, y[on], 1 - y[on])
+
+
+def _add_tree_ranks(total, shared, b):
+    fits, trials, k = shared
+    bins, place = _key(b)[0].astype(np.int64), {t.number: i for i, t in enumerate(trials)}
+    n = _unpacked(b.column("n"), 2 * (k + 1)).reshape(len(bins), k + 1, 2)
+    for f in range(k):
+        on = np.flatnonzero(n[:, f, 0])
+        for name, fit in fits.items():
+            scored = fit.each(bins[on], [t for t in trials if t.learner == name], f)
+            _rank(total, ((place[t.number], p) for t, p in scored), k, f, n[on, f, 1], n[on, f, 0] - n[on, f, 1])
+
+
+def _rank(total, scored, k, f, positives, negatives):
+    for i, p in scored:
+        at, cell = slice((i * k + f) * AUC_BINS, (i * k + f + 1) * AUC_BINS), np.minimum((p * AUC_BINS).astype(int), AUC_BINS - 1)
+        total[0, at] += np.bincount(cell, positives, AUC_BINS)
+        total[1, at] += np.bincount(cell, negatives, AUC_BINS)
 
 
 def search(df: DataFrame, ident: str, names: Sequence[str], trials: int, label: str = "label", fold: str = "fold", features: str = "features", k: int = 5, seed: int = 42, weight: str | None = None, exact: int = 3) -> Search:
@@ -526,18 +700,28 @@ def search(df: DataFrame, ident: str, names: Sequence[str], trials: int, label:
     of = lambda name: [t for t in drawn if t.learner == name]
     d = rows.agg(F.max(F.size("x"))).first()[0]
     fits: dict[str, Any] = {}
+    ranks = np.zeros((2, len(drawn), k, AUC_BINS))
+
+    def ranked(kinds, frame, add, fit):
+        own = [t for t in drawn if t.learner in kinds]
+        ranks[:, [t.number for t in own]] = _summed(frame, len(own) * k * AUC_BINS, add, (fit, own, k)).reshape(2, len(own), k, AUC_BINS)
+
     if of("linear"):
         fits["linear"] = fit_linear(rows, of("linear"), d, k)
+        ranked(["linear"], rows, _add_linear_ranks, fits["linear"])
     if of("forest") or of("boosted"):
         points = [i / BINS for i in range(1, BINS)]
         cuts = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.get("x", F.lit(j))), F.get("x", F.lit(j))), points, 10_000).alias(f"c{j}") for j in range(d)]).first()
         edges = [np.unique(c or []) for c in cuts]
+        made = cells(rows, edges, k, max((t.params["trees"] for t in of("forest")), default=0))
         if of("forest"):
-            fits["forest"] = fit_forests(rows, of("forest"), edges, k, seed)
+            fits["forest"] = fit_forests(made, of("forest"), edges, k, seed)
         if of("boosted"):
-            fits["boosted"] = fit_boosted(rows, of("boosted"), edges, k, shares)
+            fits["boosted"] = fit_boosted(made, of("boosted"), edges, k, shares)
+        trees = {name: fit for name, fit in fits.items() if name != "linear"}
+        ranked(list(trees), made.frame, _add_tree_ranks, trees)
+        released(made.frame)
     found = Search(drawn, k, fits, features)
-    ranks = _summed(rows, len(drawn) * k * AUC_BINS, _add_ranks, (fits, drawn, k)).reshape(2, len(drawn), k, AUC_BINS)
     for i, t in enumerate(drawn):
         both = [(pos, neg) for pos, neg in zip(*ranks[:, i]) if pos.sum() and neg.sum()]
         t.aucs = [float((pos * (neg.cumsum() - neg / 2)).sum() / (pos.sum() * neg.sum())) for pos, neg in both]
