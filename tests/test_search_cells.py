@@ -101,3 +101,24 @@ def by_hand(trees, at, bins, g, h, shrink):
     assert np.isclose(found[split], max(found.values()), rtol=1e-6)
     a = sides[split]
     assert np.allclose(trees.value[at, :3], [-g.sum() / (h.sum() + shrink), -g[a].sum() / (h[a].sum() + shrink), -g[~a].sum() / (h[~a].sum() + shrink)], atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["M7_search", "M8_stack"])
+def test_customers_are_worked_out_once(spark, sf, monkeypatch, name):
+    """What the search reads, pass by pass, is a written table, not the joins and aggregates over orders; it is deleted afterwards."""
+    from pathlib import Path
+
+    from tidemark.plans import queries_analysis as Q
+
+    read, search = [], X.search
+
+    def watched(df, *a, **k):
+        read.append(df.inputFiles())
+        return search(df, *a, **k)
+
+    monkeypatch.setattr(Q.SE, "search", watched)
+    monkeypatch.setattr(Q, "_LEARNERS", ("linear",))
+    monkeypatch.setattr(Q.M, "trial_budget", lambda n: 3)
+    assert getattr(Q, name)(spark, sf).count() == {"M7_search": 3, "M8_stack": 4}[name]
+    assert read and not any("orders.parquet" in f for f in read[0])
+    assert not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in read[0])

@@ -21,7 +21,7 @@ from ..operators import modelling as M
 from ..operators import profiling as T
 from ..operators import scoring as R
 from ..operators import search as SE
-from ..session import stable
+from ..session import released, written
 from . import views
 from .queries_tables import CF, bin_of, cf, quantile_sql, r6
 from .registry import query
@@ -344,10 +344,10 @@ def M5_smote(spark, sf):
     return M.smote(_rare(spark, sf), "customer_id", ["balance", "total_spend"], "y", ["segment"])
 
 
-def _vector(spark, sf):
+def _vector(spark, sf, customers=None):
     """Customers as feature vectors: what was bought before the snapshot, to predict churn."""
     cols = ["balance", "n_orders", "total_spend", "tenure_months"]
-    d = cf(spark, sf).withColumns({c: F.col(c).cast("double") for c in cols}).withColumn("label", F.col("churned"))
+    d = (customers or cf(spark, sf)).withColumns({c: F.col(c).cast("double") for c in cols}).withColumn("label", F.col("churned"))
     s = d.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     d = d.withColumns({f"z_{c}": (F.col(c) - s[f"m_{c}"]) / (s[f"s_{c}"] or 1.0) for c in cols})
     return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(d)
@@ -357,23 +357,27 @@ _LEARNERS = ("linear", "forest", "boosted")
 
 
 def _searched(spark, sf):
-    """The table with folds, and the search of its whole budget over three learners in five folds."""
-    d = M.folds(_vector(spark, sf), "customer_id", "label").select("customer_id", "features", "label", "fold")
-    return d, SE.search(d, "customer_id", _LEARNERS, M.trial_budget(d.count()))
+    """The customers, written once, the table with folds, and the search of its whole budget over three learners in five folds."""
+    customers = written(cf(spark, sf).select("customer_id", "balance", "n_orders", "total_spend", "tenure_months", "churned"))
+    d = M.folds(_vector(spark, sf, customers), "customer_id", "label").select("customer_id", "features", "label", "fold")
+    return customers, d, SE.search(d, "customer_id", _LEARNERS, M.trial_budget(d.count()))
 
 
 @query()
 def M7_search(spark, sf):
-    return _searched(spark, sf)[1].table(spark)
+    customers, _, found = _searched(spark, sf)
+    released(customers)
+    return found.table(spark)
 
 
 @query()
 def M8_stack(spark, sf):
     """The best of three stackings of the three best trials' scores without each row's fold."""
-    d, found = _searched(spark, sf)
+    customers, d, found = _searched(spark, sf)
     best = found.ranked()[:3]
-    oof = stable(found.scores(d, best, "fold"))
+    oof = written(found.scores(d, best, "fold"))
     rows = [("stack", float(M.stack(oof, [t.number for t in best])[1])), *[(f"{t.learner} {t.number}", t.auc) for t in best]]
+    released(customers, oof)
     return spark.createDataFrame(rows, "model string, auc double")
 
 
